@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing
+from . import bpe, language_id, packing
 from .common import fold_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, max_tokens=4096)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
+    return bpe.digests(docs, path, bpe.build_lexicon(docs, path))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing}
+    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
