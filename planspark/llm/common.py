@@ -76,3 +76,10 @@ def fold(doc_id: int, folds: int) -> int:
 
 def fold_column(name: str, folds: int):
     return F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(folds))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, label) of at most ``rows`` labelled ids in hash order; repeated labels of one id count as their largest."""
+    marks = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    picked = marks.orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(picked), id_col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing
+from . import bpe, language_id, packing, quality, toxicity
 from .common import fold_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, max_tokens=4096)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line field's verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from labels of those whose crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_column("doc_id", 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs, path = table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
@@ -43,7 +57,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op8_bpe": op8_bpe}
+    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
