@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality, toxicity
+from . import bpe, language_id, packing, quality, simhash, toxicity
 from .common import fold_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs, path = table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
@@ -57,7 +62,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op8_bpe": op8_bpe}
+    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
