@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality, simhash, toxicity
+from . import bpe, chat, html_text, language_id, packing, quality, simhash, toxicity, url_filter, webp
 from .common import fold_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,15 +55,36 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation as canonical JSON, with its place in the topological order."""
+    return chat.format_messages(table(spark, sf_dir, "conversations"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    rules = [url_filter.Rule.of(v, r) for v, r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))]
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs, path = table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
     return bpe.digests(docs, path, bpe.build_lexicon(docs, path))
 
 
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as lossless WebP and read back."""
+    return webp.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op8_bpe": op8_bpe}
+    return {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_url_filter": op7_url_filter, "op8_bpe": op8_bpe, "op9_webp": op9_webp, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": chat.ORACLE}
