@@ -4,8 +4,8 @@ A text's fingerprint takes, bit by bit, the majority of its shingles' 64-bit has
 popcounts of their 32 two-bit segments; the Manhattan distance of two embeddings never exceeds the Hamming distance of
 the fingerprints, so it is a lower bound that prunes. The range join on the embedding works on a grid: the segments form
 eight groups, and two embeddings within distance four agree in at least four whole groups, so they share the grid cell of
-one of the 70 choices of four groups. Cells of two points yield a pair at once. Larger cells are split into blocks of
-bounded size, and pairs of blocks are compared together; of the links found in a block pair only a spanning forest is
+one of the 70 choices of four groups. Cells of one point drop out; the others are split into blocks of
+bounded size, and pairs of blocks are compared together; of the links found in a large pair only a spanning forest is
 passed on, never all pairs. Every candidate is verified by the exact Hamming distance. Equal fingerprints are one point
 throughout. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 
@@ -186,17 +186,16 @@ def links(points: DataFrame) -> DataFrame:
     """(a, b): links between representatives of distinct fingerprints that connect all points within ``MAX_BITS``."""
     small_batches(points.sparkSession)
     cells = grid(points)
-    sizes = materialize(cells.groupBy("subset", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
-    exact = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_BITS
-    pairs = sizes.where("n = 2").where(exact).select("a", "b")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")
+    sizes = materialize(cells.groupBy("subset", "cell").agg(F.count("*").alias("n")).where("n > 1").select("subset", "cell", blocks))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    members = cells.join(sizes.where("n > 2").select("subset", "cell", blocks.alias("blocks")), ["subset", "cell"]).withColumn("own", own)
+    # a merge join at every size: the shared cells grow with the corpus, so they must never be broadcast
+    members = cells.join(sizes.hint("merge"), ["subset", "cell"]).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = members.select("subset", "cell", "fp", "rep", "own", other).select(F.col("subset").cast("long").alias("subset"), "cell", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), "fp", "rep")
     run = ["subset", "cell", "low", "high"]
     found = spread.repartition(*run).sortWithinPartitions(*run, "fp").mapInArrow(_compare, "a long, b long")
-    return pairs.union(found).where("a <> b").distinct()
+    return found.where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +220,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     prints = materialize(fingerprints(docs, width, id_col, text))
     points = prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep"))
     roots = components(links(points.where("rep is not null")))
-    named = points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    named = materialize(points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
+    # both sides come from tables, so a fingerprint that many rows share is a skewed partition that Spark can split
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
