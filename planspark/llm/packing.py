@@ -29,8 +29,8 @@ from .common import map_rows, materialize
 
 MAX_TOKENS = 4096
 #: Distinct words, and distinct pre-tokens, whose ids a worker remembers; a memory is emptied when full.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 500_000, 500_000
-_tokenizers: dict[str, tuple] = {}
+REMEMBERED_WORDS, REMEMBERED_PARTS = 900_000, 700_000
+_tokenizers: dict = {}
 _BLANKS = re.compile("[\n\t\r]")
 _MARKS = frozenset(".,!?:;|")
 
@@ -40,44 +40,53 @@ def _plain(text: str) -> str:
     return text.lower() if "\u0130" not in text and "\u03a3" not in text and "<|" not in text and is_normalized("NFC", text) else text
 
 
-def _word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encoder of whole texts by blank-separated words; exact for tokenizers that drop white space before merging.
+class _Parts(dict):
+    """Ids, as bytes, of the letters of words; asks the tokenizer for what is new."""
+
+    def __init__(self, tokenizer):
+        self.encode = tokenizer.encode
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > REMEMBERED_PARTS:
+            self.clear()
+        ids = self[part] = array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
+class _Words(dict):
+    """Ids of blank-separated words; a word of letters and one mark is put together from its two parts."""
 
-    Words are looked up first, then the letters and the last mark of unseen words; only what is new there reaches the
-    tokenizer, which also takes whole any word of another shape.
-    """
+    def __init__(self, parts: _Parts):
+        self.parts = parts
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word[:-1]
+        ids = self[word] = self.parts[stem] + self.parts[word[-1]] if word[-1:] in _MARKS and stem.isalpha() else self.parts[word]
+        return ids
+
+
+def _word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encoder of whole texts by blank-separated words; exact for tokenizers that drop white space before merging."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}, {}
-    tokenizer, words_known, parts_known = _tokenizers[path]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        _tokenizers[path] = _Words(_Parts(tokenizer))
+    known = _tokenizers[path]
 
     def encode(texts: list[str]) -> list[bytes]:
         gc.disable()  # strings and bytes only: no cycles to look for
         try:
-            return encode_words(texts)
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+            get = known.__getitem__
+            return [b"".join(map(get, _BLANKS.sub(" ", _plain(t)).split(" "))) for t in texts]
         finally:
             gc.enable()
 
-    def encode_words(texts: list[str]) -> list[bytes]:
-        words = [_BLANKS.sub(" ", _plain(t)).split(" ") for t in texts]
-        if len(words_known) > REMEMBERED_WORDS:
-            words_known.clear()
-        if len(parts_known) > REMEMBERED_PARTS:
-            parts_known.clear()
-        unseen = set().union(*words).difference(words_known)
-        stems = {w: w[:-1] for w in unseen if w[-1:] in _MARKS and w[:-1].isalpha()}
-        missing = list({stems.get(w, w) for w in unseen}.difference(parts_known).union(_MARKS.difference(parts_known)))
-        for at in range(0, len(missing), 5000):
-            some = missing[at : at + 5000]
-            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                parts_known[p] = array("I", e.ids).tobytes()
-        for w in unseen:
-            words_known[w] = parts_known[stems[w]] + parts_known[w[-1]] if w in stems else parts_known[w]
-        get = words_known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
     return encode
 
 
