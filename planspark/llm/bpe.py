@@ -34,8 +34,10 @@ from .common import map_rows, small_batches
 LEXICON_WORDS = 1 << 16
 #: Longest word, in bytes, that the lexicon holds.
 LEXICON_BYTES = 64
-#: Distinct chunks a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Distinct words, and distinct pre-tokens, a worker remembers; a memory is emptied when full.
+REMEMBERED = 600_000
+#: Widths, in bytes, of the groups of words that are merged together; longer words are merged one by one.
+MERGED_TOGETHER = (4, 6, 8, 11, 15, 20, 28, 40)
 #: Distinct chunks a counting task holds before it passes their counts on.
 COUNTED = 300_000
 # The pre-tokenisation rule of the public byte-level BPE vocabulary, with white space spelled out.
@@ -43,6 +45,7 @@ _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: A single blank between two non-blanks always starts a pre-token.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_ADJACENT = re.compile(r"\s\s")
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,12 +55,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before every single blank between non-blanks; pre-tokens never cross a cut."""
-    parts = _BETWEEN.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
-
-
 class Vocabulary:
     """Ranks and bytes of a tokenizer file, and exact merging."""
 
@@ -83,6 +80,62 @@ class Vocabulary:
             self.ranks[ids[left], ids[right]] = rank
             self.joined.append(ids[left + right])
         self.rule = regex.compile(RULE)
+        keys = np.array([(a << 32) | b for a, b in self.ranks] or [-1], np.int64)
+        order = np.argsort(keys)
+        self._keys, self._ranks = keys[order], np.array([*self.ranks.values()] or [0], np.int32)[order]
+        self._joined, self._of_byte = np.array([*self.joined, 0], np.int32), np.array(self.of_byte, np.int32)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or the number of merges where there is none."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(self._keys, key)
+        at[at == len(self._keys)] = 0
+        return np.where(self._keys[at] == key, self._ranks[at], len(self.joined))
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as little-endian 32-bit numbers, of many pre-tokens: those of similar length merge in step."""
+        out: list[bytes] = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            width = next((g for g in MERGED_TOGETHER if len(w) <= g), 0)
+            if width:
+                groups.setdefault(width, []).append(i)
+            else:
+                out[i] = np.array(self.merge(w), "<u4").tobytes()
+        for width, rows in groups.items():
+            sizes = np.array([len(words[i]) for i in rows])
+            letters = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(-1, width)
+            ids, lengths = self._merge_rows(self._of_byte[letters], sizes)
+            flat = ids.astype("<u4").tobytes()
+            for k, (i, n) in enumerate(zip(rows, lengths.tolist(), strict=True)):
+                out[i] = flat[4 * k * width : 4 * (k * width + n)]
+        return out
+
+    def _merge_rows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        none, (n, width) = len(self.joined), ids.shape
+        columns = np.arange(width)
+        rank = np.full((n, width + 1), none, np.int32)  # of the pair that starts at a column
+        rank[:, : width - 1] = np.where(columns[1:] < lengths[:, None], self._rank(ids[:, :-1], ids[:, 1:]), none)
+        ids, lengths, live = np.pad(ids, ((0, 0), (0, 1))), lengths.copy(), np.arange(n)
+        while len(live):
+            own = rank[live]
+            at = own.argmin(1)
+            low = own[np.arange(len(live)), at]
+            going = low < none
+            live, at, low, own = live[going], at[going], low[going], own[going]
+            rows = np.arange(len(live))
+            source = columns + (columns > at[:, None])
+            word = np.take_along_axis(ids[live], source, 1)
+            word[rows, at] = self._joined[low]
+            source = columns + (columns >= at[:, None])
+            own[:, :width] = np.take_along_axis(own, source, 1)
+            lengths[live] -= 1
+            right = np.where(at + 1 < lengths[live], self._rank(word[rows, at], word[rows, np.minimum(at + 1, width - 1)]), none)
+            left = np.where(at > 0, self._rank(word[rows, np.maximum(at - 1, 0)], word[rows, at]), none)
+            own[rows, at] = right
+            own[rows[at > 0], at[at > 0] - 1] = left[at > 0]
+            ids[live, :width], rank[live] = word, own
+        return ids[:, :width], lengths
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the leftmost adjacent pair of the lowest rank is merged until none is left."""
@@ -242,49 +295,75 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of a word with a blank before it
+        self.parts: dict[str, bytes] = {}  # ids of a pre-token
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.by_id = vocabulary.bytes
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new chunks: their pre-tokens walk the automaton, and what it lacks is merged."""
+    def _learn(self, words: set[str], others: set[str]) -> dict[str, bytes]:
+        """Ids of new words, and of other chunks: pre-tokens walk the automaton, and what it lacks is merged."""
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        cut = {c: (c,) if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else self.vocabulary.rule.findall(c) for c in new}
-        fresh = list({p for ps in cut.values() for p in ps if p not in self.parts})
+        rule = self.vocabulary.rule.findall
+        cut = {" " + w: (" " + w,) if w.isalpha() else rule(" " + w) for w in words} | {c: rule(c) for c in others}
+        fresh = list({p for ps in cut.values() for p in ps}.difference(self.parts))
         raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
-        for p, w, rank in zip(fresh, raw, self.lexicon.walk(raw).tolist(), strict=True):
-            self.parts[p] = self.lexicon.ids_of(rank) if rank >= 0 else np.array(self.vocabulary.merge(w), "<u4").tobytes()
-        for c, ps in cut.items():
-            self.known[c] = b"".join([self.parts[p] for p in ps])
+        rank = self.lexicon.walk(raw)
+        offsets, flat = (self.lexicon.offsets.astype(np.int64) * 4).tolist(), self.lexicon.ids.tobytes()
+        for i in np.flatnonzero(rank >= 0).tolist():
+            self.parts[fresh[i]] = flat[offsets[rank[i]] : offsets[rank[i] + 1]]
+        unseen = np.flatnonzero(rank < 0).tolist()
+        for i, ids in zip(unseen, self.vocabulary.merge_many([raw[i] for i in unseen]), strict=True):
+            self.parts[fresh[i]] = ids
+        parts = self.parts
+        for w in words:
+            ps = cut[" " + w]
+            self.known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+        return {c: b"".join([parts[p] for p in cut[c]]) for c in others}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         gc.disable()  # strings and bytes only: no cycles to look for
         try:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            pieces = [self._pieces(t) if t else [] for t in texts]
-            known = self.known
-            new = list({c for ps in pieces for c in ps if c not in known})
-            self._learn(new)
-            get = known.__getitem__
-            return [np.frombuffer(b"".join(map(get, ps)), "<u4") for ps in pieces]
+            get = self.known.get
+            words, others = set(), set()
+            found = []
+            for t in texts:
+                parts = []
+                for first, rest in self._segments(t or ""):
+                    got = list(map(get, rest))
+                    if None in got:
+                        words.update([w for w, g in zip(rest, got, strict=True) if g is None])
+                    others.add(first)
+                    parts.append((first, rest, got))
+                found.append(parts)
+            special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.special.items()}
+            others = self._learn(words, others - special.keys()) | special
+            out = []
+            for parts in found:
+                flat = []
+                for first, rest, got in parts:
+                    flat.append(others[first])
+                    flat += [g if g is not None else get(w) for w, g in zip(rest, got, strict=True)] if None in got else got
+                out.append(np.frombuffer(b"".join(flat), "<u4"))
+            return out
         finally:
             gc.enable()
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.special is None or not any(s in text for s in self.vocabulary.special):
-            return chunks(text)
-        out = []
-        for part in self.special.split(text):
-            if part in self.vocabulary.special:
-                self.known[part] = np.array([self.vocabulary.special[part]], "<u4").tobytes()
-                out.append(part)
-            elif part:
-                out += chunks(part)
-        return out
+    def _segments(self, text: str) -> list[tuple[str, list[str]]]:
+        """(first chunk, words each with one blank before them): special tokens stand alone."""
+        if not text:
+            return []
+        if self.special is not None and any(s in text for s in self.vocabulary.special):
+            return [(p, []) if p in self.vocabulary.special else x for p in self.special.split(text) if p for x in self._segments_plain(p)]
+        return self._segments_plain(text)
+
+    @staticmethod
+    def _segments_plain(text: str) -> list[tuple[str, list[str]]]:
+        parts = text.split(" ") if not (_ADJACENT.search(text) or text[0].isspace() or text[-1].isspace()) else _BETWEEN.split(text)
+        return [(parts[0], parts[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.by_id.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -299,7 +378,7 @@ def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         held: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                held.update(chunks(t))
+                held.update(t.split(" "))
             if len(held) > COUNTED:
                 yield flush(held, rule)
                 held = Counter()
@@ -307,8 +386,8 @@ def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def flush(held: Counter, rule) -> pa.RecordBatch:
         words: Counter = Counter()
-        for c, n in held.items():
-            for p in (c,) if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else rule.findall(c):
+        for w, n in held.items():
+            for p in (" " + w,) if w.isalpha() else rule.findall(" " + w):
                 words[p] += n
         kept = [(w, n) for w, n in ((p.encode("utf-8", "surrogatepass"), n) for p, n in words.items()) if len(w) <= LEXICON_BYTES]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
