@@ -182,11 +182,11 @@ def w2(spark, d):
     return P.floor_level(base(spark, d, "points"), 1.5, ["capture_id"])
 
 
-@register("w3_open_runs", SLT + """, o AS (SELECT wall, slot, bool_or(value > 60) AS open, min(CASE WHEN value > 60 THEN value / 100e0 END) AS sill FROM slots GROUP BY 1, 2), h AS (SELECT *, coalesce(lag(open) OVER w, false) AND coalesce(lead(open) OVER w, false) AS beside FROM o WINDOW w AS (PARTITION BY wall ORDER BY slot)),
+@register("w3_open_runs", SLT + """, o AS (SELECT wall, slot, bool_or(value > 25) AS open, min(CASE WHEN value > 25 THEN value / 100e0 END) AS sill FROM slots GROUP BY 1, 2), h AS (SELECT *, coalesce(lag(open) OVER w, false) AND coalesce(lead(open) OVER w, false) AS beside FROM o WINDOW w AS (PARTITION BY wall ORDER BY slot)),
 k AS (SELECT *, slot - row_number() OVER (PARTITION BY wall ORDER BY slot) AS run FROM h WHERE open OR beside), r AS (SELECT wall, run, min(slot) AS first, count(*) AS slots, min(sill) AS sill FROM k GROUP BY 1, 2)
 SELECT wall, round(first * 1e-1, 6) AS "offset", round(slots * 1e-1, 6) AS width, round(coalesce(sill, 0e0), 6) AS sill, CASE WHEN coalesce(sill, 0e0) > 5e-1 THEN 'window' WHEN slots * 1e-1 <= 12e-1 THEN 'door' ELSE 'open_passage' END AS kind FROM r WHERE slots * 1e-1 >= 25e-2 AND slots * 1e-1 <= 305e-2""")
 def w3(spark, d):
-    slots = base(spark, d, "slots").groupBy("wall", "slot").agg(F.bool_or(F.col("value") > 60).alias("open"), F.min(F.when(F.col("value") > 60, F.col("value") / 100.0)).alias("sill"))
+    slots = base(spark, d, "slots").groupBy("wall", "slot").agg(F.bool_or(F.col("value") > 25).alias("open"), F.min(F.when(F.col("value") > 25, F.col("value") / 100.0)).alias("sill"))
     return rounded(R.open_runs(slots, ["wall"], 0.1, 0.25, 3.05), "offset", "width", "sill")
 
 

@@ -32,10 +32,9 @@ def e1(spark, d):
 
 @register("e2_scope_items", REG + f""", q AS (SELECT *, CASE qty WHEN 'region_area_m2' THEN area WHEN 'region_length_m' THEN length WHEN 'wall_length_m' THEN wall_length WHEN 'wall_area_m2' THEN wall_length * coalesce(ceiling, 25e-1) WHEN 'flood_cut_area_m2' THEN wall_length * 6e-1 ELSE floor_area END * (1e0 + CAST(margin AS DOUBLE)) AS q FROM regions JOIN {_ITEMS} r ON {_FIT}),
 k AS (SELECT *, row_number() OVER (PARTITION BY room_id, code, surface_id ORDER BY d_ord, rule_ord, item_ord) AS nth FROM q WHERE q IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY d_ord, rule_ord, item_ord) AS i FROM k WHERE NOT wide OR nth = 1)
-SELECT room_id, concat('S', CAST(i AS VARCHAR)) AS item_id, surface_id, code, rule_id, d_ord, CAST(v AS DOUBLE) AS value, CAST(round(CAST(CAST(v AS DOUBLE) - 1645e-3 * abs(q) * 5e-2 AS DECIMAL(18, 9)), 3) AS DOUBLE) AS lo, CAST(round(CAST(CAST(v AS DOUBLE) + 1645e-3 * abs(q) * 5e-2 AS DECIMAL(18, 9)), 3) AS DOUBLE) AS hi FROM (SELECT *, round(CAST(q AS DECIMAL(18, 9)), 3) AS v FROM n)""")
+SELECT room_id, concat('S', CAST(i AS VARCHAR)) AS item_id, surface_id, code, rule_id, d_ord, CAST(v AS DOUBLE) AS value, round(CAST(v AS DOUBLE) - 1645e-3 * abs(q) * 5e-2, 4) + 0e0 AS lo, round(CAST(v AS DOUBLE) + 1645e-3 * abs(q) * 5e-2, 4) AS hi FROM (SELECT *, round(CAST(q AS DECIMAL(18, 9)), 3) AS v FROM n)""")
 def e2(spark, d):
-    out = rules.scope_items(base(spark, d, "regions"), ["room_id"])
-    return out.withColumns({c: F.round(c, 3) for c in ("value", "lo", "hi")})
+    return rules.scope_items(base(spark, d, "regions"), ["room_id"])
 
 
 @register("e9_layout", REG + """ SELECT room_id, d_ord, round(coalesce(sum(area + 5e-1) OVER (PARTITION BY room_id ORDER BY d_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0), 4) AS "left" FROM regions""")

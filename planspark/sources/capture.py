@@ -9,14 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REQUIRED = ("odometry.csv", "camera_matrix.csv", "depth", "confidence")
 PHOTO_TYPES = ("jpg", "jpeg", "heic", "heif", "png")
 VIDEO_TYPES = ("mov", "mp4")
 ODOMETRY = "timestamp double, frame int, x double, y double, z double, qx double, qy double, qz double, qw double"
 SFM = "pieces array<int>, points array<array<double>>, c2w map<string,array<array<double>>>, K array<array<double>>"
-PLAN = T.StructType.fromDDL(
+PLAN = (
     "schema_version string, capture struct<tier:string,source:string>,"
     "rooms array<struct<id:string,label:string,polygon:array<array<double>>,walls:array<struct<id:string,length:struct<value:double,lo:double,hi:double,unit:string,coverage:double>>>,"
     "floor_area:struct<value:double,lo:double,hi:double,unit:string,coverage:double>,ceiling_height:struct<value:double,lo:double,hi:double,unit:string,coverage:double>>>,"
