@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, map_rows
+from .common import filter_rows, labelled_sample, map_rows
 
 #: Labelled rows the chain is fitted on, and lines of each of them.
 SAMPLE_ROWS, SAMPLE_LINES = 6000, 40
@@ -214,16 +214,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return LineField().fit([texts[i] for i in use], np.array([int(found[i].label < 1) for i in use], int))
 
 
+def verdicts(found: list[Lines], field: LineField, keep_share: float) -> tuple[list[bool], list[float], list[bool]]:
+    """Base rules failed, content share, and kept, of each text."""
+    failed = [f.n_words < MIN_WORDS or 100 * f.n_repeat_words > MAX_REPEAT_PERCENT * f.n_words for f in found]
+    paths = field.viterbi([f.x for f in found])
+    share = [float(f.chars[p == 0].sum() / max(1, f.word_chars)) for f, p in zip(found, paths, strict=True)]
+    return failed, share, [not b and s >= keep_share for b, s in zip(failed, share, strict=True)]
+
+
+def keep_good(docs: DataFrame, field: LineField, keep_share: float = KEEP_SHARE, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+    return filter_rows(docs, [text], lambda cols: verdicts([measure(t) for t in cols[text]], held.value, keep_share)[2])
+
+
 def judge(docs: DataFrame, field: LineField, keep_share: float = KEEP_SHARE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, base counts, base_failed, content_share, kept) of every row; only the id and the text are read."""
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         found = [measure(t) for t in cols[text]]
-        paths = held.value.viterbi([f.x for f in found])
-        failed = [f.n_words < MIN_WORDS or 100 * f.n_repeat_words > MAX_REPEAT_PERCENT * f.n_words for f in found]
-        share = [float(f.chars[p == 0].sum() / max(1, f.word_chars)) for f, p in zip(found, paths, strict=True)]
+        failed, share, kept = verdicts(found, held.value, keep_share)
         out = {k: [getattr(f, k) for f in found] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-        return {id_col: cols[id_col]} | out | {"base_failed": failed, "content_share": share, "kept": [not b and s >= keep_share for b, s in zip(failed, share, strict=True)]}
+        return {id_col: cols[id_col]} | out | {"base_failed": failed, "content_share": share, "kept": kept}
 
     return map_rows(docs, [id_col, text], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")

@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component, each id once, with all their columns."""
+    """The rows of ``docs`` whose id names its component, each id once, with all their columns; rows without an id stay."""
     found = near_duplicates(docs, width, id_col, text)
     kept = found.where(F.col(id_col).cast("long") == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
