@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_rows
+from .common import filter_rows, labelled_sample, map_rows
 
 #: Labelled rows the lexicon and the trees are fitted on.
 SAMPLE_ROWS = 20_000
@@ -28,7 +28,7 @@ LEXICON_STEMS = 256
 #: Letters of a stem.
 STEM = (4, 5)
 #: Least share of the toxic sample texts that hold a stem, and least log-odds of it; copies of one text stay below.
-STEM_SHARE, STEM_ODDS = 0.004, 3.0
+STEM_SHARE, STEM_ODDS = 0.004, 2.5
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 3, 32, 0.2, 1.0
 #: Words between a lexicon word and a second-person word that still count as near.
 NEAR = 4
@@ -222,3 +222,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: s
         return {id_col: cols[id_col], "score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
     return map_rows(docs, [id_col, text], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, [text], lambda cols: (held.value.score(cols[text]) < 0.5).tolist())
