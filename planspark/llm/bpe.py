@@ -365,8 +365,8 @@ class Codec:
         parts = text.split(" ") if not (_ADJACENT.search(text) or text[0].isspace() or text[-1].isspace()) else _BETWEEN.split(text)
         return [(parts[0], parts[1:])]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.by_id.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -435,7 +435,7 @@ def encode(docs: DataFrame, path: str, lexicon: Lexicon, id_col: str = "doc_id",
 def decode(rows: DataFrame, path: str, lexicon: Lexicon, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(id, text) of rows of ids; null ids decode to the empty text."""
     kind = dict(rows.dtypes)[id_col]
-    return map_codec(rows, path, lexicon, [id_col, ids], lambda codec, cols: {id_col: cols[id_col], "text": [codec.decode(np.array(x or [], np.int64)) for x in cols[ids]]}, f"`{id_col}` {kind}, text string")
+    return map_codec(rows, path, lexicon, [id_col, ids], lambda codec, cols: {id_col: cols[id_col], "text": [codec.decode(x or []) for x in cols[ids]]}, f"`{id_col}` {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str, lexicon: Lexicon, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -445,11 +445,12 @@ def digests(docs: DataFrame, path: str, lexicon: Lexicon, id_col: str = "doc_id"
     kind = dict(docs.dtypes)[id_col]
 
     def run(codec: Codec, cols: dict[str, list]) -> dict[str, list]:
-        decimal = [str(i) for i in range(len(codec.by_id))]
+        decimal = [b"%d" % i for i in range(len(codec.by_id))]
         out = {id_col: cols[id_col], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for ids in codec.encode(cols[text]):
+        for found in codec.encode(cols[text]):
+            ids = found.tolist()
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+            out["ids_sha256"].append(sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
             out["decoded_sha256"].append(sha256(codec.decode(ids).encode()).hexdigest())
         return out
 
