@@ -135,19 +135,20 @@ class LineField:
         x = np.zeros((len(texts), width, len(FEATURES)))
         for i, t in enumerate(texts):
             x[i, : len(t)] = t
+        flat = x.reshape(-1, len(FEATURES))
         lengths = np.array([len(t) for t in texts])
         live = np.arange(width) < lengths[:, None]
         truth = np.eye(2)[labels]
         weight = np.full(len(texts), 1 / len(texts))
         steps = [np.zeros_like(self.emit), np.zeros_like(self.move)]
-        for k in range(STEPS):
-            score = x @ self.emit
+        for _ in range(STEPS):
+            score = (flat @ self.emit).reshape(len(texts), width, 2)
             one, two = self._marginals(score, live)
             gap = (truth[:, None, :] - one) * live[..., None] * (weight / np.maximum(lengths, 1))[:, None, None]
             pairs = live[:, 1:]
             want = truth[:, None, :, None] * truth[:, None, None, :]
             lean = (want - two) * pairs[..., None, None] * (weight / np.maximum(lengths, 1))[:, None, None, None]
-            grads = np.einsum("ntf,nts->fs", x, gap) - RIDGE * self.emit, lean.sum((0, 1)) - RIDGE * self.move
+            grads = flat.T @ gap.reshape(-1, 2) - RIDGE * self.emit, lean.sum((0, 1)) - RIDGE * self.move
             for s, g, w in zip(steps, grads, (self.emit, self.move), strict=True):
                 s += g**2
                 w += RATE * g / np.sqrt(s + 1e-8)
@@ -156,18 +157,19 @@ class LineField:
 
     def _marginals(self, score: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width, _ = score.shape
-        ahead, behind = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        ahead[:, 0] = score[:, 0]
+        here = np.exp(score - score.max(2, keepdims=True))
+        move = np.exp(self.move - self.move.max())
+        ahead, behind = np.zeros((n, width, 2)), np.ones((n, width, 2))
+        ahead[:, 0] = here[:, 0] / here[:, 0].sum(1, keepdims=True)
         for t in range(1, width):
-            ahead[:, t] = np.logaddexp.reduce(ahead[:, t - 1, :, None] + self.move, axis=1) + score[:, t]
+            step = (ahead[:, t - 1] @ move) * here[:, t]
+            ahead[:, t] = step / step.sum(1, keepdims=True)
         for t in range(width - 2, -1, -1):
-            step = np.logaddexp.reduce(self.move + (score[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-            behind[:, t] = np.where(live[:, t + 1, None], step, 0)
-        both = ahead + behind
-        one = np.exp(both - np.logaddexp.reduce(both, axis=2, keepdims=True))
-        joint = ahead[:, :-1, :, None] + self.move + (score[:, 1:] + behind[:, 1:])[:, :, None, :]
-        two = np.exp(joint - np.logaddexp.reduce(joint.reshape(n, width - 1, 4), axis=2)[:, :, None, None])
-        return one, two
+            step = (here[:, t + 1] * behind[:, t + 1]) @ move.T
+            behind[:, t] = np.where(live[:, t + 1, None], step / step.sum(1, keepdims=True), 1)
+        one = ahead * behind
+        two = ahead[:, :-1, :, None] * move * (here[:, 1:] * behind[:, 1:])[:, :, None, :]
+        return one / one.sum(2, keepdims=True), two / two.sum((2, 3), keepdims=True)
 
     def viterbi(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Best state sequence of each text; texts step along together, the longest first, so finished ones drop out."""
