@@ -42,32 +42,52 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Majority bits over the XXH64 hashes of all shingles; A-Z lower-cased, words parted by ASCII white space."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 hashes of all shingles; A-Z lower-cased, words parted by ASCII white space."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[width - 1 :].tolist() if len(words) >= width else [len(joined)]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp long) of every row."""
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles, for the k-th fingerprint; the first one keeps them."""
+    if not k:
+        return hashes
+    z = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text: str = "text", count: int = 1) -> DataFrame:
+    """(id, fp long, fp1 long, ...) of every row: ``count`` fingerprints over independent hashes."""
+    names = ["fp", *[f"fp{k}" for k in range(1, count)]]
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {id_col: cols[id_col], "fp": [_signed(fingerprint(t, width)) for t in cols[text]]}
+        hashes = [shingle_hashes(t, width) for t in cols[text]]
+        return {id_col: cols[id_col]} | {n: [_signed(majority(remixed(h, k))) for h in hashes] for k, n in enumerate(names)}
 
-    return map_rows(docs, [id_col, text], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    return map_rows(docs, [id_col, text], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} long" for n in names))
 
 
 def embedding(fp: Column) -> Column:
@@ -102,10 +122,10 @@ def _first_subset() -> np.ndarray:
 _FIRST = _first_subset()
 
 
-def _linked(a: np.ndarray, b: np.ndarray, subset: np.ndarray | int) -> np.ndarray:
+def _linked(a: np.ndarray, b: np.ndarray, subset: np.ndarray | int, bits: int = MAX_BITS) -> np.ndarray:
     """Whether points are within the distance and this grid is the first one where they meet."""
     ea, eb = _embed(a), _embed(b)
-    ok = (_manhattan(ea, eb) <= MAX_BITS) & (np.bitwise_count(a ^ b) <= MAX_BITS)
+    ok = (_manhattan(ea, eb) <= bits) & (np.bitwise_count(a ^ b) <= bits)
     at = np.nonzero(ok)
     same = (ea[at] ^ eb[at]) if ea.shape == eb.shape else (np.broadcast_to(ea, ok.shape)[at] ^ np.broadcast_to(eb, ok.shape)[at])
     bytes_equal = same.reshape(-1, 1).view(np.uint8).reshape(-1, 8) == 0
@@ -114,9 +134,9 @@ def _linked(a: np.ndarray, b: np.ndarray, subset: np.ndarray | int) -> np.ndarra
     return ok
 
 
-def forest(fp: np.ndarray, subset: int) -> list[tuple[int, int]]:
+def forest(fp: np.ndarray, subset: int, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """Edges (row, row) of a spanning forest of the links within one run."""
-    near = _linked(fp[:, None], fp[None, :], subset)
+    near = _linked(fp[:, None], fp[None, :], subset, bits)
     np.fill_diagonal(near, False)
     left, edges = near.any(1), []
     for root in np.flatnonzero(left):
@@ -156,7 +176,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         yield cut(held, True)[0]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
     for run, subset, fp, rep in _runs(batches):
         ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         sizes = np.bincount(run, minlength=1) if len(run) else np.zeros(0, int)
@@ -168,13 +188,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(r[k:] == r[:-k])
             if not len(at):
                 break
-            at = at[_linked(f[at], f[at + k], s[at])]
+            at = at[_linked(f[at], f[at + k], s[at], bits)]
             ends_a.append(p[at])
             ends_b.append(p[at + k])
         first = np.cumsum(np.concatenate([[0], sizes[:-1]])) if len(sizes) else []
         for k in np.flatnonzero(sizes > _RUN):
             a, n = first[k], sizes[k]
-            edges = np.array(forest(fp[a : a + n], int(subset[a])), np.int64).reshape(-1, 2)
+            edges = np.array(forest(fp[a : a + n], int(subset[a]), bits), np.int64).reshape(-1, 2)
             ends_a.append(rep[a : a + n][edges[:, 0]])
             ends_b.append(rep[a : a + n][edges[:, 1]])
         a, b = np.concatenate(ends_a), np.concatenate(ends_b)
@@ -182,8 +202,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def links(points: DataFrame) -> DataFrame:
-    """(a, b): links between representatives of distinct fingerprints that connect all points within ``MAX_BITS``."""
+def links(points: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): links between representatives of distinct fingerprints that connect all points within ``bits``.
+
+    All links are found up to ``MAX_BITS``; of longer ones those whose points agree in four of the eight groups.
+    """
     small_batches(points.sparkSession)
     cells = grid(points)
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")
@@ -194,7 +217,7 @@ def links(points: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = members.select("subset", "cell", "fp", "rep", "own", other).select(F.col("subset").cast("long").alias("subset"), "cell", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), "fp", "rep")
     run = ["subset", "cell", "low", "high"]
-    found = spread.repartition(*run).sortWithinPartitions(*run, "fp").mapInArrow(_compare, "a long, b long")
+    found = spread.repartition(*run).sortWithinPartitions(*run, "fp").mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
     return found.where("a <> b").distinct()
 
 
@@ -225,9 +248,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component, each id once, with all their columns; rows without an id stay."""
-    found = near_duplicates(docs, width, id_col, text)
-    kept = found.where(F.col(id_col).cast("long") == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text", bits: int = MAX_BITS, count: int = 1) -> DataFrame:
+    """The rows of ``docs`` whose id names its component, each id once, with all their columns; rows without an id stay.
+
+    Texts are linked if any of ``count`` fingerprints over independent hashes links them, which finds copies that one
+    fingerprint puts just beyond its distance.
+    """
+    prints = materialize(fingerprints(docs, width, id_col, text, count).where(F.col(id_col).isNotNull()))
+    edges = None
+    for fp in ["fp", *[f"fp{k}" for k in range(1, count)]]:
+        own = prints.select(F.col(id_col).cast("long").alias("id"), F.col(fp).alias("fp"))
+        points = materialize(own.groupBy("fp").agg(F.min("id").alias("rep")))
+        found = links(points, bits).unionByName(own.join(points.hint("merge"), "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+        edges = materialize(found) if edges is None else edges.unionByName(materialize(found))
+    later = components(edges.distinct()).select(F.col("node").alias("_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.join(later, docs[id_col].cast("long") == later["_id"], "left_anti").where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))
