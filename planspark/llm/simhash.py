@@ -138,19 +138,7 @@ def forest(fp: np.ndarray, subset: int, bits: int = MAX_BITS) -> list[tuple[int,
     """Edges (row, row) of a spanning forest of the links within one run."""
     near = _linked(fp[:, None], fp[None, :], subset, bits)
     np.fill_diagonal(near, False)
-    left, edges = near.any(1), []
-    for root in np.flatnonzero(left):
-        if not left[root]:
-            continue
-        left[root] = False
-        front = np.array([root])
-        while len(front):
-            reach = near[front] & left
-            new = np.flatnonzero(reach.any(0))
-            edges += zip(front[reach[:, new].argmax(0)].tolist(), new.tolist(), strict=True)
-            left[new] = False
-            front = new
-    return edges
+    return tree(near)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -248,20 +236,216 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text", bits: int = MAX_BITS, count: int = 1) -> DataFrame:
+#: Similarity of shingle sets from which two texts are near duplicates.
+SIMILARITY = 0.8
+#: Groups that agree in a cell of the wide grid: complete up to six bits of one fingerprint, and far beyond by chance.
+PAIRS = np.array(list(combinations(range(_GROUPS), 2)), np.uint64)
+#: Differing bits of a fingerprint, on average over all of them, up to which two texts that share a cell are verified.
+WIDE_BITS = 15
+#: Candidates of a run beyond this many a point are thinned to a spanning forest, and the run is compared again later.
+DENSE = 8
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_fingerprints(docs: DataFrame, width: int, id_col: str, text: str, count: int) -> DataFrame:
+    """(id, key, fps): a digest of the text's shingle set, and its fingerprints over independent hashes."""
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        from xxhash import xxh3_128_digest
+
+        sets = [shingle_set(t, width) for t in cols[text]]
+        fps = [[_signed(majority(remixed(h, k))) for k in range(count)] for h in sets]
+        return {"id": cols[id_col], "key": [xxh3_128_digest(h.tobytes()) for h in sets], "fps": fps}
+
+    return map_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), text), [id_col, text], run, "id long, key binary, fps array<long>")
+
+
+def wide_cells(fps: np.ndarray) -> np.ndarray:
+    """Cells (row, 28 a fingerprint) of fingerprints (row, k): number of the choice, then the two agreeing groups."""
+    groups = (fps[:, :, None] >> (np.uint64(8) * np.arange(_GROUPS, dtype=np.uint64))) & np.uint64(0xFF)
+    value = (groups[:, :, PAIRS[:, 0]] << np.uint64(8)) | groups[:, :, PAIRS[:, 1]]
+    return value.reshape(len(fps), -1).astype(np.int64) + (np.arange(fps.shape[1] * len(PAIRS)) << 16)
+
+
+def wide_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether fingerprints (..., k) differ in few enough bits to be verified."""
+    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.uint16) for k in range(a.shape[-1])) <= WIDE_BITS * a.shape[-1]
+
+
+def _fps(batch: pa.RecordBatch, count: int) -> np.ndarray:
+    return np.asarray(batch.column("fps").flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, count)
+
+
+def _wide_runs(points: DataFrame, count: int) -> DataFrame:
+    """(run, rep, root, fps): every point in all its cells; a cell of several blocks is dealt as pairs of blocks.
+
+    The cells are a fixed number (2^16 a choice), so one number a cell says how many blocks it has.
+    """
+    size = count * len(PAIRS) << 16
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                np.add.at(n, wide_cells(_fps(batch, count)).reshape(-1), 1)
+        cells = np.flatnonzero(n)
+        for at in range(0, len(cells), 1 << 16):
+            part = cells[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], names=["cell", "n"])
+
+    small_batches(points.sparkSession)
+    large = points.select("fps").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).toArrow()
+    blocks = np.ones(size, np.uint16)
+    blocks[large.column("cell").to_numpy()] = -(-large.column("n").to_numpy() // BLOCK)
+    held = points.sparkSession.sparkContext.broadcast(blocks)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, root = (batch.column(c).to_numpy() for c in ("rep", "root"))
+            fps = _fps(batch, count).view(np.int64)
+            cell = wide_cells(fps.view(np.uint64))
+            row = np.repeat(np.arange(len(rep)), cell.shape[1])
+            cell = cell.reshape(-1)
+            n = held.value[cell].astype(np.int64)
+            own = (remixed(rep.view(np.uint64), 1)[row] % n.astype(np.uint64)).astype(np.int64)
+            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, cell, own = np.repeat(row, n), np.repeat(cell, n), np.repeat(own, n)
+            run = (cell << 32) | (np.minimum(own, other) << 16) | np.maximum(own, other)
+            for at in range(0, len(row), 1 << 14):
+                r = row[at : at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array(run[at : at + (1 << 14)]), pa.array(rep[r]), pa.array(root[r]), *[pa.array(fps[r, k]) for k in range(count)]], names=["run", "rep", "root", *[f"fp{k}" for k in range(count)]])
+
+    return points.select("rep", "root", "fps").mapInArrow(deal, "run long, rep long, root long, " + ", ".join(f"fp{k} long" for k in range(count)))
+
+
+def tree(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of a symmetric table of links."""
+    left, edges = near.any(1), []
+    for root in np.flatnonzero(left):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            reach = near[front] & left
+            new = np.flatnonzero(reach.any(0))
+            edges += zip(front[reach[:, new].argmax(0)].tolist(), new.tolist(), strict=True)
+            left[new] = False
+            front = new
+    return edges
+
+
+def _wide_compare(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, run) candidates of different roots; run is set where a run was thinned, which ``whole`` forbids."""
+
+    def compare(cols: list[np.ndarray]) -> pa.RecordBatch:
+        run, rep, root = cols[:3]
+        fps = np.stack(cols[3:], 1).view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(run)]]))
+        ends_a, ends_b, thinned = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def found(a: np.ndarray, b: np.ndarray, thin: int = -1) -> None:
+            ends_a.append(rep[a])
+            ends_b.append(rep[b])
+            thinned.append(np.full(len(a), thin))
+
+        keep = np.flatnonzero(np.repeat(sizes <= _RUN, sizes))
+        r = run[keep]
+        for k in range(1, _RUN):
+            at = np.flatnonzero(r[k:] == r[:-k])
+            if not len(at):
+                break
+            a, b = keep[at], keep[at + k]
+            ok = (root[a] != root[b]) & wide_near(fps[a], fps[b])
+            found(a[ok], b[ok])
+        for k in np.flatnonzero(sizes > _RUN):
+            at, n = starts[k], sizes[k]
+            part, roots = fps[at : at + n], root[at : at + n]
+            near = wide_near(part[:, None], part[None, :]) & (roots[:, None] != roots[None, :])
+            if whole or near.sum() <= 2 * DENSE * n:
+                a, b = np.nonzero(np.triu(near, 1))
+                found(at + a, at + b)
+            else:
+                a, b = np.array(tree(near), np.int64).reshape(-1, 2).T
+                found(at + a, at + b, int(run[at]))
+        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(thinned))], names=["a", "b", "run"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= 1 << 14:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            done = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [[c[done:] for c in cols]]
+            if done:
+                yield compare([c[:done] for c in cols])
+    if held:
+        yield compare([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+    """(a, b): the pairs whose exact shingle sets are similar enough; sets are made for texts in pairs only."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id")
+    sets = materialize(map_rows(texts, ["id", "text"], lambda cols: {"id": cols["id"], "s": [shingle_set(t, width).tobytes() for t in cols["text"]]}, "id long, s binary"))
+    both = pairs.join(sets.selectExpr("id as a", "s as sa"), "a").join(sets.selectExpr("id as b", "s as sb"), "b").select("a", "b", "sa", "sb")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return materialize(both.mapInArrow(check, "a long, b long"))
+
+
+def similar_links(docs: DataFrame, width: int, id_col: str, text: str, count: int) -> DataFrame:
+    """(a, b) ids that connect all texts whose shingle sets have similarity 0.8 or more, up to the grid's recall.
+
+    Equal sets are one point. Points that share a cell of any fingerprint and are near enough over all fingerprints are
+    candidates, and each is verified by its exact sets. Runs of very many candidates first pass a spanning forest; what
+    its verified links leave in different components is compared again and verified pair by pair.
+    """
+    prints = materialize(set_fingerprints(docs.where(F.col(id_col).isNotNull()), width, id_col, text, count))
+    points = materialize(prints.groupBy("key").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")))
+    equal = materialize(prints.select("id", "key").join(points.select("key", "rep").hint("merge"), "key").where("id <> rep").selectExpr("rep as a", "id as b"))
+
+    def candidates(rooted: DataFrame, runs: DataFrame | None) -> DataFrame:
+        dealt = _wide_runs(rooted, count)
+        dealt = dealt if runs is None else dealt.join(runs, "run", "left_semi")
+        whole = runs is not None
+        return materialize(dealt.repartition("run").sortWithinPartitions("run").mapInArrow(lambda batches: _wide_compare(batches, whole), "a long, b long, run long").where("a <> b"))
+
+    found = candidates(points.select("rep", F.col("rep").alias("root"), "fps"), None)
+    edges = equal.unionByName(_verified(found.select("a", "b").distinct(), docs, width, id_col, text))
+    thinned = materialize(found.where("run >= 0").select("run").distinct())
+    if not thinned.isEmpty():
+        roots = components(edges).withColumnRenamed("node", "rep")
+        rooted = materialize(points.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "fps"))
+        again = candidates(rooted, thinned).select("a", "b").distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
+        edges = edges.unionByName(_verified(materialize(again), docs, width, id_col, text))
+    return edges
+
+
+def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text", count: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id names its component, each id once, with all their columns; rows without an id stay.
 
-    Texts are linked if any of ``count`` fingerprints over independent hashes links them, which finds copies that one
-    fingerprint puts just beyond its distance.
+    Texts are linked if the similarity of their sets of ``width``-word shingles is 0.8 or more; candidates come from
+    ``count`` fingerprints over independent hashes.
     """
-    prints = materialize(fingerprints(docs, width, id_col, text, count).where(F.col(id_col).isNotNull()))
-    edges = None
-    for fp in ["fp", *[f"fp{k}" for k in range(1, count)]]:
-        own = prints.select(F.col(id_col).cast("long").alias("id"), F.col(fp).alias("fp"))
-        points = materialize(own.groupBy("fp").agg(F.min("id").alias("rep")))
-        found = links(points, bits).unionByName(own.join(points.hint("merge"), "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-        edges = materialize(found) if edges is None else edges.unionByName(materialize(found))
-    later = components(edges.distinct()).select(F.col("node").alias("_id"))
+    later = components(similar_links(docs, width, id_col, text, count).distinct()).select(F.col("node").alias("_id"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.join(later, docs[id_col].cast("long") == later["_id"], "left_anti").where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return named.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))

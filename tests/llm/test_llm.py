@@ -200,6 +200,36 @@ def test_simhash_brute_force(spark, edge, nothing):
     assert kept.columns == edge.columns and kept.where("doc_id = 7").count() == 1 and kept.where("doc_id is null").count() == 1
 
 
+def test_pipeline_links_shingle_similarity(spark):
+    """Pairs just above similarity 0.8 are linked, pairs just below never, in small cells and in a large group."""
+    rng = np.random.default_rng(8)
+    texts, close = [], []
+
+    def sets(t):
+        words = t.split()
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for k in range(200):
+        words = [f"x{w}" for w in rng.integers(0, 10**9, 300)]
+        other = list(words)
+        n = 32 if k % 2 else 37  # of 296 shingles, 32 replaced leave similarity 0.805, 37 leave 0.778
+        other[300 - n :] = [f"y{w}" for w in rng.integers(0, 10**9, n)]
+        a, b = sets(" ".join(words)), sets(" ".join(other))
+        close.append(len(a & b) >= 0.8 * len(a | b))
+        texts += [" ".join(words), " ".join(other)]
+    assert 90 <= sum(close) <= 110
+    base = [f"z{w}" for w in rng.integers(0, 10**9, 300)]
+    for k in range(1200):
+        own = list(base)
+        own[(k * 7) % 290 : (k * 7) % 290 + 3] = [f"q{k}a", f"q{k}b", f"q{k}c"]
+        texts.append(" ".join(own))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()}
+    dropped = [2 * k + 1 not in kept for k in range(200)]
+    assert not any(d for d, c in zip(dropped, close, strict=True) if not c)
+    assert sum(dropped) >= 0.95 * sum(close)
+    assert [i for i in kept if i >= 400] == [400]
+
+
 def test_forest_connects_as_all_links_do():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, dtype=np.uint64)
