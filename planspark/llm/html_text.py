@@ -1,14 +1,15 @@
 """Main text of HTML pages by differencing pages of near URLs.
 
-Pages are ordered by host, URL path and id across the cluster, so every page stands beside its nearest URL in the same
-host. The text lines of a page are aligned with that neighbour's by a longest common subsequence, and shared lines are
-deleted. Two things are known beforehand and limit what the alignment may delete: lines inside an ``article`` or ``main``
-element are never deleted, because copied articles share lines too, and lines inside navigation, header, footer, form,
-advert, notice or comment regions are always deleted. Pages without such an element keep what the alignment leaves; if a
-neighbour shares most of a page, the two are taken for copies and only known regions go.
+Pages are ordered by host, URL path and id across the cluster, so every page stands beside its nearest URLs in the same
+host. The text lines of a page are aligned by longest common subsequences with up to two neighbours on each side, and
+lines shared with over half of them are deleted: a template's lines recur on most neighbours, a copied article's on its
+copies only. Neighbours with the very same free lines are exact copies and have no vote. Two things are known beforehand
+and limit what the alignment decides: lines inside an ``article`` or ``main`` element are never deleted, because copied
+articles share lines too, and lines inside navigation, header, footer, form, advert, notice or comment regions are always
+deleted. The alignment decides about all other lines, also on pages with an ``article`` or ``main`` element.
 
 Edge cases: a null or empty page has the empty text. A null URL has an empty host and path. A page alone in its host has
-no neighbour. Unclosed elements end with the page or with an enclosing element. Repeated rows are each their own page.
+no neighbour; with a single neighbour, what both share is deleted; with exact copies only, nothing is. Unclosed elements end with the page or with an enclosing element. Repeated rows are each their own page.
 Very long pages are read whole. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .url_filter import host_of, path_of
 
-#: Share of a page's free lines beyond which a neighbour counts as a copy.
-COPY_SHARE = 0.6
+#: Neighbours on each side of a page.
+SIDE = 2
 # Elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title", "head")
 REGIONS = frozenset("nav footer aside form menu dialog button select".split())
@@ -50,6 +51,9 @@ class Lines:
     text: list[str] = field(default_factory=list)
     region: list[int] = field(default_factory=list)
 
+    def free(self) -> list[str]:
+        return [t for t, r in zip(self.text, self.region, strict=True) if r == 0]
+
 
 def _is_region(tag: str, name: str, in_main: bool) -> bool:
     if name in REGIONS or (name == "header" and not in_main):
@@ -167,26 +171,30 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return ends
 
 
-def main_text(page: Lines, neighbour: Lines | None) -> str:
-    """The page's lines without known regions and without what it shares with its neighbour."""
+def main_text(page: Lines, *neighbours: Lines | None) -> str:
+    """The page's lines without known regions and without what it shares with over half of its neighbours."""
     free = [i for i, r in enumerate(page.region) if r == 0]
-    deleted: set[int] = set()
-    if neighbour is not None and len(page.text):
-        common = shared(page.text, neighbour.text).intersection(free)
-        if len(common) <= COPY_SHARE * len(free):
-            deleted = common
-    has_main = 1 in page.region
-    return "\n".join(t for i, (t, r) in enumerate(zip(page.text, page.region, strict=True)) if r == 1 or (r == 0 and not has_main and i not in deleted))
+    votes: Counter[int] = Counter()
+    voters = 0
+    if free:
+        own = page.free()
+        for other in neighbours:
+            if other is not None and other.free() != own:
+                voters += 1
+                votes.update(shared(page.text, other.text).intersection(free))
+    return "\n".join(t for i, (t, r) in enumerate(zip(page.text, page.region, strict=True)) if r == 1 or (r == 0 and 2 * votes[i] <= voters))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by host and path; each page meets the one before it, the first of a host the one after it."""
-    before: tuple[str, Lines] | None = None
-    waiting: tuple | None = None
+    """Rows come ordered by host and path; each page meets those before and after it in its host."""
+    before: deque[Lines] = deque(maxlen=SIDE)
+    waiting: deque[tuple] = deque()
     out: list[tuple] = []
 
-    def emit(row: tuple, neighbour: Lines | None) -> None:
-        text = main_text(row[2], neighbour)
+    def emit() -> None:
+        row = waiting.popleft()
+        text = main_text(row[2], *before, *[r[2] for r in waiting])
+        before.append(row[2])
         out.append((row[0], row[1], text, len(text)))
 
     def batch_of() -> pa.RecordBatch:
@@ -195,20 +203,18 @@ def _extract(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterato
 
     for batch in batches:
         for page_id, url, page, host in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            row = (page_id, url, lines_of(page))
-            if waiting is not None:
-                emit(waiting, row[2] if before[0] == host else None)
-                waiting = None
-            if before is not None and before[0] == host:
-                emit(row, before[1])
-            else:
-                waiting = row
-            before = host, row[2]
+            if waiting and waiting[0][3] != host:
+                while waiting:
+                    emit()
+                before.clear()
+            waiting.append((page_id, url, lines_of(page), host))
+            if len(waiting) > SIDE:
+                emit()
         yield batch_of()
         out.clear()
-    if waiting is not None:
-        emit(waiting, None)
-        yield batch_of()
+    while waiting:
+        emit()
+    yield batch_of()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -433,6 +433,20 @@ def test_html_regions():
     assert text(None) == text("") == text("<p>") == ""
 
 
+def test_html_alignment_decides(spark):
+    """Free lines beside an article stay; large templates go; copies are told from templates by further neighbours."""
+    lines = lambda *texts: "".join(f"<div>{t}</div>" for t in texts)
+    template = [f"template {k}" for k in range(9)]
+    teaser = "<article>teaser</article>"
+    bodies = {1: "alpha", 2: "beta", 3: "copied story", 4: "copied story", 5: "gamma"}
+    for card in ("", teaser):
+        rows = [(i, f"http://a.b/{i}", card + lines(*template, f"{b} one", f"{b} two", f"only {i}")) for i, b in bodies.items()]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+        got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+        head = "teaser\n" if card else ""
+        assert got == {i: f"{head}{b} one\n{b} two\nonly {i}" for i, b in bodies.items()}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_common_lines_brute_force(a, b):
