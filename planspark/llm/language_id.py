@@ -2,7 +2,8 @@
 
 One order-4 model per language. Characters fold to 64 classes (non-letters share one), so a 4-gram is a 24-bit number;
 the counts of all training texts are added up by Spark and smoothed on the driver. Models of all languages share one
-sorted array of hashed 4-grams with one row of log-probabilities each; 4-grams outside it back off to the trigram array.
+sorted array of all counted 4-grams, hashed, with one row of log-probabilities each; uncounted ones back off to the
+trigram array.
 A text takes the language of the lowest cross-entropy per character; a temperature fitted on a bounded sample of
 training rows turns the cross-entropies into a probability, and a threshold on it rejects unsure predictions.
 
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, small_batches
 
-#: 4-grams kept in the broadcast array (most frequent first); rarer ones are scored by the interpolated trigram model.
-MAX_ENTRIES = 1 << 20
 #: Labelled rows the temperature and the rejection threshold are fitted on.
 CALIBRATION_ROWS = 4000
 #: Share of accepted calibration rows that must be right.
@@ -107,18 +106,16 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 class KneserNey:
     """Models of all languages: sorted hashed 4-grams and trigrams with a column of log-probabilities a language."""
 
-    def __init__(self, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], max_entries: int = MAX_ENTRIES):
+    def __init__(self, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
         width = len(languages)
         tri = np.zeros((1 << 18, width))
         weight = np.ones((1 << 18, width))
-        total = np.zeros(1 << 24, np.int64) if languages else np.zeros(0, np.int64)
-        for keys, n in counts.values():
-            total[keys] += n
-        seen = np.flatnonzero(total)
-        if len(seen) > max_entries:
-            seen = np.sort(seen[np.argsort(-total[seen], kind="stable")[:max_entries]])
-        del total
+        counted = np.zeros(1 << 24 if languages else 0, bool)
+        for keys, _ in counts.values():
+            counted[keys] = True
+        seen = np.flatnonzero(counted)
+        del counted
         high = np.zeros((len(seen), width))
         for j, lg in enumerate(languages):
             keys, n = (np.asarray(x) for x in counts[lg])
@@ -137,10 +134,7 @@ class KneserNey:
             p3 = p3.reshape(-1)
             tri[:, j], weight[:, j] = p3, lam
             p4 = lam[seen >> _BITS] * p3[seen & _MASK18]
-            at = np.searchsorted(seen, keys)
-            at[at == len(seen)] = 0
-            kept = seen[at] == keys if len(seen) else np.zeros(len(keys), bool)
-            p4[at[kept]] += np.maximum(n[kept] - d, 0) / mass[context[kept]]
+            p4[np.searchsorted(seen, keys)] += np.maximum(n - d, 0) / mass[context]
             high[:, j] = p4
         h = hashed(seen.astype(np.uint32))
         order = np.argsort(h)
@@ -245,7 +239,7 @@ class KneserNey:
         return langs, score, letters & (score >= self.threshold), np.where(letters, entropies.min(1), 0.0)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS, max_entries: int = MAX_ENTRIES) -> KneserNey:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS) -> KneserNey:
     """Counts of every training row, then a model on the driver (at most 2^24 grams a language by construction)."""
     rows = count_grams(train, text, lang).toArrow()
     names = rows.column("lang").to_numpy(zero_copy_only=False)
@@ -256,7 +250,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
         own = names == lg
         order = np.argsort(keys[own])
         counts[lg] = keys[own][order], n[own][order]
-    model = KneserNey(languages, counts, max_entries)
+    model = KneserNey(languages, counts)
     labelled = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     ids = labelled.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(calibration_rows)  # a bounded, documented sample
     sample = labelled.join(F.broadcast(ids.distinct()), id_col, "left_semi") if languages else None

@@ -52,6 +52,17 @@ def test_language_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97
 
 
+def test_language_keeps_every_gram():
+    """The 4-grams of a small language count beside those of a hot one with over 2^20 of them."""
+    hot = np.arange(1 << 23, (1 << 23) + (1 << 20) + 5000, dtype=np.int64)
+    small = np.arange(4096, 4096 + 1000, dtype=np.int64)
+    model = language_id.KneserNey(["hot", "small"], {"hot": (hot, np.full(len(hot), 9)), "small": (small, np.full(len(small), 2))})
+    assert len(model.keys) == len(hot) + len(small)
+    got = model._logs_of(small.astype(np.uint32))[:, 1]
+    backed_off = (model.weight[small >> 6] + model.tri[small & ((1 << 18) - 1)])[:, 1]
+    assert (got > backed_off + 1e-3).all()
+
+
 def test_kneser_ney_sums_to_one():
     codes = language_id.encode("some words of a text to count")
     keys, n = np.unique(language_id.grams(codes), return_counts=True)
