@@ -6,6 +6,7 @@ restarted task can read them; a private folder is used only where that setting i
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,34 +21,53 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; where the session names none, one is made and set (local sessions)."""
+    """The folder all machines share; where a session of one machine names none, one is made and set."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else ""
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="planspark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table is removed when the application ends.
+    ``batch_rows`` may be larger where Python takes narrow rows. The table is removed by ``release``, or else when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planspark-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(spark, batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        small_batches(spark)
+    hadoop_path, files = _hadoop(spark, path)
+    files.deleteOnExit(hadoop_path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
 
 
-def small_batches(spark: SparkSession) -> None:
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    hadoop_path, files = _hadoop(table.sparkSession, table._path)
+    files.delete(hadoop_path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch for every later plan of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:

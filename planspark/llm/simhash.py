@@ -3,19 +3,27 @@
 A text's fingerprint takes, bit by bit, the majority of its shingles' 64-bit hashes. Fingerprints are embedded as the
 popcounts of their 32 two-bit segments; the Manhattan distance of two embeddings never exceeds the Hamming distance of
 the fingerprints, so it is a lower bound that prunes. The range join on the embedding works on a grid: the segments form
-eight groups, and two embeddings within distance four agree in at least four whole groups, so they share the grid cell of
-one of the 70 choices of four groups. Cells of one point drop out; the others are split into blocks of
-bounded size, and pairs of blocks are compared together; of the links found in a large pair only a spanning forest is
-passed on, never all pairs. Every candidate is verified by the exact Hamming distance. Equal fingerprints are one point
-throughout. Components come from alternating large-star and small-star rounds, each written to the shared folder.
-
-Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other. Fewer words than a shingle:
-the whole sequence is one shingle. Rows that repeat an id count as one document. A null id joins its component's smallest
-other id. Very long texts are hashed whole. An empty table gives an empty result; extra columns are ignored.
+eight groups, and two embeddings within distance d agree in at least 8 - d whole groups, so they share the grid cell of
+one choice of that many groups (70 choices for distance four). Points are dealt by cell and compared within it, and every
+candidate is verified by the exact Hamming distance. Equal fingerprints are one point throughout.
+
+No cell is ever multiplied: a cell with more than ``BLOCK`` points is first dealt twice at random into blocks of bounded
+size, which links nearly all that can be linked; only what its points still leave in different components is compared
+again, the largest component's blocks against the rest. Of the links of a run a spanning forest is passed on, never all
+pairs. Components come from alternating large-star and small-star rounds, each written to the shared folder.
+
+``keep_first`` links whole sets of shingles by their similarity instead (see ``similar_links``).
+
+Edge cases: a null, empty or blank text has fingerprint zero (an empty set) and is linked like any other. Fewer words
+than a shingle: the whole sequence is one shingle. Ids may be of any type that has an order. Rows that repeat an id and a
+text count as one document; rows that share an id alone stay documents of their own. A null id joins its component's
+smallest other id, and ``keep_first`` keeps such rows. Very long texts are hashed whole. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, small_batches
+from .common import map_rows, materialize, release
 
 MAX_BITS = 4
 SEED = 42
-#: Points of a block; two blocks are compared at a time.
-BLOCK = 512
+#: Points of a block: what is compared with each other at a time.
+BLOCK = 2048
 _GROUPS = 8
-#: The 70 choices of four of the eight groups, as masks over the embedding (one byte a group).
-SUBSETS = list(combinations(range(_GROUPS), _GROUPS - MAX_BITS))
-MASKS = [sum(0xFF << (8 * g) for g in s) for s in SUBSETS]
 _LOW = 0x5555555555555555
+#: Rows of an Arrow batch of points, which are a few numbers each.
+NARROW = 1 << 14
+#: Points of a run up to which all runs of a batch are compared together.
 _RUN = 24
 
 
@@ -57,37 +65,38 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], "<u8")
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half the hashes."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Other hashes of the same shingles, for the k-th fingerprint; the first one keeps them."""
-    if not k:
-        return hashes
-    z = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+def remixed(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Independent hashes (seed, shingle) out of one; seed zero keeps it."""
+    z = hashes[None, :] ^ seeds[:, None]
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    z ^= z >> np.uint64(31)
+    z[seeds == 0] = hashes
+    return z
+
+
+def majorities(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` fingerprints over independent hashes: the bits that are set in over half of each hash's values."""
+    seeds = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros((count, 64), np.int64)
+    for at in range(0, len(hashes), 255):  # so many bits add up in a byte
+        mixed = remixed(hashes[at : at + 255], seeds)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(count, -1, 8), axis=2, bitorder="little")
+        ones += bits.view(np.uint64).sum(1, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprint(text: str | None, width: int) -> int:
-    return majority(shingle_hashes(text, width))
+    return int(majorities(shingle_hashes(text, width), 1)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text: str = "text", count: int = 1) -> DataFrame:
-    """(id, fp long, fp1 long, ...) of every row: ``count`` fingerprints over independent hashes."""
-    names = ["fp", *[f"fp{k}" for k in range(1, count)]]
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fp long) of every row."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        hashes = [shingle_hashes(t, width) for t in cols[text]]
-        return {id_col: cols[id_col]} | {n: [_signed(majority(remixed(h, k))) for h in hashes] for k, n in enumerate(names)}
+        return {id_col: cols[id_col], "fp": [_signed(fingerprint(t, width)) for t in cols[text]]}
 
-    return map_rows(docs, [id_col, text], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} long" for n in names))
+    return map_rows(docs, [id_col, text], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -97,11 +106,16 @@ def embedding(fp: Column) -> Column:
     return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def grid(points: DataFrame) -> DataFrame:
-    """(subset, cell, fp, rep): the 70 grid cells of each point."""
-    e = embedding(F.col("fp"))
-    cells = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("subset"), e.bitwiseAND(F.lit(_signed(m))).alias("cell")) for k, m in enumerate(MASKS)])
-    return points.select(F.explode(cells).alias("c"), "fp", "rep").select("c.subset", "c.cell", "fp", "rep")
+def choices(bits: int) -> list[tuple[int, ...]]:
+    """The choices of groups of which two embeddings within ``bits`` share one whole."""
+    return list(combinations(range(_GROUPS), _GROUPS - bits))
+
+
+def grid(points: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """(cell, p): the grid cells of each point; a cell is named by a hash, so a clash only adds comparisons."""
+    e = embedding(F.col("p"))
+    masks = [sum(0xFF << (8 * g) for g in c) for c in choices(bits)]
+    return points.select(F.explode(F.array(*[F.xxhash64(F.lit(k), e.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])).alias("cell"), "p")
 
 
 def _embed(fp: np.ndarray) -> np.ndarray:
@@ -114,99 +128,142 @@ def _manhattan(ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low) + 2 * np.bitwise_count(high & ~low)
 
 
-def _first_subset() -> np.ndarray:
-    """By the set of agreeing groups: the first choice of four among them, or -1."""
-    return np.array([next((k for k, s in enumerate(SUBSETS) if all(agree >> g & 1 for g in s)), -1) for agree in range(1 << _GROUPS)], np.int16)
-
-
-_FIRST = _first_subset()
-
+def _linked(a: np.ndarray, b: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
+    """Whether points are within the distance: the lower bound first, then the exact one."""
+    return (_manhattan(_embed(a), _embed(b)) <= bits) & (np.bitwise_count(a ^ b) <= bits)
 
-def _linked(a: np.ndarray, b: np.ndarray, subset: np.ndarray | int, bits: int = MAX_BITS) -> np.ndarray:
-    """Whether points are within the distance and this grid is the first one where they meet."""
-    ea, eb = _embed(a), _embed(b)
-    ok = (_manhattan(ea, eb) <= bits) & (np.bitwise_count(a ^ b) <= bits)
-    at = np.nonzero(ok)
-    same = (ea[at] ^ eb[at]) if ea.shape == eb.shape else (np.broadcast_to(ea, ok.shape)[at] ^ np.broadcast_to(eb, ok.shape)[at])
-    bytes_equal = same.reshape(-1, 1).view(np.uint8).reshape(-1, 8) == 0
-    agree = np.packbits(bytes_equal, axis=1, bitorder="little")[:, 0] if len(same) else np.zeros(0, np.uint8)
-    ok[at] = _FIRST[agree] == (subset[at] if isinstance(subset, np.ndarray) else subset)
-    return ok
 
-
-def forest(fp: np.ndarray, subset: int, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Edges (row, row) of a spanning forest of the links within one run."""
-    near = _linked(fp[:, None], fp[None, :], subset, bits)
-    np.fill_diagonal(near, False)
-    return tree(near)
+def tree(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of a symmetric table of links."""
+    left, edges = near.any(1), []
+    for root in np.flatnonzero(left):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            reach = near[front] & left
+            new = np.flatnonzero(reach.any(0))
+            edges += zip(front[reach[:, new].argmax(0)].tolist(), new.tolist(), strict=True)
+            left[new] = False
+            front = new
+    return edges
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (run number, subset, fp, rep) of whole runs of equal (subset, cell, low block, high block)."""
-    held: list[list[np.ndarray]] = []
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal first ``keys`` columns, as rows come sorted by them, and where each run starts."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
 
-    def cut(parts: list[list[np.ndarray]], last: bool):
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        change = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
-        run = np.concatenate([[0], np.cumsum(change)])
-        whole = len(run) if last else int(np.searchsorted(run, run[-1]))
-        rest = [c[whole:] for c in cols]
-        return (run[:whole], cols[0][:whole], cols[4][:whole].view(np.uint64), cols[5][:whole]), rest
+    def cut(last: bool):
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = [table.column(i).to_numpy() for i in range(keys)]
+        starts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1])
+        end = table.num_rows if last else int(starts[-1])
+        return table.slice(0, end), starts if last else starts[:-1], table.slice(end)
 
     for batch in batches:
         if batch.num_rows:
-            held.append([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns])
-            if sum(len(h[0]) for h in held) >= 1 << 14:
-                out, rest = cut(held, False)
-                held = [rest]
-                yield out
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 15:
+                table, starts, rest = cut(False)
+                held = rest.to_batches()
+                rows = rest.num_rows
+                if table.num_rows:
+                    yield table, starts
     if held:
-        yield cut(held, True)[0]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
-    for run, subset, fp, rep in _runs(batches):
-        ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        sizes = np.bincount(run, minlength=1) if len(run) else np.zeros(0, int)
-        small = sizes[run] <= _RUN if len(run) else np.zeros(0, bool)
-        r, s, f, p = run[small], subset[small], fp[small], rep[small]
-        for k in range(1, _RUN):
-            if k >= len(r):
-                break
-            at = np.flatnonzero(r[k:] == r[:-k])
-            if not len(at):
-                break
-            at = at[_linked(f[at], f[at + k], s[at], bits)]
-            ends_a.append(p[at])
-            ends_b.append(p[at + k])
-        first = np.cumsum(np.concatenate([[0], sizes[:-1]])) if len(sizes) else []
-        for k in np.flatnonzero(sizes > _RUN):
-            a, n = first[k], sizes[k]
-            edges = np.array(forest(fp[a : a + n], int(subset[a]), bits), np.int64).reshape(-1, 2)
-            ends_a.append(rep[a : a + n][edges[:, 0]])
-            ends_b.append(rep[a : a + n][edges[:, 1]])
-        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield cut(True)[:2]
+
+
+def _small_pairs(starts: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the same run, for all runs of 2 to ``_RUN`` rows."""
+    sizes = np.diff(np.concatenate([starts, [total]]))
+    keep = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= _RUN), sizes))
+    run = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    for k in range(1, _RUN):
+        at = np.flatnonzero(run[k:] == run[:-k])
+        if not len(at):
+            break
+        yield keep[at], keep[at + k]
+
+
+def _large_runs(starts: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
+    sizes = np.diff(np.concatenate([starts, [total]]))
+    for k in np.flatnonzero(sizes > _RUN):
+        yield int(starts[k]), int(sizes[k])
+
+
+def _edges(a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), **more})
+
+
+def _link_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) links within runs (cell, block) of points p; with a column ``root``, of different components only."""
+    for table, starts in _whole_runs(batches, 2):
+        p = table.column("p").to_numpy().view(np.uint64)
+        root = table.column("root").to_numpy() if "root" in table.column_names else None
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in _small_pairs(starts, len(p)):
+            ok = _linked(p[a], p[b], bits)
+            if root is not None:
+                ok &= root[a] != root[b]
+            ends.append((a[ok], b[ok]))
+        for at, n in _large_runs(starts, len(p)):
+            own, near = p[at : at + n], np.zeros((n, n), bool)
+            for i in range(0, n, 256):
+                near[i : i + 256] = _linked(own[i : i + 256, None], own[None, :], bits)
+            if root is not None:
+                near &= root[at : at + n, None] != root[None, at : at + n]
+            np.fill_diagonal(near, False)
+            edges = np.array(tree(near), np.int64).reshape(-1, 2)
+            ends.append((at + edges[:, 0], at + edges[:, 1]))
+        if ends:
+            a, b = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+            yield _edges(p[a].view(np.int64), p[b].view(np.int64))
+
+
+def hot_cells(cells: DataFrame) -> DataFrame:
+    """(cell, blocks) of cells with more than ``BLOCK`` points; counted with partial sums, so a hot cell is no hot task."""
+    return materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks")))
+
+
+def dealt(cells: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with their ``block``: 0 in ordinary cells; in hot ones twice, in two independent random blocks."""
+    spots = F.array(*[2 * F.pmod(F.xxhash64(F.lit(r), "p"), F.col("blocks")) + r + 1 for r in range(2)])
+    named = cells.join(hot, "cell", "left").withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(spots))).drop("blocks")
+    return named.repartition("cell", "block").sortWithinPartitions("cell", "block")
+
+
+def across(cells: DataFrame, chosen: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell, block, side, p, root): points of the chosen cells that hold several components.
+
+    A cell that fits one block is one run. In a larger one the blocks of its largest component meet the blocks of the
+    rest, and the rest's meet each other; a component is never compared with itself.
+    """
+    named = materialize(cells.select("cell", "p").join(chosen.select("cell").distinct(), "cell", "left_semi").join(roots.select(F.col("node").alias("p"), "root"), "p", "left").select("cell", "p", F.coalesce("root", "p").alias("root")))
+    parts = named.groupBy("cell", "root").agg(F.count("*").alias("k"))
+    split = parts.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    split = split.select("cell", F.col("top.root").alias("major"), "n", F.ceil(F.col("top.k") / F.lit(BLOCK)).alias("m"), F.ceil((F.col("n") - F.col("top.k")) / F.lit(BLOCK)).alias("q"))
+    zero, big = F.lit(0).cast("long"), F.lit(1 << 30)
+    major = F.col("root") == F.col("major")
+    own = F.when(major, F.pmod(F.xxhash64("p"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("p"), F.col("q")))
+    rest = F.transform(F.sequence(zero, F.col("q") - 1), lambda j: j + F.col("m"))
+    others = F.when(major, rest).otherwise(F.concat(F.sequence(zero, F.col("m") - 1), rest))
+    runs = F.when(F.col("n") <= BLOCK, F.array(zero)).otherwise(F.transform(others, lambda o: F.least(F.col("side"), o) * big + F.greatest(F.col("side"), o) + 1))
+    return named.join(split, "cell").withColumn("side", own).select("cell", F.explode(runs).alias("block"), "side", "p", "root")
 
 
 def links(points: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): links between representatives of distinct fingerprints that connect all points within ``bits``.
-
-    All links are found up to ``MAX_BITS``; of longer ones those whose points agree in four of the eight groups.
-    """
-    small_batches(points.sparkSession)
-    cells = grid(points)
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")
-    sizes = materialize(cells.groupBy("subset", "cell").agg(F.count("*").alias("n")).where("n > 1").select("subset", "cell", blocks))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # a merge join at every size: the shared cells grow with the corpus, so they must never be broadcast
-    members = cells.join(sizes.hint("merge"), ["subset", "cell"]).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = members.select("subset", "cell", "fp", "rep", "own", other).select(F.col("subset").cast("long").alias("subset"), "cell", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), "fp", "rep")
-    run = ["subset", "cell", "low", "high"]
-    found = spread.repartition(*run).sortWithinPartitions(*run, "fp").mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
-    return found.where("a <> b").distinct()
+    """(a, b): links that connect all points (p, a fingerprint each) within ``bits``."""
+    cells = grid(points, bits)
+    hot = hot_cells(cells)
+    found = materialize(dealt(cells, hot).select("cell", "block", "p").mapInArrow(lambda batches: _link_runs(batches, bits), "a long, b long").distinct(), NARROW)
+    if hot.isEmpty():
+        return found
+    left = across(cells.join(hot, "cell", "left_semi"), hot, components(found))
+    again = left.select("cell", "block", "p", "root").repartition("cell", "block").sortWithinPartitions("cell", "block")
+    return found.unionByName(materialize(again.mapInArrow(lambda batches: _link_runs(batches, bits), "a long, b long").distinct()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,7 +276,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        star = materialize(small)
+        last, star = star, materialize(small)
+        release(last)
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -229,223 +287,216 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row; a component is named by its smallest id."""
     prints = materialize(fingerprints(docs, width, id_col, text))
-    points = prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep"))
-    roots = components(links(points.where("rep is not null")))
-    named = materialize(points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
+    points = materialize(prints.groupBy(F.col("fp").alias("p")).agg(F.min(id_col).alias("low")))
+    roots = components(links(points.select("p")))
+    rooted = points.join(roots, points["p"] == roots["node"], "left").select("p", "low", F.coalesce("root", "p").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = materialize(rooted.join(names, "root").select(F.col("p").alias("fp"), "component_id"))
     # both sides come from tables, so a fingerprint that many rows share is a skewed partition that Spark can split
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity of shingle sets from which two texts are near duplicates.
-SIMILARITY = 0.8
-#: Groups that agree in a cell of the wide grid: complete up to six bits of one fingerprint, and far beyond by chance.
-PAIRS = np.array(list(combinations(range(_GROUPS), 2)), np.uint64)
-#: Differing bits of a fingerprint, on average over all of them, up to which two texts that share a cell are verified.
-WIDE_BITS = 15
-#: Candidates of a run beyond this many a point are thinned to a spanning forest, and the run is compared again later.
-DENSE = 8
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
-
-
-def set_fingerprints(docs: DataFrame, width: int, id_col: str, text: str, count: int) -> DataFrame:
-    """(id, key, fps): a digest of the text's shingle set, and its fingerprints over independent hashes."""
+#: Similarity of shingle sets from which two texts are near duplicates, and the share of such pairs that the grid finds.
+SIMILARITY, RECALL = 0.8, 0.99
+#: Chance that a bit of two fingerprints agrees at that similarity (sets of one size: cosine 2s / (1 + s)).
+AGREE = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+#: Fingerprints that travel with a point; the others only with points that are compared a second time.
+CARRIED = 4
+#: Nearest candidates of a point that a crowded run passes on at first.
+NEAREST = 2
+_TABLE = 40
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        from xxhash import xxh3_128_digest
 
-        sets = [shingle_set(t, width) for t in cols[text]]
-        fps = [[_signed(majority(remixed(h, k))) for k in range(count)] for h in sets]
-        return {"id": cols[id_col], "key": [xxh3_128_digest(h.tobytes()) for h in sets], "fps": fps}
+def wide_grid(rows: int) -> tuple[int, int, int]:
+    """(bits of a cell, cells a point, fingerprints): cells of some 2^11 points, and as many as the recall needs.
 
-    return map_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), text), [id_col, text], run, "id long, key binary, fps array<long>")
+    A longer cell is shared more seldom, so the number of cells grows with it: recall is the same at every size.
+    """
+    width = max(16, math.ceil(math.log2(max(2, rows))) - 11)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**width))
+    prints = -(-tables * width // 64)
+    return width, prints * 64 // width, prints
 
 
-def wide_cells(fps: np.ndarray) -> np.ndarray:
-    """Cells (row, 28 a fingerprint) of fingerprints (row, k): number of the choice, then the two agreeing groups."""
-    groups = (fps[:, :, None] >> (np.uint64(8) * np.arange(_GROUPS, dtype=np.uint64))) & np.uint64(0xFF)
-    value = (groups[:, :, PAIRS[:, 0]] << np.uint64(8)) | groups[:, :, PAIRS[:, 1]]
-    return value.reshape(len(fps), -1).astype(np.int64) + (np.arange(fps.shape[1] * len(PAIRS)) << 16)
+def near_limit(prints: int) -> int:
+    """Differing bits of so many fingerprints that similar texts stay below but for four standard deviations."""
+    n = 64 * prints
+    return int((1 - AGREE) * n + 4 * math.sqrt(AGREE * (1 - AGREE) * n))
 
 
-def wide_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether fingerprints (..., k) differ in few enough bits to be verified."""
-    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.uint16) for k in range(a.shape[-1])) <= WIDE_BITS * a.shape[-1]
+def wide_cells(fps: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """Cells (row, table) of fingerprints (row, k): ``width`` bits each, with the number of the table above them."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, : width * tables]
+    value = bits.reshape(len(fps), tables, width) @ (1 << np.arange(width, dtype=np.int64))
+    return value + (np.arange(tables, dtype=np.int64) << _TABLE)
 
 
-def _fps(batch: pa.RecordBatch, count: int) -> np.ndarray:
-    return np.asarray(batch.column("fps").flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, count)
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (..., k)."""
+    total = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.uint16)
+    for k in range(1, a.shape[-1]):
+        total += np.bitwise_count(a[..., k] ^ b[..., k])
+    return total
 
 
-def _wide_runs(points: DataFrame, count: int) -> DataFrame:
-    """(run, rep, root, fps): every point in all its cells; a cell of several blocks is dealt as pairs of blocks.
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
 
-    The cells are a fixed number (2^16 a choice), so one number a cell says how many blocks it has.
-    """
-    size = count * len(PAIRS) << 16
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                np.add.at(n, wide_cells(_fps(batch, count)).reshape(-1), 1)
-        cells = np.flatnonzero(n)
-        for at in range(0, len(cells), 1 << 16):
-            part = cells[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], names=["cell", "n"])
-
-    small_batches(points.sparkSession)
-    large = points.select("fps").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).toArrow()
-    blocks = np.ones(size, np.uint16)
-    blocks[large.column("cell").to_numpy()] = -(-large.column("n").to_numpy() // BLOCK)
-    held = points.sparkSession.sparkContext.broadcast(blocks)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep, root = (batch.column(c).to_numpy() for c in ("rep", "root"))
-            fps = _fps(batch, count).view(np.int64)
-            cell = wide_cells(fps.view(np.uint64))
-            row = np.repeat(np.arange(len(rep)), cell.shape[1])
-            cell = cell.reshape(-1)
-            n = held.value[cell].astype(np.int64)
-            own = (remixed(rep.view(np.uint64), 1)[row] % n.astype(np.uint64)).astype(np.int64)
-            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row, cell, own = np.repeat(row, n), np.repeat(cell, n), np.repeat(own, n)
-            run = (cell << 32) | (np.minimum(own, other) << 16) | np.maximum(own, other)
-            for at in range(0, len(row), 1 << 14):
-                r = row[at : at + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array(run[at : at + (1 << 14)]), pa.array(rep[r]), pa.array(root[r]), *[pa.array(fps[r, k]) for k in range(count)]], names=["run", "rep", "root", *[f"fp{k}" for k in range(count)]])
-
-    return points.select("rep", "root", "fps").mapInArrow(deal, "run long, rep long, root long, " + ", ".join(f"fp{k} long" for k in range(count)))
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted) have a Jaccard similarity of ``SIMILARITY`` or more."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) - 1e-9:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9
 
 
-def tree(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, row) of a spanning forest of a symmetric table of links."""
-    left, edges = near.any(1), []
-    for root in np.flatnonzero(left):
-        if not left[root]:
-            continue
-        left[root] = False
-        front = np.array([root])
-        while len(front):
-            reach = near[front] & left
-            new = np.flatnonzero(reach.any(0))
-            edges += zip(front[reach[:, new].argmax(0)].tolist(), new.tolist(), strict=True)
-            left[new] = False
-            front = new
-    return edges
+def set_points(docs: DataFrame, width: int, id_col: str, text: str, shape: tuple[int, int, int]) -> DataFrame:
+    """(id, h, p, fps, cells) of every row with an id: a hash of its text, a digest of its shingle set, and its place."""
+    bits, tables, prints = shape
 
-
-def _wide_compare(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b, run) candidates of different roots; run is set where a run was thinned, which ``whole`` forbids."""
-
-    def compare(cols: list[np.ndarray]) -> pa.RecordBatch:
-        run, rep, root = cols[:3]
-        fps = np.stack(cols[3:], 1).view(np.uint64)
-        starts = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(run)]]))
-        ends_a, ends_b, thinned = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def found(a: np.ndarray, b: np.ndarray, thin: int = -1) -> None:
-            ends_a.append(rep[a])
-            ends_b.append(rep[b])
-            thinned.append(np.full(len(a), thin))
-
-        keep = np.flatnonzero(np.repeat(sizes <= _RUN, sizes))
-        r = run[keep]
-        for k in range(1, _RUN):
-            at = np.flatnonzero(r[k:] == r[:-k])
-            if not len(at):
-                break
-            a, b = keep[at], keep[at + k]
-            ok = (root[a] != root[b]) & wide_near(fps[a], fps[b])
-            found(a[ok], b[ok])
-        for k in np.flatnonzero(sizes > _RUN):
-            at, n = starts[k], sizes[k]
-            part, roots = fps[at : at + n], root[at : at + n]
-            near = wide_near(part[:, None], part[None, :]) & (roots[:, None] != roots[None, :])
-            if whole or near.sum() <= 2 * DENSE * n:
-                a, b = np.nonzero(np.triu(near, 1))
-                found(at + a, at + b)
-            else:
-                a, b = np.array(tree(near), np.int64).reshape(-1, 2).T
-                found(at + a, at + b, int(run[at]))
-        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(thinned))], names=["a", "b", "run"])
-
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        from xxhash import xxh3_64_intdigest
+
+        sets = [shingle_set(t, width) for t in cols["text"]]
+        fps = np.stack([majorities(s, prints) for s in sets])
+        return {"id": cols["id"], "h": cols["h"], "p": [_signed(xxh3_64_intdigest(s.tobytes())) for s in sets], "fps": list(fps.view(np.int64)), "cells": list(wide_cells(fps, bits, tables))}
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return map_rows(rows, ["id", "h", "text"], run, f"id {dict(rows.dtypes)['id']}, h long, p long, fps array<long>, cells array<long>")
+
+
+def _thinned(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which pairs are among the nearest of either end."""
+    end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, h[pair], end))
+    ranked = end[order]
+    first = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
+    keep = np.zeros(len(a), bool)
+    keep[pair[order[rank < NEAREST]]] = True
+    return keep
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, crowded): near pairs of runs (cell, block); a crowded run passes on the nearest ones and its cell."""
+    limit = near_limit(CARRIED)
+    for table, starts in _whole_runs(batches, 2):
+        cell, p = table.column("cell").to_numpy(), table.column("p").to_numpy()
+        fps = np.stack([table.column(f"f{k}").to_numpy() for k in range(CARRIED)], 1).view(np.uint64)
+        run = np.repeat(np.arange(len(starts)), sizes := np.diff(np.concatenate([starts, [len(p)]])))
+        ends: list[tuple[np.ndarray, ...]] = []
+        for a, b in _small_pairs(starts, len(p)):
+            h = differing(fps[a], fps[b])
+            ok = h <= limit
+            ends.append((a[ok], b[ok], h[ok]))
+        for at, n in _large_runs(starts, len(p)):
+            own = fps[at : at + n]
+            for i in range(0, n, 256):
+                h = differing(own[i : i + 256, None], own[None, :])
+                a, b = np.nonzero((h <= limit) & (np.arange(n) > np.arange(i, min(n, i + 256))[:, None]))
+                ends.append((at + i + a, at + b, h[a, b]))
+        if not ends:
             continue
-        held.append([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns])
-        if sum(len(h[0]) for h in held) >= 1 << 14:
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            done = int(np.searchsorted(cols[0], cols[0][-1]))
-            held = [[c[done:] for c in cols]]
-            if done:
-                yield compare([c[:done] for c in cols])
-    if held:
-        yield compare([np.concatenate(c) for c in zip(*held, strict=True)])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
-    """(a, b): the pairs whose exact shingle sets are similar enough; sets are made for texts in pairs only."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id")
-    sets = materialize(map_rows(texts, ["id", "text"], lambda cols: {"id": cols["id"], "s": [shingle_set(t, width).tobytes() for t in cols["text"]]}, "id long, s binary"))
-    both = pairs.join(sets.selectExpr("id as a", "s as sa"), "a").join(sets.selectExpr("id as b", "s as sb"), "b").select("a", "b", "sa", "sb")
+        a, b, h = (np.concatenate(x) for x in zip(*ends, strict=True))
+        crowded = (np.bincount(run[a], minlength=len(starts)) > NEAREST * sizes)[run[a]]
+        keep = ~crowded
+        keep[crowded] = _thinned(a[crowded], b[crowded], h[crowded])
+        yield _edges(p[a[keep]], p[b[keep]], crowded=np.where(crowded[keep], cell[a[keep]], -1))
+
+
+def _verify_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): exactly verified links between components within runs (cell, block), nearest first, as a forest."""
+    for table, starts in _whole_runs(batches, 2):
+        for at, n in zip(starts.tolist(), np.diff(np.concatenate([starts, [table.num_rows]])).tolist(), strict=True):
+            own = table.slice(at, n)
+            p, root, side = (own.column(c).to_numpy() for c in ("p", "root", "side"))
+            one_block, number = own.column("block")[0].as_py() == 0, own.column("cell")[0].as_py() >> _TABLE
+            fps, cells = (np.asarray(own.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64).reshape(n, -1) for c in ("fps", "cells"))
+            fps = fps.view(np.uint64)
+            ends: list[tuple[np.ndarray, ...]] = []
+            for i in range(0, n, 256):
+                near = (differing(fps[i : i + 256, None, :CARRIED], fps[None, :, :CARRIED]) <= near_limit(CARRIED)) & (root[i : i + 256, None] != root[None, :]) & (np.arange(n) > np.arange(i, min(n, i + 256))[:, None])
+                if not one_block:
+                    near &= side[i : i + 256, None] != side[None, :]
+                a, b = np.nonzero(near)
+                a += i
+                h = differing(fps[a], fps[b])
+                ok = h <= near_limit(fps.shape[1])
+                a, b, h = a[ok], b[ok], h[ok]
+                ok = (cells[a] == cells[b]).argmax(1) == number  # a pair is verified in the first cell it shares
+                ends.append((a[ok], b[ok], h[ok]))
+            a, b, h = (np.concatenate(x) for x in zip(*ends, strict=True))
+            order = np.argsort(h, kind="stable")
+            group = {int(r): int(r) for r in root}
+            sets = own.column("s").to_pylist()
+            found: list[tuple[int, int]] = []
+            for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                x, y = int(root[i]), int(root[j])
+                while group[x] != x:
+                    x = group[x]
+                while group[y] != y:
+                    y = group[y]
+                if x != y and similar(np.frombuffer(sets[i], "<u8"), np.frombuffer(sets[j], "<u8")):
+                    group[x] = y
+                    found.append((i, j))
+            if found:
+                i, j = np.array(found).T
+                yield _edges(p[i], p[j])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose exact shingle sets are similar enough."""
+    both = pairs.join(sets.selectExpr("p as a", "s as sa"), "a").join(sets.selectExpr("p as b", "s as sb"), "b").select("a", "b", "sa", "sb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
+            ok = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return materialize(both.mapInArrow(check, "a long, b long"))
 
 
-def similar_links(docs: DataFrame, width: int, id_col: str, text: str, count: int) -> DataFrame:
-    """(a, b) ids that connect all texts whose shingle sets have similarity 0.8 or more, up to the grid's recall.
+def similar_links(docs: DataFrame, prints: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+    """(a, b) digests of shingle sets that connect all sets of similarity 0.8 or more, up to the grid's recall.
 
-    Equal sets are one point. Points that share a cell of any fingerprint and are near enough over all fingerprints are
-    candidates, and each is verified by its exact sets. Runs of very many candidates first pass a spanning forest; what
-    its verified links leave in different components is compared again and verified pair by pair.
+    Equal sets are one point. Points that share a cell of any fingerprint and are near over the carried ones are
+    candidates, and each is verified by its exact sets. A crowded run, or a cell of several blocks, first passes on the
+    nearest candidates only; what they leave in different components is compared again where the points meet, with all
+    fingerprints and the exact sets at hand, so that only links leave the task.
     """
-    prints = materialize(set_fingerprints(docs.where(F.col(id_col).isNotNull()), width, id_col, text, count))
-    points = materialize(prints.groupBy("key").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")))
-    equal = materialize(prints.select("id", "key").join(points.select("key", "rep").hint("merge"), "key").where("id <> rep").selectExpr("rep as a", "id as b"))
-
-    def candidates(rooted: DataFrame, runs: DataFrame | None) -> DataFrame:
-        dealt = _wide_runs(rooted, count)
-        dealt = dealt if runs is None else dealt.join(runs, "run", "left_semi")
-        whole = runs is not None
-        return materialize(dealt.repartition("run").sortWithinPartitions("run").mapInArrow(lambda batches: _wide_compare(batches, whole), "a long, b long, run long").where("a <> b"))
-
-    found = candidates(points.select("rep", F.col("rep").alias("root"), "fps"), None)
-    edges = equal.unionByName(_verified(found.select("a", "b").distinct(), docs, width, id_col, text))
-    thinned = materialize(found.where("run >= 0").select("run").distinct())
-    if not thinned.isEmpty():
-        roots = components(edges).withColumnRenamed("node", "rep")
-        rooted = materialize(points.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "fps"))
-        again = candidates(rooted, thinned).select("a", "b").distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
-        edges = edges.unionByName(_verified(materialize(again), docs, width, id_col, text))
-    return edges
-
-
-def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text", count: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id names its component, each id once, with all their columns; rows without an id stay.
-
-    Texts are linked if the similarity of their sets of ``width``-word shingles is 0.8 or more; candidates come from
-    ``count`` fingerprints over independent hashes.
+    points = materialize(prints.groupBy("p").agg(F.min(F.struct("id", "h")).alias("row"), F.first("fps").alias("fps"), F.first("cells").alias("cells")))
+    cells = points.select(F.explode("cells").alias("cell"), "p", *[F.col("fps")[k].alias(f"f{k}") for k in range(CARRIED)])
+    hot = hot_cells(cells.select("cell", "p"))
+    run = dealt(cells, hot).select("cell", "block", "p", *[f"f{k}" for k in range(CARRIED)])
+    found = materialize(run.mapInArrow(_candidates, "a long, b long, crowded long").distinct(), NARROW)
+    pairs = materialize(found.select("a", "b").distinct())
+    needed = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).union(cells.join(hot, "cell", "left_semi").select("p")).distinct()
+    rows = points.join(needed, "p", "left_semi").select("p", "row.id", "row.h")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).join(rows, ["id", "h"]).dropDuplicates(["p"])
+    sets = materialize(map_rows(texts, ["p", "text"], lambda cols: {"p": cols["p"], "s": [shingle_set(t, width).tobytes() for t in cols["text"]]}, "p long, s binary"))
+    edges = _verified(pairs, sets)
+    crowded = materialize(found.where("crowded >= 0").select(F.col("crowded").alias("cell")).union(hot.select("cell")).distinct())
+    if crowded.isEmpty():
+        return edges
+    left = across(cells.select("cell", "p"), crowded, components(edges))
+    whole = left.join(points.select("p", "fps", "cells"), "p").join(sets, "p").select("cell", "block", "side", "p", "root", "fps", "cells", "s")
+    again = whole.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_verify_runs, "a long, b long")
+    return edges.unionByName(materialize(again.distinct()))
+
+
+def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of near duplicates the row of the smallest id, with all its columns; rows without an id stay.
+
+    Texts are linked if the similarity of their sets of ``width``-word shingles is 0.8 or more.
     """
-    later = components(similar_links(docs, width, id_col, text, count).distinct()).select(F.col("node").alias("_id"))
+    shape = wide_grid(docs.count())
+    prints = materialize(set_points(docs, width, id_col, text, shape))
+    roots = components(similar_links(docs, prints, width, id_col, text).distinct())
+    rows = prints.select("id", "h", "p").join(roots, prints["p"] == roots["node"], "left").select("id", "h", F.coalesce("root", "p").alias("root")).distinct()
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
+    later = materialize(rows.join(first, "root").where("struct(id, h) <> first").select(F.col("id").alias("_id"), F.col("h").alias("_h")))
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn("_hash", F.xxhash64(text))
+    kept = hashed.join(later, (hashed[id_col] == later["_id"]) & (hashed["_hash"] == later["_h"]), "left_anti").dropDuplicates([id_col, "_hash"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.join(later, docs[id_col].cast("long") == later["_id"], "left_anti").where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
