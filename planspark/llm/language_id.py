@@ -1,19 +1,23 @@
 """Language identification with interpolated Kneser-Ney character models in sorted hash arrays.
 
-One order-4 model per language. Characters fold to 64 classes (non-letters share one), so a 4-gram is a 24-bit number;
-the counts of all training texts are added up by Spark and smoothed on the driver. Models of all languages share one
-sorted array of all counted 4-grams, hashed, with one row of log-probabilities each; uncounted ones back off to the
-trigram array.
-A text takes the language of the lowest cross-entropy per character; a temperature fitted on a bounded sample of
-training rows turns the cross-entropies into a probability, and a threshold on it rejects unsure predictions.
-
-Edge cases: a null text or one without letters gives ``und``, score 0 and ``accepted`` false. Null languages are never
-learned from. Ties go to the alphabetically first language. Without training rows every text is ``und``. Extra columns
-are ignored. Repeated rows are scored independently and alike.
+One model of order four per language, over the letters as they are (16-bit units of UTF-16, lower-cased) of words between
+boundary marks; what is no letter parts words. The counts of all training texts are added up by Spark and smoothed on the
+driver; every counted 4-gram has its place in the language's sorted hash arrays, so the models grow with what the corpus
+holds. They are broadcast: 12 bytes a counted gram and language, which grow as the different 4-grams of a language do,
+far slower than the text. A text takes the language of the lowest cross-entropy per symbol; a temperature fitted on a
+bounded sample of training rows turns the cross-entropies into a probability, and a threshold on it rejects unsure
+predictions. A word's sums are remembered, so frequent words are looked up once a task.
+
+Edge cases: a null text or one without letters (digits, emoji, marks) gives ``und``, score 0 and ``accepted`` false. Null
+languages are never learned from. Ties go to the alphabetically first language. Without training rows every text is
+``und``. Very long texts, and texts without blanks, are scored whole. Extra columns are ignored. Repeated rows are scored
+independently and alike; of rows that repeat an id one is used for calibration.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,53 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, small_batches
+from .grams import added_up, kneser_ney
 
 #: Labelled rows the temperature and the rejection threshold are fitted on.
 CALIBRATION_ROWS = 4000
 #: Share of accepted calibration rows that must be right.
 ACCEPT_PRECISION = 0.99
 UND = "und"
-_SYMBOLS, _BITS = 64, 6
-_MASK24, _MASK18 = (1 << 24) - 1, (1 << 18) - 1
-_MULTIPLIER = 0x9E3779B1
+ORDER, BITS = 4, 16
+#: Different words counted or remembered at a time; longer words are not kept.
+REMEMBERED, KEPT_LETTERS = 200_000, 64
 _CHUNK = 1 << 20
+_TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def _class_table() -> np.ndarray:
-    """Class of each code point of the basic plane: 0 for a non-letter, 1-26 for a-z, the rest spread over 27-63."""
-    table = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
-            table[cp] = cp - 96 if 97 <= cp <= 122 else 27 + (cp * 7 + (cp >> 6)) % 37
-    return table
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; characters like fractions, which are no letters, may stand among them."""
+    return _TOKEN.findall(text.lower())
 
 
-_table: np.ndarray | None = None
+def letters_of(token: str) -> list[str]:
+    return [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
 
 
-def encode(text: str) -> np.ndarray:
-    """Character classes of a text, lower-cased, with three leading boundary marks."""
-    global _table
-    if _table is None:
-        _table = _class_table()
-    cps = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    high = cps >= 1 << 16
-    if high.any():
-        codes = _table[np.where(high, 0, cps)]
-        codes[high] = 27 + cps[high] % 37
-    else:
-        codes = _table[cps]
-    return np.concatenate([np.zeros(3, np.uint8), codes])
-
-
-def grams(codes: np.ndarray) -> np.ndarray:
-    """24-bit 4-grams at every position but the three leading marks."""
-    c = codes.astype(np.uint32)
-    return (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
-
-
-def hashed(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint32(_MULTIPLIER)) & np.uint32(_MASK24)
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """4-grams of words between marks, and the word each belongs to; a word has one more than it has units."""
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    text = "\0\0\0" + "\0\0\0".join(words) + "\0"
+    u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    key = (u[:-3] << np.uint64(48)) | (u[1:-2] << np.uint64(32)) | (u[2:-1] << np.uint64(16)) | u[3:]
+    letter = u != 0
+    word = np.cumsum(letter[1:] & ~letter[:-1])[2:] - 1
+    use = letter[3:] | letter[2:-1]
+    return key[use], word[use]
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -76,130 +67,83 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[str, Counter] = {}
         for batch in batches:
             for t, lg in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = encode(t)
-                if not codes.any():
-                    continue
-                if lg not in totals:
-                    totals[lg] = np.zeros(1 << 24, np.uint32)
-                for at in range(0, len(codes) - 3, _CHUNK):
-                    part = grams(codes[at : at + _CHUNK + 3])
-                    np.add.at(totals[lg], part, 1)
-            if len(totals) > 6:
+                totals.setdefault(lg, Counter()).update(words_of(t))
+            if sum(map(len, totals.values())) > REMEMBERED:
                 yield from flush(totals)
         yield from flush(totals)
 
-    def flush(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(totals: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lg in list(totals):
-            dense = totals.pop(lg)
-            keys = np.flatnonzero(dense)
+            words = [(w, n) for token, n in totals.pop(lg).items() for w in letters_of(token)]
+            if not words:
+                continue
+            grams, word = grams_of([w for w, _ in words])
+            keys, n = added_up([(grams, np.array([n for _, n in words])[word])])
             for at in range(0, len(keys), 1 << 16):
                 k = keys[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lg] * len(k)), pa.array(k, pa.int64()), pa.array(dense[k], pa.int64())], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lg] * len(k)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["lang", "gram", "n"])
 
     part = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     return part.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class KneserNey:
-    """Models of all languages: sorted hashed 4-grams and trigrams with a column of log-probabilities a language."""
-
-    def __init__(self, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages = languages
-        width = len(languages)
-        tri = np.zeros((1 << 18, width))
-        weight = np.ones((1 << 18, width))
-        counted = np.zeros(1 << 24 if languages else 0, bool)
-        for keys, _ in counts.values():
-            counted[keys] = True
-        seen = np.flatnonzero(counted)
-        del counted
-        high = np.zeros((len(seen), width))
-        for j, lg in enumerate(languages):
-            keys, n = (np.asarray(x) for x in counts[lg])
-            types3 = np.unique(keys & _MASK18)
-            cont3 = np.bincount(keys & _MASK18, minlength=1 << 18).astype(float)
-            cont2 = np.bincount(types3 & 4095, minlength=4096).astype(float)
-            cont1 = np.bincount(np.unique(types3 & 4095) & 63, minlength=64).astype(float)
-            p1 = (cont1 + 0.5) / (cont1 + 0.5).sum()
-            p2 = self._level(cont2.reshape(64, 64), p1[None, :])
-            p3 = self._level(cont3.reshape(4096, 64), np.tile(p2, (64, 1)))
-            d = self._discount(n)
-            context = keys >> _BITS
-            mass = np.bincount(context, n, minlength=1 << 18)
-            kinds = np.bincount(context, minlength=1 << 18)
-            lam = np.where(mass > 0, d * kinds / np.maximum(mass, 1), 1.0)
-            p3 = p3.reshape(-1)
-            tri[:, j], weight[:, j] = p3, lam
-            p4 = lam[seen >> _BITS] * p3[seen & _MASK18]
-            p4[np.searchsorted(seen, keys)] += np.maximum(n - d, 0) / mass[context]
-            high[:, j] = p4
-        h = hashed(seen.astype(np.uint32))
-        order = np.argsort(h)
-        self.keys = h[order]
-        self.logs = np.log(np.maximum(high[order], 1e-12)).astype(np.float32)
-        self.tri = np.log(np.maximum(tri, 1e-12)).astype(np.float32)
-        self.weight = np.log(np.maximum(weight, 1e-6)).astype(np.float32)
-        self.temperature, self.threshold = 20.0, 0.0
+class LanguageModels:
+    """A Kneser-Ney model of each language, and a calibrated choice between them."""
 
-    @staticmethod
-    def _discount(n: np.ndarray) -> float:
-        n1, n2 = int((n == 1).sum()), int((n == 2).sum())
-        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
-
-    def _level(self, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        d = self._discount(counts[counts > 0])
-        mass = counts.sum(1, keepdims=True)
-        kinds = (counts > 0).sum(1, keepdims=True)
-        rest = np.where(mass > 0, d * kinds / np.maximum(mass, 1), 1.0)
-        return np.maximum(counts - d, 0) / np.maximum(mass, 1) + rest * lower
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(counts)
+        self.models = [kneser_ney(*counts[lg], BITS, ORDER) for lg in self.languages]
+        self.temperature, self.threshold = 20.0, 0.0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((1024, len(self.languages) + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "sums")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def sums_of(self, tokens: list[str]) -> np.ndarray:
+        """Log-probability by language and number of symbols of each token, a row each."""
+        words = [(w, i) for i, token in enumerate(tokens) for w in letters_of(token)]
+        out = np.zeros((len(tokens), len(self.languages) + 1))
+        grams, word = grams_of([w for w, _ in words])
+        owner = np.array([i for _, i in words], np.int64)[word] if words else word
+        for at in range(0, len(grams), _CHUNK):
+            g, o = grams[at : at + _CHUNK], owner[at : at + _CHUNK]
+            for j, model in enumerate(self.models):
+                out[:, j] += np.bincount(o, np.log(model.probabilities(g)), minlength=len(tokens))
+            out[:, -1] += np.bincount(o, minlength=len(tokens))
+        return out
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy a character by language (nats), and whether a text has a letter; whole texts, in chunks."""
-        width = len(self.languages)
-        sums, lengths, letters = np.zeros((len(texts), width)), np.ones(len(texts)), np.zeros(len(texts), bool)
-        waiting: list[tuple[int, np.ndarray]] = []
-        held = 0
-
-        def drain() -> None:
-            nonlocal held
-            if waiting:
-                keys = np.concatenate([k for _, k in waiting])
-                starts = np.cumsum([0] + [len(k) for _, k in waiting[:-1]])
-                part = np.add.reduceat(self._logs_of(keys), starts, axis=0)
-                for (i, _), row in zip(waiting, part, strict=True):
-                    sums[i] += row
-                waiting.clear()
-                held = 0
-
-        for i, t in enumerate(texts):
-            codes = encode(t) if t else None
-            if codes is None or not codes.any():
-                continue
-            letters[i], lengths[i] = True, len(codes) - 3
-            for at in range(0, len(codes) - 3, _CHUNK):
-                k = grams(codes[at : at + _CHUNK + 3])
-                waiting.append((i, k))
-                held += len(k)
-                if held >= _CHUNK:
-                    drain()
-        drain()
-        return -sums / lengths[:, None], letters
-
-    def _logs_of(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return self.weight[keys >> _BITS] + self.tri[keys & _MASK18]
-        h = hashed(keys)
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        out = self.logs[at]
-        miss = np.flatnonzero(self.keys[at] != h)
-        if len(miss):
-            k = keys[miss]
-            out[miss] = self.weight[k >> _BITS] + self.tri[k & _MASK18]
-        return out
+        """Cross-entropy a symbol by language (nats), and whether a text has a letter."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        found = [words_of(t) if t else [] for t in texts]
+        fresh = list({w for ws in found for w in ws if len(w) <= KEPT_LETTERS}.difference(self.known))
+        if fresh:
+            first, need = len(self.known), len(self.known) + len(fresh)
+            if need > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros((need, self.sums.shape[1]))])
+            self.sums[first:need] = self.sums_of(fresh)
+            self.known.update(zip(fresh, range(first, need), strict=True))
+        total = np.zeros((len(texts), len(self.languages) + 1))
+        for i, ws in enumerate(found):
+            rows = [self.known.get(w) for w in ws]
+            if None in rows:
+                total[i] = self.sums_of([w for w, r in zip(ws, rows, strict=True) if r is None]).sum(0)
+                rows = [r for r in rows if r is not None]
+            total[i] += self.sums[rows].sum(0)
+        size = total[:, -1]
+        return -total[:, :-1] / np.maximum(size, 1)[:, None], size > 0
 
     def probabilities(self, entropies: np.ndarray) -> np.ndarray:
         z = -self.temperature * (entropies - entropies.min(1, keepdims=True))
@@ -239,34 +183,35 @@ class KneserNey:
         return langs, score, letters & (score >= self.threshold), np.where(letters, entropies.min(1), 0.0)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS) -> KneserNey:
-    """Counts of every training row, then a model on the driver (at most 2^24 grams a language by construction)."""
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels:
+    """Counts of every training row, then the models on the driver."""
     rows = count_grams(train, text, lang).toArrow()
-    names = rows.column("lang").to_numpy(zero_copy_only=False)
-    keys, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-    languages = sorted(set(names.tolist()))
+    names, grams, n = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
     counts = {}
-    for lg in languages:
-        own = names == lg
-        order = np.argsort(keys[own])
-        counts[lg] = keys[own][order], n[own][order]
-    model = KneserNey(languages, counts)
+    for k, lg in enumerate(names.dictionary.to_pylist()):
+        own = names.indices.to_numpy() == k
+        keys = grams[own].view(np.uint64)
+        order = np.argsort(keys)
+        counts[lg] = keys[order], n[own][order]
+    model = LanguageModels(counts)
+    if not counts:
+        return model
     labelled = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     ids = labelled.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(calibration_rows)  # a bounded, documented sample
-    sample = labelled.join(F.broadcast(ids.distinct()), id_col, "left_semi") if languages else None
-    if sample is not None:
-        held = train.sparkSession.sparkContext.broadcast(model)
+    held, place = train.sparkSession.sparkContext.broadcast(model), {lg: j for j, lg in enumerate(model.languages)}
 
-        def measure(cols: dict[str, list]) -> dict[str, list]:
-            entropies, letters = held.value.cross_entropies(cols[text])
-            return {"truth": [languages.index(str(v)) if ok else -1 for v, ok in zip(cols[lang], letters, strict=True)], "entropies": entropies.tolist()}
+    def measure(cols: dict[str, list]) -> dict[str, list]:
+        entropies, letters = held.value.cross_entropies(cols["text"])
+        return {"id": cols["id"], "truth": [place[str(v)] if ok else -1 for v, ok in zip(cols["lang"], letters, strict=True)], "entropies": entropies.tolist()}
 
-        scored = map_rows(sample, [text, lang], measure, "truth int, entropies array<double>").where("truth >= 0").collect()
-        model.calibrate(np.array([r.entropies for r in scored]).reshape(-1, len(languages)), np.array([r.truth for r in scored], int))
+    sample = labelled.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    scored = map_rows(sample, ["id", "text", "lang"], measure, f"id {dict(sample.dtypes)['id']}, truth int, entropies array<double>").where("truth >= 0")
+    found = scored.groupBy("id").agg(F.min(F.struct("truth", "entropies")).alias("r")).select("r.*").collect()  # one row an id
+    model.calibrate(np.array([r.entropies for r in found]).reshape(-1, len(model.languages)), np.array([r.truth for r in found], int))
     return model
 
 
-def identify(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModels, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, accepted, cross_entropy) of every row; only the id and the text are read."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
