@@ -1,15 +1,15 @@
 """URL filters: rules first, then a character model ratio.
 
 Two variable-order Markov models, of accepted and of rejected URLs, are learned from the URLs that rules decide. Each
-interpolates orders 0 to 3 with Witten-Bell weights: the more different characters followed a context, the more the
-shorter context counts. Characters fold to 32 symbols, so a model is at most 2^20 numbers whatever the corpus. A URL that
-no rule decides is judged by the length-normalised difference of the two log-likelihoods; a logistic fit on a bounded
-sample of decided URLs calibrates where that difference is even.
-
-Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged as an empty text
-(difference 0). Where rules decide nothing, or only one way, undecided URLs are allowed. Of rules that fit, the longest
-wins, then the first. Very long URLs are read whole. Repeated rows are judged alike; extra columns are ignored; an empty
-table gives an empty result.
+interpolates orders 0 to 4 over the URL's bytes with Witten-Bell weights: the more different bytes followed a context, the
+more the shorter context counts. Every counted run of five bytes is kept in sorted hash arrays, so the models grow with
+the corpus. A URL that no rule decides is judged by the length-normalised difference of the two log-likelihoods; a
+logistic fit on a bounded sample of different decided URLs calibrates where that difference is even.
+
+Edge cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; without ``://`` the whole
+text is judged, and null or empty ones have difference 0. Where rules decide nothing, or only one way, undecided URLs are
+allowed. Of rules that fit, the longest wins, then the first. Very long URLs are read whole. Repeated rows are judged
+alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, small_batches
+from .grams import BackoffModel, added_up, witten_bell
 
 #: Decided URLs the calibration is fitted on.
 CALIBRATION_ROWS = 4000
-_BITS, _ORDER = 5, 4
-_SYMBOLS = 1 << _BITS
-_MASK = (1 << (_BITS * _ORDER)) - 1
+BITS, ORDER = 8, 5
+#: Counted runs that a task holds before it passes them on.
+HELD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -73,28 +74,19 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbols of bytes: 1-26 letters, 27 digits, 28 slash, 29 dot, 30 dash and underscore, 31 any other; 0 is the start."""
-    table = np.full(256, 31, np.uint32)
-    for b in range(26):
-        table[97 + b] = table[65 + b] = 1 + b
-    table[48:58] = 27
-    table[47], table[46], table[45], table[95] = 28, 29, 30, 30
-    return table
-
-
-_TABLE = _symbol_table()
-
-
-def grams(url: str | None) -> np.ndarray:
-    """20-bit runs of four symbols ending at each byte of a URL without its scheme."""
-    text = url or ""
-    at = text.find("://")
-    s = np.concatenate([np.zeros(_ORDER - 1, np.uint32), _TABLE[np.frombuffer(text[at + 3 :].encode("utf-8", "replace") if at >= 0 else b"", np.uint8)]])
-    key = np.zeros(max(0, len(s) - _ORDER + 1), np.uint32)
-    for k in range(_ORDER):
-        key = (key << np.uint32(_BITS)) | s[k : k + len(key)]
-    return key
+def grams_of(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of five bytes ending at each byte of the URLs without their scheme, and the URL each belongs to."""
+    parts = []
+    for url in urls:
+        text = url or ""
+        at = text.find("://")
+        parts.append((text[at + 3 :] if at >= 0 else text).encode("utf-8", "surrogatepass").replace(b"\0", b"\1"))
+    mark = b"\0" * (ORDER - 1)
+    u = np.frombuffer(mark + mark.join(parts), np.uint8).astype(np.uint64)
+    key = np.zeros(max(0, len(u) - ORDER + 1), np.uint64)
+    for k in range(ORDER):
+        key = (key << np.uint64(BITS)) | u[k : k + len(key)]
+    return key[u[ORDER - 1 :] != 0], np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
 def count_grams(decided: DataFrame) -> DataFrame:
@@ -102,44 +94,44 @@ def count_grams(decided: DataFrame) -> DataFrame:
     small_batches(decided.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
         for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                np.add.at(totals.setdefault(v, np.zeros(_MASK + 1, np.int64)), grams(u), 1)
-        for v, dense in totals.items():
-            keys = np.flatnonzero(dense)
-            yield pa.RecordBatch.from_arrays([pa.array([v] * len(keys)), pa.array(keys, pa.int64()), pa.array(dense[keys], pa.int64())], names=["verdict", "gram", "n"])
+            verdicts = np.array(batch.column(1).to_pylist())
+            keys, url = grams_of(batch.column(0).to_pylist())
+            for v in set(verdicts.tolist()):
+                own = keys[(verdicts == v)[url]]
+                held[v] = [added_up([*held.get(v, []), (own, np.ones(len(own), np.int64))])]
+            if sum(len(k) for [(k, _)] in held.values()) > HELD:
+                yield from flush(held)
+        yield from flush(held)
+
+    def flush(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for v in list(held):
+            [(keys, n)] = held.pop(v)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["verdict", "gram", "n"])
 
     return decided.select("url", "verdict").mapInArrow(run, "verdict string, gram long, n long").groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
 
 
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """Log-probability of the last symbol of every run of four, interpolated over all shorter contexts."""
-    lower = np.full(_SYMBOLS, 1 / _SYMBOLS)
-    for order in range(1, _ORDER + 1):
-        level = counts.reshape(-1, _SYMBOLS**order).sum(0).reshape(-1, _SYMBOLS).astype(float)
-        mass, kinds = level.sum(1, keepdims=True), (level > 0).sum(1, keepdims=True)
-        shorter = lower.reshape(-1, _SYMBOLS)
-        shorter = np.tile(shorter, (len(level) // len(shorter), 1))
-        lower = np.where(mass > 0, (level + kinds * shorter) / np.maximum(mass + kinds, 1), shorter).reshape(-1)
-    return np.log(lower).astype(np.float32)
-
-
 @dataclass
 class RatioModel:
-    """Log-ratio (accepted over rejected) of every run, and the calibrated line over its mean."""
+    """Models of accepted and of rejected URLs, and the calibrated line over the mean of their log-ratio."""
 
-    ratio: np.ndarray | None
+    allow: BackoffModel | None
+    block: BackoffModel | None
     slope: float = 1.0
     shift: float = 0.0
 
     def means(self, urls: list[str | None]) -> np.ndarray:
-        if self.ratio is None:
+        if self.allow is None or self.block is None:
             return np.zeros(len(urls))
-        return np.array([float(self.ratio[g].mean()) if len(g) else 0.0 for g in map(grams, urls)])
+        keys, url = grams_of(urls)
+        kinds, at = np.unique(keys, return_inverse=True)
+        ratio = (np.log(self.allow.probabilities(kinds)) - np.log(self.block.probabilities(kinds)))[at]
+        return np.bincount(url, ratio, minlength=len(urls)) / np.maximum(np.bincount(url, minlength=len(urls)), 1)
 
     def probability(self, means: np.ndarray) -> np.ndarray:
-        if self.ratio is None:
+        if self.allow is None or self.block is None:
             return np.ones(len(means))
         return 1 / (1 + np.exp(-np.clip(self.slope * means + self.shift, -50, 50)))
 
@@ -158,16 +150,16 @@ class RatioModel:
 def fit(decided: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> RatioModel:
     """Model of all decided URLs (url, verdict)."""
     rows = count_grams(decided).toArrow()
-    verdicts = rows.column("verdict").to_numpy(zero_copy_only=False)
-    dense = {}
+    verdicts, grams, n = rows.column("verdict").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    models = {}
     for v in ("allow", "block"):
-        own = verdicts == v
-        dense[v] = np.zeros(_MASK + 1)
-        dense[v][rows.column("gram").to_numpy()[own]] = rows.column("n").to_numpy()[own]
-    if not dense["allow"].any() or not dense["block"].any():
-        return RatioModel(None)
-    model = RatioModel(log_model(dense["allow"]) - log_model(dense["block"]))
-    sample = decided.select("url", "verdict").orderBy(F.xxhash64("url"), "url").limit(calibration_rows).collect()
+        keys = grams[verdicts == v]
+        if not len(keys):
+            return RatioModel(None, None)
+        order = np.argsort(keys)
+        models[v] = witten_bell(keys[order], n[verdicts == v][order], BITS, ORDER)
+    model = RatioModel(models["allow"], models["block"])
+    sample = decided.select("url", "verdict").distinct().orderBy(F.xxhash64("url"), "url").limit(calibration_rows).collect()
     model.calibrate(model.means([r.url for r in sample]), np.array([r.verdict == "allow" for r in sample]))
     return model
 
