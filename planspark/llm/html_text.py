@@ -1,16 +1,20 @@
 """Main text of HTML pages by differencing pages of near URLs.
 
-Pages are ordered by host, URL path and id across the cluster, so every page stands beside its nearest URLs in the same
-host. The text lines of a page are aligned by longest common subsequences with up to two neighbours on each side, and
-lines shared with over half of them are deleted: a template's lines recur on most neighbours, a copied article's on its
-copies only. Neighbours with the very same free lines are exact copies and have no vote. Two things are known beforehand
-and limit what the alignment decides: lines inside an ``article`` or ``main`` element are never deleted, because copied
-articles share lines too, and lines inside navigation, header, footer, form, advert, notice or comment regions are always
-deleted. The alignment decides about all other lines, also on pages with an ``article`` or ``main`` element.
+Different pages of a host are put in the order of their URL paths, where the longest common path prefixes are neighbours,
+and numbered through across the cluster; a page meets the two before and the two after it in its host. Copies (pages of
+the very same lines) count once, at their first path, so a page never meets its own copy. The text lines of a page are
+aligned with each neighbour's by a longest common subsequence, and lines shared with over half of the neighbours are
+deleted: a template's lines recur on most neighbours, a copied article's on its copies only.
+
+Two things are known beforehand. Lines inside an ``article`` or ``main`` element are never deleted, because copied
+articles share lines too. Lines of known regions (navigation, header, footer, form, advert, notice, comments) that differ
+from page to page, so that no alignment can tell, are deleted by their region. The alignment decides about all other
+lines, also beside an ``article`` or ``main`` element; ``n_shared`` says how many lines outside of it are shared.
 
 Edge cases: a null or empty page has the empty text. A null URL has an empty host and path. A page alone in its host has
-no neighbour; with a single neighbour, what both share is deleted; with exact copies only, nothing is. Unclosed elements end with the page or with an enclosing element. Repeated rows are each their own page.
-Very long pages are read whole. An empty table gives an empty result; extra columns are ignored.
+no neighbour, and all its lines outside known regions stay; with a single neighbour, what both share is deleted. Unclosed
+elements end with the page or with an enclosing element. Repeated rows are alike. Very long pages are read whole. The
+result does not depend on how rows are partitioned. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,19 +22,19 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict, deque
-from collections.abc import Iterator
+from collections import defaultdict
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_rows, materialize
 from .url_filter import host_of, path_of
 
 #: Neighbours on each side of a page.
 SIDE = 2
+#: Numbered pages that are put side by side in one task; the few at either end are given to the next one too.
+STRETCH = 4096
 # Elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title", "head")
 REGIONS = frozenset("nav footer aside form menu dialog button select".split())
@@ -51,9 +55,6 @@ class Lines:
     text: list[str] = field(default_factory=list)
     region: list[int] = field(default_factory=list)
 
-    def free(self) -> list[str]:
-        return [t for t, r in zip(self.text, self.region, strict=True) if r == 0]
-
 
 def _is_region(tag: str, name: str, in_main: bool) -> bool:
     if name in REGIONS or (name == "header" and not in_main):
@@ -141,7 +142,7 @@ def lines_of(page: str | None) -> Lines:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: list, b: list) -> set[int]:
     """Positions in ``a`` of a longest common subsequence with ``b``: the longest increasing chain of equal positions."""
     first = 0
     while first < min(len(a), len(b)) and a[first] == b[first]:
@@ -171,63 +172,65 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return ends
 
 
-def main_text(page: Lines, *neighbours: Lines | None) -> str:
-    """The page's lines without known regions and without what it shares with over half of its neighbours."""
-    free = [i for i, r in enumerate(page.region) if r == 0]
-    votes: Counter[int] = Counter()
-    voters = 0
-    if free:
-        own = page.free()
+def decide(lines: list, regions: list[int], neighbours: list[list]) -> tuple[list[bool], int]:
+    """Which lines are main text, and how many of the others most neighbours share."""
+    outside = [i for i, r in enumerate(regions) if r != 1]
+    votes = [0] * len(lines)
+    if outside:
         for other in neighbours:
-            if other is not None and other.free() != own:
-                voters += 1
-                votes.update(shared(page.text, other.text).intersection(free))
-    return "\n".join(t for i, (t, r) in enumerate(zip(page.text, page.region, strict=True)) if r == 1 or (r == 0 and 2 * votes[i] <= voters))
-
-
-def _extract(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by host and path; each page meets those before and after it in its host."""
-    before: deque[Lines] = deque(maxlen=SIDE)
-    waiting: deque[tuple] = deque()
-    out: list[tuple] = []
-
-    def emit() -> None:
-        row = waiting.popleft()
-        text = main_text(row[2], *before, *[r[2] for r in waiting])
-        before.append(row[2])
-        out.append((row[0], row[1], text, len(text)))
-
-    def batch_of() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    for batch in batches:
-        for page_id, url, page, host in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if waiting and waiting[0][3] != host:
-                while waiting:
-                    emit()
-                before.clear()
-            waiting.append((page_id, url, lines_of(page), host))
-            if len(waiting) > SIDE:
-                emit()
-        yield batch_of()
-        out.clear()
-    while waiting:
-        emit()
-    yield batch_of()
+            for i in shared(lines, other):
+                votes[i] += 1
+    most = [2 * v > len(neighbours) for v in votes]
+    return [r == 1 or (r == 0 and not m) for r, m in zip(regions, most, strict=True)], sum(most[i] for i in outside)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    small_batches(pages.sparkSession)
-    kind = pages.schema[id_col].dataType
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("host"))
-    path = path_of(F.col("url"))
-    near = rows.repartitionByRange("host", path, "page_id").sortWithinPartitions("host", path, "page_id")
+def parsed(pages: DataFrame, id_col: str, url: str, page: str) -> DataFrame:
+    """(page_id, url, host, path, lines, regions, copy): the lines of every page, and a digest of them."""
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        found = [lines_of(p) for p in cols["html"]]
+        return {c: cols[c] for c in ("page_id", "url", "host", "path")} | {"lines": [f.text for f in found], "regions": [f.region for f in found]}
+
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).alias("html"))
+    kind = dict(rows.dtypes)["page_id"]
+    out = map_rows(rows, ["page_id", "url", "host", "path", "html"], run, f"page_id {kind}, url string, host string, path string, lines array<string>, regions array<tinyint>")
+    return out.withColumn("copy", F.xxhash64("lines", "regions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        return _extract(batches, to_arrow_type(kind))
+def numbered(pages: DataFrame) -> DataFrame:
+    """Pages (host, path, copy, ...) with their ``place`` in that order over the whole table."""
+    order = ["host", "path", "copy"]
+    rows = materialize(pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, local = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part).agg((F.max(local) + 1).alias("n"))  # a row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + local).drop("_at", "_part", "_before")
 
-    return near.mapInArrow(run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
+
+def neighboured(pages: DataFrame) -> DataFrame:
+    """(host, copy, digests, regions, others): every page with the lines of its neighbours in the host."""
+    rows = pages.withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    low, high = F.floor((F.col("place") - SIDE) / STRETCH), F.floor((F.col("place") + SIDE) / STRETCH)
+    spread = rows.withColumn("at", F.explode(F.array_distinct(F.array("stretch", low, high)))).repartition("at")
+    beside = Window.partitionBy("at").orderBy("place")
+    line = F.struct("host", "digests")
+    others = F.array(*[F.lag(line, k).over(beside) for k in range(1, SIDE + 1)], *[F.lead(line, k).over(beside) for k in range(1, SIDE + 1)])
+    near = spread.withColumn("_o", others).where(F.col("at") == F.col("stretch"))
+    same = F.filter("_o", lambda o: o["host"] == F.col("host"))
+    return near.select("host", "copy", "digests", "regions", F.transform(same, lambda o: o["digests"]).alias("others"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """(page_id, url, text, n_chars, n_shared) of every page."""
+    rows = materialize(parsed(pages, id_col, url, page))
+    digests = F.transform("lines", lambda s: F.xxhash64(s))
+    kinds = rows.select("host", "path", "copy", digests.alias("digests"), "regions").groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"))
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        found = [decide(*x) for x in zip(cols["digests"], cols["regions"], cols["others"], strict=True)]
+        return {"host": cols["host"], "copy": cols["copy"], "keep": [k for k, _ in found], "n_shared": [n for _, n in found]}
+
+    decided = materialize(map_rows(neighboured(numbered(kinds)), ["host", "copy", "digests", "regions", "others"], run, "host string, copy long, keep array<boolean>, n_shared int"))
+    # both sides are tables, so a page of very many copies is a skewed partition that Spark can split
+    text = F.array_join(F.filter("lines", lambda _, i: F.get("keep", i)), "\n")
+    return rows.join(decided, ["host", "copy"]).select("page_id", "url", text.alias("text"), "n_shared").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
