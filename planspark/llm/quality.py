@@ -1,13 +1,16 @@
 """Quality rules: a linear-chain conditional random field labels the lines of a text, and the content share decides.
 
 Each line has a few binary features (shouting, symbols, table bars, repetition, length, closing mark, digits). Weights of
-a two-state chain, content and boilerplate, are fitted by gradient ascent on the log-likelihood of a bounded sample of
-labelled texts, whose lines all carry the text's label. Viterbi decoding finds the best sequence for each text; a text
-is kept if enough of its word characters stand in content lines and it passes the base rules.
+a two-state chain, content and boilerplate, are fitted by gradient ascent on the log-likelihood of all lines of a bounded
+sample of labelled texts. Lines take their text's label at first; then the lines of good texts that the chain is sure to
+be boilerplate are marked so, and the chain is fitted again, so its transitions see texts of both kinds of line. Viterbi
+decoding finds the best sequence for each text; a text is kept if enough of its word characters stand in content lines
+and it passes the base rules. Sequences are cut into segments whose 2x2 products are combined, so a text of n lines takes
+about sqrt(n) steps, and texts of any length are decoded, and learned from, whole.
 
 Edge cases: a null or empty text has no words and fails the base rules. Lines without a word are not labelled. Without
-labelled rows, or with one class only, every line is content. Very long texts are decoded whole. Repeated rows are judged
-alike; extra columns are ignored; an empty table gives an empty result.
+labelled rows, or with one class only, every line is content. Of rows that repeat an id one is learned from. Repeated
+rows are judged alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import filter_rows, labelled_sample, map_rows
 
-#: Labelled rows the chain is fitted on, and lines of each of them.
-SAMPLE_ROWS, SAMPLE_LINES = 6000, 40
+#: Labelled rows the chain is fitted on.
+SAMPLE_ROWS = 6000
+#: Probability of boilerplate from which a line of a good text counts as such when the chain is fitted again.
+SURE = 0.95
 #: Share of word characters in content lines from which a text is kept.
 KEEP_SHARE = 0.5
 #: Base rules: fewest words, and largest percentage of words in repeated 3-word windows.
@@ -119,6 +125,22 @@ def measure(text: str | None) -> Lines:
     return Lines(x[some], chars[some], len(words), int(chars.sum()), int(c["symbols"].sum()), int((repeated & some).sum()), repeated_words(words))
 
 
+class Segments:
+    """Sequences that lie one after another, cut into segments of equal size; all segments step along together."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.size = max(1, int(np.sqrt(lengths.max())))
+        count = -(-lengths // self.size)
+        text = np.repeat(np.arange(len(lengths)), count)
+        self.last = np.cumsum(count) - 1
+        self.rank = np.arange(len(text)) - (self.last - count + 1)[text]
+        at = (self.rank * self.size)[:, None] + np.arange(self.size)
+        self.live = at < lengths[text][:, None]
+        self.line = np.where(self.live, (np.cumsum(lengths) - lengths)[text][:, None] + at, 0)
+        order = np.argsort(self.rank, kind="stable")
+        self.by_rank = np.split(order, np.cumsum(np.bincount(self.rank))[:-1])
+
+
 class LineField:
     """Two-state linear-chain field: state 0 is content, 1 is boilerplate."""
 
@@ -128,88 +150,131 @@ class LineField:
         self.fitted = False
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray) -> LineField:
-        """Gradient ascent; every line of a text has the text's label."""
+        """Lines have the text's label, then boilerplate lines of good texts their own; equal texts are one that weighs more."""
         if not len(texts) or labels.min() == labels.max():
             return self
-        width = max(len(t) for t in texts)
-        x = np.zeros((len(texts), width, len(FEATURES)))
-        for i, t in enumerate(texts):
-            x[i, : len(t)] = t
-        flat = x.reshape(-1, len(FEATURES))
-        lengths = np.array([len(t) for t in texts])
-        live = np.arange(width) < lengths[:, None]
-        truth = np.eye(2)[labels]
-        weight = np.full(len(texts), 1 / len(texts))
+        kinds: dict[tuple, list] = {}
+        for t, y in zip(texts, labels.tolist(), strict=True):
+            kinds.setdefault((t.tobytes(), y), [t, y, 0])[2] += 1
+        x = np.concatenate([t for t, _, _ in kinds.values()]).astype(float)
+        lengths = np.array([len(t) for t, _, _ in kinds.values()])
+        truth = np.repeat([y for _, y, _ in kinds.values()], lengths)
+        weight = np.repeat(np.array([n for _, _, n in kinds.values()]) / len(texts) / lengths, lengths)
+        parts = Segments(lengths)
+        self._ascend(x, truth, weight, parts, lengths)
+        one, _ = self._marginals(x @ self.emit, parts, lengths)
+        sure = (truth == 0) & (one[:, 1] >= SURE)
+        if sure.any():
+            self._ascend(x, np.where(sure, 1, truth), weight, parts, lengths)
+        self.fitted = True
+        return self
+
+    def _ascend(self, x: np.ndarray, truth: np.ndarray, weight: np.ndarray, parts: Segments, lengths: np.ndarray) -> None:
+        inner = np.ones(len(x), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        inner = np.flatnonzero(inner)
+        goal = np.eye(2)[truth]
+        want = np.einsum("l,la,lb->ab", weight[inner], goal[inner], goal[inner + 1])
         steps = [np.zeros_like(self.emit), np.zeros_like(self.move)]
         for _ in range(STEPS):
-            score = (flat @ self.emit).reshape(len(texts), width, 2)
-            one, two = self._marginals(score, live)
-            gap = (truth[:, None, :] - one) * live[..., None] * (weight / np.maximum(lengths, 1))[:, None, None]
-            pairs = live[:, 1:]
-            want = truth[:, None, :, None] * truth[:, None, None, :]
-            lean = (want - two) * pairs[..., None, None] * (weight / np.maximum(lengths, 1))[:, None, None, None]
-            grads = flat.T @ gap.reshape(-1, 2) - RIDGE * self.emit, lean.sum((0, 1)) - RIDGE * self.move
+            one, two = self._marginals(x @ self.emit, parts, lengths)
+            grads = x.T @ ((goal - one) * weight[:, None]) - RIDGE * self.emit, want - np.einsum("l,lab->ab", weight[inner], two[inner]) - RIDGE * self.move
             for s, g, w in zip(steps, grads, (self.emit, self.move), strict=True):
                 s += g**2
                 w += RATE * g / np.sqrt(s + 1e-8)
-        self.fitted = True
-        return self
 
-    def _marginals(self, score: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, width, _ = score.shape
-        here = np.exp(score - score.max(2, keepdims=True))
+    def _marginals(self, score: np.ndarray, parts: Segments, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each line's state, and of each line's state with the next line's."""
+        here = np.exp(score - score.max(1, keepdims=True))
         move = np.exp(self.move - self.move.max())
-        ahead, behind = np.zeros((n, width, 2)), np.ones((n, width, 2))
-        ahead[:, 0] = here[:, 0] / here[:, 0].sum(1, keepdims=True)
-        for t in range(1, width):
-            step = (ahead[:, t - 1] @ move) * here[:, t]
-            ahead[:, t] = step / step.sum(1, keepdims=True)
-        for t in range(width - 2, -1, -1):
-            step = (here[:, t + 1] * behind[:, t + 1]) @ move.T
-            behind[:, t] = np.where(live[:, t + 1, None], step / step.sum(1, keepdims=True), 1)
-        one = ahead * behind
-        two = ahead[:, :-1, :, None] * move * (here[:, 1:] * behind[:, 1:])[:, :, None, :]
-        return one / one.sum(2, keepdims=True), two / two.sum((2, 3), keepdims=True)
+        step = np.where(parts.live[..., None, None], move * here[parts.line][..., None, :], np.eye(2))
+        first = parts.rank == 0
+        step[first, 0] = here[parts.line[first, 0]][:, None, :]
+        total = step[:, 0]
+        for t in range(1, parts.size):
+            total = total @ step[:, t]
+            total /= total.max((1, 2), keepdims=True)
+        ahead, behind = np.full((len(total), 2), 0.5), np.ones((len(total), 2))
+        for k in range(1, len(parts.by_rank)):
+            s = parts.by_rank[k]
+            v = np.einsum("sa,sab->sb", ahead[s - 1], total[s - 1])
+            ahead[s] = v / v.sum(1, keepdims=True)
+        for k in range(len(parts.by_rank) - 1, 0, -1):
+            s = parts.by_rank[k]
+            v = np.einsum("sab,sb->sa", total[s], behind[s])
+            behind[s - 1] = v / v.sum(1, keepdims=True)
+        forward, back = np.zeros((*parts.live.shape, 2)), np.zeros((*parts.live.shape, 2))
+        for t in range(parts.size):
+            v = np.einsum("sa,sab->sb", ahead, step[:, t])
+            forward[:, t] = ahead = v / v.sum(1, keepdims=True)
+        for t in range(parts.size - 1, -1, -1):
+            back[:, t] = behind
+            v = np.einsum("sab,sb->sa", step[:, t], behind)
+            behind = v / v.sum(1, keepdims=True)
+        a, b = np.zeros((len(score), 2)), np.zeros((len(score), 2))
+        a[parts.line[parts.live]], b[parts.line[parts.live]] = forward[parts.live], back[parts.live]
+        one = a * b
+        two = np.zeros((len(score), 2, 2))
+        two[:-1] = a[:-1, :, None] * move * (here[1:] * b[1:])[:, None, :]  # across the end of a text it is not used
+        return one / one.sum(1, keepdims=True), two / np.maximum(two.sum((1, 2), keepdims=True), 1e-300)
 
     def viterbi(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """Best state sequence of each text; texts step along together, the longest first, so finished ones drop out."""
+        """Best state sequence of each text."""
         out = [np.zeros(len(t), np.int8) for t in texts]
-        if not self.fitted:
-            return out
-        order = sorted((i for i, t in enumerate(texts) if len(t)), key=lambda i: -len(texts[i]))
-        if not order:
+        some = [i for i, t in enumerate(texts) if len(t)]
+        if not self.fitted or not some:
             return out
-        lengths = np.array([len(texts[i]) for i in order])
-        first = np.cumsum(np.concatenate([[0], lengths[:-1]]))
-        score = np.concatenate([texts[i] for i in order]) @ self.emit
-        back = np.zeros((len(score), 2), np.int8)
-        best = score[first]
-        for t in range(1, int(lengths[0])):
-            k = int(np.searchsorted(-lengths, -t, side="left"))  # texts longer than t
-            reach = best[:k, :, None] + self.move
-            at = first[:k] + t
-            back[at] = reach.argmax(1)
-            best[:k] = reach.max(1) + score[at]
-        state = best.argmax(1)
+        lengths = np.array([len(texts[i]) for i in some])
+        score = np.concatenate([texts[i] for i in some]) @ self.emit
+        parts = Segments(lengths)
+        stay = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+        step = np.where(parts.live[..., None, None], self.move + score[parts.line][..., None, :], stay)
+        first = parts.rank == 0
+        step[first, 0] = score[parts.line[first, 0]][:, None, :]  # a sequence comes from state 0, which costs nothing
+        best = np.where(first[:, None], np.array([0.0, -np.inf]), 0.0)
+        total = step[:, 0]
+        for t in range(1, parts.size):
+            total = (total[:, :, :, None] + step[:, t, None, :, :]).max(2)
+        for k in range(1, len(parts.by_rank)):
+            s = parts.by_rank[k]
+            best[s] = (best[s - 1][:, :, None] + total[s - 1]).max(1)
+        came = np.zeros((*parts.live.shape, 2), np.int8)
+        leave = np.zeros((len(total), 2))
+        value = best
+        for t in range(parts.size):
+            reach = value[:, :, None] + step[:, t]
+            came[:, t], value = reach.argmax(1), reach.max(1)
+        leave[:] = value
+        # where each state at a segment's end came from at its start, then the states at all ends
+        start = np.tile(np.array([0, 1], np.int8), (len(total), 1))
+        rows = np.arange(len(total))
+        for t in range(parts.size - 1, -1, -1):
+            start = np.take_along_axis(came[:, t], start.astype(np.int64), 1)
+        state = np.zeros(len(total), np.int64)
+        state[parts.last] = leave[parts.last].argmax(1)
+        for k in range(len(parts.by_rank) - 1, 0, -1):
+            s = parts.by_rank[k]
+            state[s - 1] = start[s, state[s]]
         path = np.zeros(len(score), np.int8)
-        for t in range(int(lengths[0]) - 1, -1, -1):
-            k = int(np.searchsorted(-lengths, -t, side="left"))
-            at = first[:k] + t
-            path[at] = state[:k]
-            state[:k] = back[at, state[:k]]
-        for i, a, n in zip(order, first, lengths, strict=True):
-            out[i] = path[a : a + n]
+        for t in range(parts.size - 1, -1, -1):
+            live = parts.live[:, t]
+            path[parts.line[live, t]] = state[live]
+            state = came[rows, t, state].astype(np.int64)
+        ends = np.cumsum(lengths)
+        for i, e, n in zip(some, ends, lengths, strict=True):
+            out[i] = path[e - n : e]
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES, id_col: str = "doc_id", text: str = "text") -> LineField:
-    """Field of a bounded sample of labelled texts (label 1 is good); at most ``lines`` lines of each."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text: str = "text") -> LineField:
+    """Field of all lines of a bounded sample of labelled texts (label 1 is good)."""
     sample = labelled_sample(docs, labels, label, rows, id_col, text)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {id_col: cols[id_col], "x": [np.packbits(measure(t).x[:lines], axis=1).tobytes() for t in cols["text"]], "label": cols["label"]}
+        return {id_col: cols[id_col], "x": [np.packbits(measure(t).x, axis=1).tobytes() for t in cols["text"]], "label": cols["label"]}
 
-    found = map_rows(sample, [id_col, "text", "label"], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, x binary, label int").orderBy(id_col, "x").collect()
+    measured = map_rows(sample, [id_col, "text", "label"], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, x binary, label int")
+    found = measured.groupBy(id_col).agg(F.min(F.struct("x", "label")).alias("r")).orderBy(id_col).select("r.*").collect()  # one row an id
     packed = -(-len(FEATURES) // 8)
     texts = [np.unpackbits(np.frombuffer(r.x, np.uint8).reshape(-1, packed), axis=1)[:, : len(FEATURES)].astype(bool) for r in found]
     use = [i for i, t in enumerate(texts) if len(t)]
