@@ -7,7 +7,7 @@ bins; a held-back part of the sample fits a monotone map from margins to probabi
 
 Edge cases: null and empty texts have all features zero and are scored like any other row. Without labelled rows, or
 with one class only, every score is the share of toxic labels (0 without labels). Very long texts are read whole.
-Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
+Of rows that repeat an id one is learned from. Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from .common import filter_rows, labelled_sample, map_rows
 
 #: Labelled rows the lexicon and the trees are fitted on.
 SAMPLE_ROWS = 20_000
-LEXICON_STEMS = 256
 #: Letters of a stem.
 STEM = (4, 5)
 #: Least share of the toxic sample texts that hold a stem, and least log-odds of it; copies of one text stay below.
@@ -72,8 +71,11 @@ def features(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
     return out
 
 
-def learn_lexicon(sample: DataFrame, stems: int = LEXICON_STEMS) -> dict[str, float]:
-    """Stems with the highest smoothed log-odds of standing in toxic texts of the sample (text, label)."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """All stems with high smoothed log-odds of standing in toxic texts of the sample (text, label).
+
+    Each stands in a certain share of the toxic texts, so there are no more than their different stems over that share.
+    """
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         seen = {0: Counter(), 1: Counter()}
@@ -86,7 +88,7 @@ def learn_lexicon(sample: DataFrame, stems: int = LEXICON_STEMS) -> dict[str, fl
     totals = sample.agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = totals.toxic or 0, (totals.n or 0) - (totals.toxic or 0)
     odds = F.log((F.col("toxic") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(clean + 1.0))
-    top = counts.where(F.col("toxic") >= max(3.0, STEM_SHARE * toxic)).withColumn("odds", odds).where(F.col("odds") > STEM_ODDS).orderBy(F.desc("odds"), "word").limit(stems)
+    top = counts.where(F.col("toxic") >= max(3.0, STEM_SHARE * toxic)).withColumn("odds", odds).where(F.col("odds") > STEM_ODDS)
     return {r.word: r.odds for r in top.collect()}
 
 
@@ -200,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         return {id_col: cols[id_col], "x": features(cols["text"], lexicon).tolist(), "label": cols["label"]}
 
     kind = dict(docs.dtypes)[id_col]
-    found = map_rows(sample, [id_col, "text", "label"], measure, f"`{id_col}` {kind}, x array<double>, label int").orderBy(id_col, "x").collect()
+    measured = map_rows(sample, [id_col, "text", "label"], measure, f"`{id_col}` {kind}, x array<double>, label int")
+    found = measured.groupBy(id_col).agg(F.min(F.struct("x", "label")).alias("r")).orderBy(id_col).select("r.*").collect()  # one row an id
     x = np.array([r.x for r in found]).reshape(-1, len(FEATURES))
     y = np.array([float(r.label > 0) for r in found])
     if not len(y) or y.min() == y.max():
