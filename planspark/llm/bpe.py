@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches
+from .common import map_rows, materialize, release, small_batches
 
 #: Words in the lexicon.
 LEXICON_WORDS = 1 << 16
@@ -407,9 +407,20 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> Lexicon:
-    """Lexicon of the corpus's most frequent words; its size is a fixed number of words."""
-    top = count_words(docs, path, text).orderBy(F.desc("n"), "word").limit(words).toArrow()
-    return Lexicon.compile(top.column("word").to_pylist(), _vocabulary(path))
+    """Lexicon of the corpus's most frequent words, ``words`` at most; words that occur once are not among them.
+
+    A histogram over 64 steps a doubling of the count, at most some 4,000 rows, says from which step on that many words
+    are left, so no task ranks words. Words of a step come in together or not at all; the others are merged exactly.
+    """
+    counts = materialize(count_words(docs, path, text).where("n > 1").withColumn("step", F.floor(64 * F.log2("n"))))
+    least, left = None, words
+    for row in sorted(counts.groupBy("step").agg(F.count("*").alias("kinds")).collect(), reverse=True):
+        if row.kinds > left:
+            break
+        least, left = row.step, left - row.kinds
+    top = counts.where(F.col("step") >= least).select("word").toArrow().column("word").to_pylist() if least is not None else []
+    release(counts)
+    return Lexicon.compile(top, _vocabulary(path))
 
 
 def map_codec(docs: DataFrame, path: str, lexicon: Lexicon, columns: list[str], fn, schema: str) -> DataFrame:
