@@ -1,8 +1,11 @@
-"""Lossless WebP as a store of 8-bit samples: a complete VP8L reader and a literal-only writer.
+"""Lossless WebP as a store of 8-bit samples: a complete VP8L reader, and a writer that picks the shortest of four forms.
 
 The reader decodes prefix codes (simple, normal and meta codes), back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Images without references, cache or transforms that share
-a prefix code, as the writer makes them, are decoded together: all of them step along pixel by pixel with one table.
+predictor, cross-colour, subtract-green and palette transforms. The writer stores an image as literals under one fixed
+prefix code; where runs of pixels come again it also tries back-references with a colour cache under the image's own
+codes, with and without the predictor transform (the pixel above), and for few colours the palette transform; the
+shortest file is kept. Literal images share a prefix code and are decoded together, all of them stepping along pixel by
+pixel with one table; all other images go through the general reader one by one.
 A payload is laid out as RGBA pixels, sixteen to a row, in images of at most ``ROWS`` rows whose files follow each other,
 so memory stays bounded for any length.
 
@@ -24,8 +27,11 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 BLOCK, WIDTH, ROWS = 64, 16, 512
-#: Longest code of the writer; four of them fit one 64-bit read.
+#: Longest code of the writer's fixed code; four of them fit one 64-bit read.
 MAX_CODE = 12
+#: Bits of the writer's colour cache, pixels from which a repetition is referred to, and the share of pixels that must
+#: stand in repetitions before references are tried.
+CACHE_BITS, LEAST_COPY, REPEATED = 6, 3, 0.15
 # Orders and tables of the lossless WebP format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 DISTANCES = (
@@ -400,6 +406,14 @@ class BitWriter:
             self.put_code(meta, s)
             self.put(extra, n)
 
+    def put_any(self, lengths: list[int]) -> None:
+        """The shortest way to write a code: a lone symbol (or none) is a simple code."""
+        used = [s for s, n in enumerate(lengths) if n]
+        if len(used) > 1 or (used and used[0] > 255):
+            self.put_lengths(lengths)
+        else:
+            self.put_single(used[0] if used else 0)
+
     def put_single(self, symbol: int) -> None:
         self.put(1, 1)
         self.put(0, 1)
@@ -439,15 +453,8 @@ def _prefix(height: int) -> tuple[int, int]:
     return w.value, w.size
 
 
-def _write_stream(rgba: np.ndarray) -> bytes:
-    """Bitstream of one image of sixteen pixels a row: the pixels' codes are put together as 64-bit words."""
-    value, size = _prefix(len(rgba) // (4 * WIDTH))
-    _, codes, lengths = text_code()
-    order = rgba.reshape(-1, 4)[:, [1, 0, 2, 3]]  # green, red, blue, alpha
-    word, n = np.zeros(len(order), np.uint64), np.zeros(len(order), np.int64)
-    for k in range(4):
-        word |= codes[order[:, k]] << n.astype(np.uint64)
-        n += lengths[order[:, k]]
+def _packed(head: int, size: int, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Bits of a head, then words of up to 64 bits one after another."""
     start = size + np.cumsum(n) - n
     total = int(start[-1] + n[-1])
     cell, shift = start >> 6, (start & 63).astype(np.uint64)
@@ -456,8 +463,176 @@ def _write_stream(rgba: np.ndarray) -> bytes:
     out[cell[first]] |= np.bitwise_or.reduceat(word << shift, first)
     high = np.where(shift > 0, word >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
     out[cell[first] + 1] |= np.bitwise_or.reduceat(high, first)
-    head = np.frombuffer(value.to_bytes(8 * len(out), "little"), np.uint64)
-    return (out | head).tobytes()[: (total + 7) >> 3]
+    return (out | np.frombuffer(head.to_bytes(8 * len(out), "little"), np.uint64)).tobytes()[: (total + 7) >> 3]
+
+
+def _literals(rgba: np.ndarray) -> bytes:
+    """Bitstream of one image under the fixed code: the pixels' codes are put together as 64-bit words."""
+    _, codes, lengths = text_code()
+    order = rgba.reshape(-1, 4)[:, [1, 0, 2, 3]]  # green, red, blue, alpha
+    word, n = np.zeros(len(order), np.uint64), np.zeros(len(order), np.int64)
+    for k in range(4):
+        word |= codes[order[:, k]] << n.astype(np.uint64)
+        n += lengths[order[:, k]]
+    return _packed(*_prefix(len(rgba) // (4 * WIDTH)), word, n)
+
+
+def _open(height: int) -> BitWriter:
+    w = BitWriter()
+    w.put(0x2F, 8)
+    w.put(WIDTH - 1, 14)
+    w.put(height - 1, 14)
+    w.put(1, 1)  # alpha is used
+    w.put(0, 3)
+    return w
+
+
+def _prefix_of(value: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra bits and their number of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    top = (value - 1).bit_length() - 1
+    extra = top - 1
+    return 2 * top + ((value - 1) >> extra & 1), (value - 1) & ((1 << extra) - 1), extra
+
+
+def _runs_ahead(p: np.ndarray) -> np.ndarray:
+    """For each pixel the last earlier place from which ``LEAST_COPY`` equal pixels go on, or -1."""
+    before = np.full(len(p), -1, np.int64)
+    if len(p) > LEAST_COPY:
+        wide = p.astype(np.uint64)
+        key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def _tokens(p: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, value, distance): literals (0, pixel), copies (1, length, distance) and cached colours (2, slot)."""
+    pixels, slots = p.tolist(), ((p.astype(np.uint64) * _COLOR_MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).tolist()
+    kept: list[int] = [0] * (1 << CACHE_BITS)
+    out, at, fresh, end = [], 0, 0, len(pixels)
+    while at < end:
+        source = int(before[at])
+        length = 0
+        if source >= 0:
+            stop = min(end - at, 4096)
+            differ = np.flatnonzero(p[at : at + stop] != p[source : source + stop])
+            length = int(differ[0]) if len(differ) else stop
+        while fresh < at:
+            kept[slots[fresh]] = pixels[fresh]
+            fresh += 1
+        if length >= LEAST_COPY:
+            out.append((1, length, at - source))
+            at += length
+        else:
+            out.append((2, slots[at], 0) if kept[slots[at]] == pixels[at] else (0, pixels[at], 0))
+            at += 1
+    return out
+
+
+def _put_pixels(w: BitWriter, p: np.ndarray, before: np.ndarray) -> bytes:
+    """The stream of a top image: references and cache, under codes made for it."""
+    tokens = _tokens(p, before)
+    sizes = (256 + 24 + (1 << CACHE_BITS), 256, 256, 256, 40)
+    counts = [np.zeros(n, np.int64) for n in sizes]
+    items: list[list[tuple[int, int, int, int]]] = []  # by token: (code, symbol, extra bits, their number)
+    for kind, value, distance in tokens:
+        if kind == 0:
+            own = [(0, value >> 8 & 255, 0, 0), (1, value >> 16 & 255, 0, 0), (2, value & 255, 0, 0), (3, value >> 24, 0, 0)]
+        elif kind == 1:
+            symbol, extra, n = _prefix_of(value)
+            far, more, m = _prefix_of(distance + 120)
+            own = [(0, 256 + symbol, extra, n), (4, far, more, m)]
+        else:
+            own = [(0, 280 + value, 0, 0)]
+        for code, symbol, _, _ in own:
+            counts[code][symbol] += 1
+        items.append(own)
+    w.put(1, 1)  # a colour cache
+    w.put(CACHE_BITS, 4)
+    w.put(0, 1)  # no meta codes
+    codes = []
+    for n in counts:
+        lengths = huffman_lengths(n.tolist(), 15) if (n > 0).sum() > 1 else (n > 0).astype(int).tolist()
+        w.put_any(lengths)
+        codes.append(Code(lengths) if any(lengths) else None)
+    words, n = [], []
+    for own in items:
+        value = size = 0
+        for code, symbol, extra, m in own:
+            if codes[code].single is None:
+                bits, length = codes[code].codes[symbol]
+                value |= int(f"{bits:0{length}b}"[::-1], 2) << size
+                size += length
+            value |= extra << size
+            size += m
+        words.append(value)
+        n.append(size)
+    return _packed(w.value, w.size, np.array(words, np.uint64), np.array(n, np.int64))
+
+
+def _references(p: np.ndarray, height: int) -> list[bytes]:
+    """Streams with references, of the pixels and of their differences from the pixel above, if enough comes again."""
+    found = []
+    before = _runs_ahead(p)
+    if (before >= 0).mean() > REPEATED:
+        w = _open(height)
+        w.put(0, 1)  # no transform
+        found.append(_put_pixels(w, p, before))
+        c = _split(p)
+        guess = np.concatenate([[[255, 0, 0, 0]], c[: WIDTH - 1], c[:-WIDTH]])[: len(c)]
+        rest = _join(c - guess)
+        w = _open(height)
+        w.put(1, 1)
+        w.put(0, 2)  # predictor
+        w.put(7, 3)  # tiles of 512 pixels: one a file
+        w.put(0, 1)
+        for s in (2, 0, 0, 255):  # mode 2: the pixel above
+            w.put_single(s)
+        w.put_single(0)
+        w.put(0, 1)  # no further transform
+        found.append(_put_pixels(w, rest, _runs_ahead(rest)))
+    return found
+
+
+def _palette(p: np.ndarray, height: int) -> list[bytes]:
+    """A stream of palette indices, several to a pixel, if there are few colours."""
+    colours, index = np.unique(p, return_inverse=True)
+    if len(colours) > 16:
+        return []
+    w = _open(height)
+    w.put(1, 1)
+    w.put(3, 2)  # palette
+    w.put(len(colours) - 1, 8)
+    w.put(0, 1)
+    steps = _split(colours)
+    steps[1:] = (steps[1:] - steps[:-1]) & 255
+    codes = []
+    for channel in (2, 1, 3, 0):
+        n = np.bincount(steps[:, channel], minlength=280 if channel == 2 else 256)
+        lengths = huffman_lengths(n.tolist(), 15) if (n > 0).sum() > 1 else (n > 0).astype(int).tolist()
+        w.put_any(lengths)
+        codes.append((channel, Code(lengths)))
+    w.put_single(0)
+    for row in steps.tolist():
+        for channel, code in codes:
+            w.put_code(code, row[channel])
+    w.put(0, 1)  # no further transform
+    packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    per, size = 1 << packed, 8 >> packed
+    shared_ = (index.reshape(height, WIDTH // per, per) << (np.arange(per) * size)).sum(2).reshape(-1)
+    small = (shared_.astype(np.uint32)) << np.uint32(8)
+    return [_put_pixels(w, small, _runs_ahead(small))]
+
+
+def _write_stream(rgba: np.ndarray) -> bytes:
+    """The shortest bitstream of one image of sixteen pixels a row."""
+    height = len(rgba) // (4 * WIDTH)
+    c = rgba.reshape(-1, 4).astype(np.uint32)
+    p = c[:, 3] << 24 | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+    return min([_literals(rgba), *_references(p, height), *_palette(p, height)], key=len)
 
 
 def write(payload: bytes) -> bytes:
