@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z90 = 1.645
@@ -41,6 +42,37 @@ def cell(value: Column, size: float, origin: float = 0.0) -> Column:
     return F.floor((value - origin) / size).cast("long")
 
 
+def cell_centre(index: Column, size: float, origin: float = 0.0) -> Column:
+    return (index + 0.5) * size + origin
+
+
+def moved(polygon: str, cos: Column, sin: Column, du: Column, dv: Column) -> Column:
+    """A nested polygon (i, u, v) turned and shifted, point by point in place."""
+    return F.transform(polygon, lambda p: F.struct(p["i"].alias("i"), (cos * p["u"] - sin * p["v"] + du).alias("u"), (sin * p["u"] + cos * p["v"] + dv).alias("v")))
+
+
+def upright(up: Column, fx: Column, fy: Column, cx: Column, cy: Column, width: int, height: int, least: float = 0.7) -> tuple[Column, ...]:
+    """Quarter turns (1 counter-clockwise, -1 clockwise, 0) that bring a frame upright, and its intrinsics after them."""
+    level = F.abs(up) < least
+    turn = lambda a, b, c: F.when(level, a).when(up > 0, b).otherwise(c)
+    return turn(F.lit(0), F.lit(1), F.lit(-1)), turn(fx, fy, fy), turn(fy, fx, fx), turn(cx, cy, height - 1 - cy), turn(cy, width - 1 - cx, cx)
+
+
+def letterboxed(views: DataFrame, keys: Sequence[str], focal: Column) -> DataFrame:
+    """Views (w, h) scaled and centred to the commonest shape of their set, the larger of equals, with their intrinsics."""
+    shapes = views.groupBy(*keys, "w", "h").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max(F.struct("n", "h", "w")).alias("t"))
+    rows = views.join(shapes.select(*keys, F.col("t.w").alias("tw"), F.col("t.h").alias("th")), list(keys))
+    rows = rows.withColumn("scale", F.least(F.col("th") / F.col("h").cast("double"), F.col("tw") / F.col("w").cast("double")))
+    rows = rows.withColumn("nw", F.bround(F.col("w") * F.col("scale")).cast("long")).withColumn("nh", F.bround(F.col("h") * F.col("scale")).cast("long"))
+    rows = rows.withColumn("x0", F.floor((F.col("tw") - F.col("nw")) / 2)).withColumn("y0", F.floor((F.col("th") - F.col("nh")) / 2))
+    return rows.withColumn("fx", focal * F.col("scale")).withColumn("cx", F.col("w") / 2.0 * F.col("scale") + F.col("x0")).withColumn("cy", F.col("h") / 2.0 * F.col("scale") + F.col("y0"))
+
+
+def plus_minus(m: Column, unit: str = "m") -> Column:
+    """``1.23 ±0.04 m`` of a measurement."""
+    return F.when(m.isNull(), "n/a").otherwise(F.format_string(f"%.2f ±%.2f {unit}", m["value"], (m["hi"] - m["lo"]) / 2))
+
+
 def measurement(value: Column, sigma: Column, unit: str, digits: int = 4) -> Column:
     """Value with its 90 % interval."""
     half = F.lit(Z90) * sigma

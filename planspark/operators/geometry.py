@@ -55,24 +55,172 @@ def overlap_ratio(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return F.coalesce(F.try_divide(w * h, union), F.lit(0.0))
 
 
-def dilate(cells: DataFrame, half: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Cells within a square of ``half`` cells around any cell."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-half, half + 1) for b in range(-half, half + 1)])
-    spread = cells.select(*keys, "col", "row", F.explode(steps).alias("s"))
-    return spread.select(*keys, (F.col("col") + F.col("s.a")).alias("col"), (F.col("row") + F.col("s.b")).alias("row")).distinct()
+def square(half: int) -> list[tuple[int, int]]:
+    """Steps of a square kernel."""
+    return [(a, b) for a in range(-half, half + 1) for b in range(-half, half + 1)]
 
 
-def erode(cells: DataFrame, half: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Cells whose whole square of ``half`` cells around is set."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-half, half + 1) for b in range(-half, half + 1)])
-    spread = cells.select(*keys, "col", "row").distinct().select(*keys, "col", "row", F.explode(steps).alias("s"))
-    hit = spread.groupBy(*keys, (F.col("col") + F.col("s.a")).alias("col"), (F.col("row") + F.col("s.b")).alias("row")).agg(F.count("*").alias("n"))
-    return hit.where(F.col("n") == (2 * half + 1) ** 2).drop("n")
+def ellipse(half: int) -> list[tuple[int, int]]:
+    """Steps of a round kernel: each row as wide as the circle there, halves to even."""
+    return [(a, b) for b in range(-half, half + 1) for a in range(-half, half + 1) if abs(a) <= round(half * (1 - (b / half) ** 2) ** 0.5)]
 
 
-def close(cells: DataFrame, half: int, keys: Sequence[str] = ()) -> DataFrame:
-    return erode(dilate(cells, half, keys), half, keys)
+def _spread(cells: DataFrame, steps: Sequence[tuple[int, int]], keys: Sequence[str]) -> DataFrame:
+    kernel = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])
+    return cells.select(*keys, "col", "row").distinct().select(*keys, "col", "row", F.explode(kernel).alias("s")).select(*keys, (F.col("col") + F.col("s.a")).alias("col"), (F.col("row") + F.col("s.b")).alias("row"))
 
 
-def open_(cells: DataFrame, half: int, keys: Sequence[str] = ()) -> DataFrame:
-    return dilate(erode(cells, half, keys), half, keys)
+def dilate(cells: DataFrame, steps: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
+    """Cells that a step of the (symmetric) kernel leads to from any cell."""
+    return _spread(cells, steps, keys).distinct()
+
+
+def erode(cells: DataFrame, steps: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
+    """Cells all of whose kernel is set; outside the cells nothing is."""
+    return _spread(cells, steps, keys).groupBy(*keys, "col", "row").agg(F.count("*").alias("n")).where(F.col("n") == len(steps)).drop("n")
+
+
+def close(cells: DataFrame, steps: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
+    return erode(dilate(cells, steps, keys), steps, keys)
+
+
+def open_(cells: DataFrame, steps: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
+    return dilate(erode(cells, steps, keys), steps, keys)
+
+
+def touching(cells: DataFrame, keys: Sequence[str], corners: bool) -> DataFrame:
+    """(node, root): the components of cells that touch by sides, or by corners too; a node is (keys, col, row)."""
+    from planspark.operators.graph import components
+
+    node = cells.select(*keys, "col", "row").distinct()
+    steps = [(1, 0), (0, 1), *([(1, 1), (1, -1)] if corners else [])]
+    other = _spread(node.withColumns({"col": F.col("col"), "row": F.col("row")}), [(0, 0)], keys)
+    links = None
+    for a, b in steps:
+        moved = other.select(*keys, (F.col("col") - a).alias("col"), (F.col("row") - b).alias("row"), F.struct(*keys, "col", "row").alias("b"))
+        found = node.join(moved, [*keys, "col", "row"]).select(F.struct(*keys, "col", "row").alias("a"), "b")
+        links = found if links is None else links.unionByName(found)
+    return components(node.select(F.struct(*keys, "col", "row").alias("node")), links)
+
+
+def flooded(free: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Free cells that a flood from the seeds reaches over their sides."""
+    parts = touching(free, keys, corners=False)
+    wet = parts.join(seeds.select(F.struct(*keys, "col", "row").alias("node")), "node", "left_semi").select("root").distinct()
+    return parts.join(wet, "root", "left_semi").select("node.*")
+
+
+def hull(cells: DataFrame, key: str) -> DataFrame:
+    """(key, col, row, side): the corners of the convex hull of a key's cells, along its lower and its upper side.
+
+    Tasks get the lowest and the highest cell of each column, so a chain is as long as the plan is wide.
+    """
+    ends = cells.groupBy(key, "col").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    kind = dict(cells.dtypes)[key]
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf, rows = pdf.sort_values("col"), []
+        for side, column, sign in (("lower", "lo", 1), ("upper", "hi", -1)):
+            chain: list[tuple[int, int]] = []
+            for c, r in zip(pdf["col"].tolist(), pdf[column].tolist(), strict=True):
+                while len(chain) > 1 and sign * ((chain[-1][0] - chain[-2][0]) * (r - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (c - chain[-2][0])) <= 0:
+                    chain.pop()
+                chain.append((c, r))
+            rows += [(pdf[key].iloc[0], c, r, side) for c, r in chain]
+        return pd.DataFrame(rows, columns=[key, "col", "row", "side"])
+
+    return ends.groupBy(key).applyInPandas(run, f"`{key}` {kind}, col long, row long, side string")
+
+
+def hull_cells(cells: DataFrame, key: str) -> DataFrame:
+    """All cells whose centres lie in the convex hull of a key's cells, its border included."""
+    w = Window.partitionBy(key, "side").orderBy("col")
+    sides = hull(cells, key).withColumns({"c2": F.lead("col").over(w), "r2": F.lead("row").over(w)})
+    every = sides.withColumn("at", F.explode(F.sequence("col", F.coalesce("c2", "col"))))
+    height = F.col("row") + F.coalesce((F.col("r2") - F.col("row")) * F.try_divide(F.col("at") - F.col("col"), F.col("c2") - F.col("col")), F.lit(0.0))
+    span = every.groupBy(key, "at").agg(F.ceil(F.round(F.min(F.when(F.col("side") == "lower", height)), 9)).alias("lo"), F.floor(F.round(F.max(F.when(F.col("side") == "upper", height)), 9)).alias("hi"))
+    return span.where("lo <= hi").select(key, F.col("at").alias("col"), F.explode(F.sequence("lo", "hi")).alias("row"))
+
+
+def enclosed(band: DataFrame, walls: DataFrame, seeds: DataFrame, key: str, gap: int) -> DataFrame:
+    """Interior cells: a flood from the seeds inside the hull of all band cells, walls thickened by ``gap`` cells.
+
+    The thickening closes small holes in walls; it is given back to the interior afterwards.
+    """
+    inside, kernel = hull_cells(band, key), ellipse(gap)
+    place = [key, "col", "row"]
+    free = inside.join(dilate(walls, kernel, [key]), place, "left_anti")
+    wet = dilate(flooded(free, seeds.join(free, place, "left_semi"), [key]), kernel, [key])
+    return wet.join(inside, place, "left_semi").join(walls.select(*place).distinct(), place, "left_anti")
+
+
+def axis_edges(polygons: DataFrame, keys: Sequence[str], shortest: float = 0.3) -> DataFrame:
+    """Edges (i, axis, c, lo, hi, sign) of rings of corners; the sign points out of the room."""
+    rows = edges(polygons, keys).join(polygons.groupBy(*keys).agg(F.avg("u").alias("mu"), F.avg("v").alias("mv")), list(keys))
+    du, dv = F.abs(F.col("u2") - F.col("u")), F.abs(F.col("v2") - F.col("v"))
+    flat = du < dv
+    pick = lambda a, b: F.when(flat, a).otherwise(b)
+    out = rows.where(F.hypot(du, dv) >= shortest).select(*keys, "i", "u", "v", pick(F.lit(0), F.lit(1)).alias("axis"), pick((F.col("u") + F.col("u2")) / 2, (F.col("v") + F.col("v2")) / 2).alias("c"), pick(F.least("v", "v2"), F.least("u", "u2")).alias("lo"), pick(F.greatest("v", "v2"), F.greatest("u", "u2")).alias("hi"), pick(F.col("mu"), F.col("mv")).alias("_m"))
+    return out.withColumn("sign", F.when(F.col("c") > F.col("_m"), 1).otherwise(-1)).drop("_m")
+
+
+def facing_walls(edges_: DataFrame, links: DataFrame, key: str, thickness: float = 0.15, doors: DataFrame | None = None) -> DataFrame:
+    """The best pair of facing walls (a, b, wa, wb, gap, door, score) of every two linked rooms (a, b).
+
+    Walls run parallel with their outsides to each other. A pair scores by how far its gap is from a wall's thickness and
+    how far it misses along the wall; doors (key, i, at) that line up within 2.5 m take one off.
+    """
+    a = edges_.select(F.col(key).alias("a"), F.col("i").alias("wa"), "axis", F.col("c").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("sign").alias("sa"))
+    b = edges_.select(F.col(key).alias("b"), F.col("i").alias("wb"), "axis", F.col("c").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), (-F.col("sign")).alias("sa"))
+    pairs = links.join(a, "a").join(b, ["b", "axis", "sa"]).withColumn("gap", (F.col("cb") - F.col("ca")) * F.col("sa")).withColumn("shared", F.least("ha", "hb") - F.greatest("la", "lb"))
+    pairs = pairs.where("shared >= -15e-1 and gap >= -1e0")
+    if doors is None:
+        pairs = pairs.withColumn("door", F.lit(None).cast("double"))
+    else:
+        da, db = (doors.select(F.col(key).alias(r), F.col("i").alias(f"w{r}"), F.col("at").alias(f"d{r}")) for r in "ab")
+        lined = pairs.select("a", "b", "wa", "wb").join(da, ["a", "wa"]).join(db, ["b", "wb"]).withColumn("off", F.col("da") - F.col("db"))
+        best = lined.groupBy("a", "b", "wa", "wb").agg(F.min_by("off", F.struct(F.abs("off"), "da", "db")).alias("door"))
+        pairs = pairs.join(best.where(F.abs("door") < 2.5), ["a", "b", "wa", "wb"], "left")
+    score = F.abs(F.col("gap") - thickness) + F.greatest(F.lit(0.0), -F.col("shared")) - F.when(F.col("door").isNotNull(), 1.0).otherwise(0.0)
+    ranked = pairs.withColumn("score", score).withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.round("score", 6), "wa", "wb")))
+    return ranked.where("_n = 1").select("a", "b", "wa", "wb", "axis", F.col("sa").alias("sign"), "gap", "door", "score")
+
+
+def normals(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Unit normals (nx, ny, nz) of pixels (u, v, x, y, z) seen from the origin, by differences along rows and columns."""
+    across, down = Window.partitionBy(*keys, "v").orderBy("u"), Window.partitionBy(*keys, "u").orderBy("v")
+
+    def slope(c: str, w) -> Column:
+        after, before = F.lead(c).over(w), F.lag(c).over(w)
+        return F.when(after.isNull(), F.col(c) - before).when(before.isNull(), after - F.col(c)).otherwise((after - before) / 2)
+
+    rows = pixels.withColumns({f"a{c}": slope(c, across) for c in "xyz"} | {f"b{c}": slope(c, down) for c in "xyz"}).where("ax is not null and bx is not null")
+    n = [F.col("ay") * F.col("bz") - F.col("az") * F.col("by"), F.col("az") * F.col("bx") - F.col("ax") * F.col("bz"), F.col("ax") * F.col("by") - F.col("ay") * F.col("bx")]
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) + 1e-12
+    facing = F.when(-(n[0] * F.col("x") + n[1] * F.col("y") + n[2] * F.col("z")) >= 0, 1).otherwise(-1)
+    return rows.select(*keys, "u", "v", *[(e / size * facing).alias(name) for e, name in zip(n, ("nx", "ny", "nz"), strict=True)])
+
+
+def _targets(pixels: DataFrame, keys: Sequence[str], size: tuple[int, int]) -> DataFrame:
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return pixels.select(*keys).distinct().withColumn("x", span(size[0])).withColumn("y", span(size[1]))
+
+
+def resized(pixels: DataFrame, keys: Sequence[str], source: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """Rasters (u, v, z) at another size (x, y, z), bilinear between pixel centres."""
+    at = lambda c, k: F.least(F.greatest((F.col(c) + 0.5) * float(source[k]) / float(size[k]) - 0.5, F.lit(0.0)), F.lit(float(source[k] - 1)))
+    rows = _targets(pixels, keys, size).withColumn("sx", at("x", 0)).withColumn("sy", at("y", 1))
+    near = lambda c, k, o: F.least(F.floor(c) + o, F.lit(source[k] - 1)).cast("long")
+    part = lambda c, o: (F.col(c) - F.floor(c)) if o else 1 - (F.col(c) - F.floor(c))
+    four = F.array(*[F.struct(near("sx", 0, a).alias("u"), near("sy", 1, b).alias("v"), (part("sx", a) * part("sy", b)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    asked = rows.select(*keys, "x", "y", F.explode(four).alias("n")).select(*keys, "x", "y", "n.*")
+    return asked.join(pixels, [*keys, "u", "v"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("w") * F.col("z")).alias("z"))
+
+
+def nearest_resized(pixels: DataFrame, keys: Sequence[str], source: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """Rasters at another size by the pixel at the floor of the scaled place, as masks are resized."""
+    at = lambda c, k: F.floor(F.col(c) * float(source[k]) / float(size[k])).cast("long")
+    rows = _targets(pixels, keys, size).withColumn("u", at("x", 0)).withColumn("v", at("y", 1))
+    return rows.join(pixels, [*keys, "u", "v"]).select(*keys, "x", "y", "z")

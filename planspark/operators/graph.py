@@ -1,18 +1,22 @@
-"""Components, trees and order-dependent merging."""
+"""Components, trees and greedy labelling."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder; only sessions without one get a folder of their own."""
+    """Cut the lineage of an iteration in the shared checkpoint folder; only sessions of one machine may have none."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", "") or context._jsc.sc().getCheckpointDir().isDefined()):
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="planspark-"))
@@ -46,40 +50,69 @@ def tree(links: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def _iou(a, b) -> float:
-    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
+def _overlapping(boxes: np.ndarray, limit: float) -> list[int]:
+    """For each box (x0, y0, x1, y1) the boxes it shares ``limit`` of the union with, as the bits of a number."""
+    size = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    out: list[int] = []
+    for at in range(0, len(boxes), 512):
+        part = boxes[at : at + 512, None]
+        both = np.clip(np.minimum(part[..., 2:], boxes[None, :, 2:]) - np.maximum(part[..., :2], boxes[None, :, :2]), 0, None).prod(2)
+        union = size[at : at + 512, None] + size[None, :] - both
+        hit = np.divide(both, union, out=np.zeros_like(both), where=union > 0) >= limit
+        out += [int.from_bytes(row.tobytes(), "little") for row in np.packbits(hit, axis=1, bitorder="little")]
+    return out
+
+
+def _owners(boxes: np.ndarray, limit: float) -> list[int]:
+    """In the order given: the first box that stands and overlaps, or else the box itself, which then stands."""
+    standing, owners = 0, []
+    for i, hits in enumerate(_overlapping(boxes, limit)):
+        met = hits & standing
+        owners.append((met & -met).bit_length() - 1 if met else i)
+        standing |= 0 if met else 1 << i
+    return owners
+
+
+def labelled(boxes: DataFrame, keys: Sequence[str], limit: float) -> DataFrame:
+    """Boxes with their ``rank`` in the group (best score first, then id and corners) and the rank of their ``owner``."""
+    corners = ["x0", "y0", "x1", "y1"]
+    names, n = boxes.columns, len(keys)
+    schema = T.StructType([*boxes.schema.fields, T.StructField("rank", T.LongType()), T.StructField("owner", T.LongType())])
+
+    def finish(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        owners = _owners(np.stack([group.column(names.index(c)).to_numpy() for c in corners], 1).astype(float), limit)
+        yield from group.append_column("rank", pa.array(range(len(owners)), pa.int64())).append_column("owner", pa.array(owners, pa.int64())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            at = 0
+            own = list(zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True)) if n else [()] * batch.num_rows
+            for i, key in enumerate(own):
+                if key != last:
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    if held:
+                        yield from finish(pa.Table.from_batches(held))
+                    held, at, last = [], i, key
+            if batch.num_rows > at:
+                held.append(batch.slice(at))
+        if held:
+            yield from finish(pa.Table.from_batches(held))
+
+    ordered = boxes.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "box_id", *corners)
+    return ordered.mapInArrow(run, schema)
 
 
 def non_maximum(boxes: DataFrame, keys: Sequence[str], limit: float = 0.4) -> DataFrame:
-    """Greedy suppression within one image: by score, a box stays if it overlaps no kept one by ``limit`` or more."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        rows = []
-        for i, r in zip(*(lambda g: (g.index, g.itertuples(index=False)))(group.sort_values(["score", "box_id"], ascending=[False, True])), strict=True):
-            box = (r.x0, r.y0, r.x1, r.y1)
-            if all(_iou(box, k) < limit for k in kept):
-                kept.append(box)
-                rows.append(i)
-        return group.loc[rows]
-
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    """Boxes that overlap no better one that stands by ``limit`` or more; a group is the boxes of one image."""
+    return labelled(boxes, keys, limit).where(F.col("rank") == F.col("owner")).drop("rank", "owner")
 
 
 def merge_views(regions: DataFrame, keys: Sequence[str], limit: float = 0.2) -> DataFrame:
-    """Greedy merge of the regions of one surface and class: the first survivor that overlaps enough takes the evidence."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in group.sort_values(["score", "box_id"], ascending=[False, True]).to_dict("records"):
-            box = (r["x0"], r["y0"], r["x1"], r["y1"])
-            into = next((k for k in kept if _iou(box, (k["x0"], k["y0"], k["x1"], k["y1"])) >= limit), None)
-            if into is None:
-                kept.append({**r, "evidence": sorted(set(r["evidence"]))})
-            else:
-                into["evidence"] = sorted(set(into["evidence"]) | set(r["evidence"]))
-        return pd.DataFrame(kept, columns=group.columns)
-
-    return regions.groupBy(*keys).applyInPandas(run, regions.schema)
+    """One region for each that stands, with the evidence of all regions it owns, sorted and once each."""
+    own = F.col("rank") == F.col("owner")
+    rest = [c for c in regions.columns if c not in keys and c != "evidence"]
+    found = labelled(regions, keys, limit).groupBy(*keys, "owner").agg(*[F.max(F.when(own, F.col(c))).alias(c) for c in rest], F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    return found.select(*regions.columns)

@@ -82,17 +82,6 @@ def refined_level(points: DataFrame, guesses: DataFrame, keys: Sequence[str], wi
     return out.withColumn("sigma", median_sigma(F.col("spread"), F.col("n")))
 
 
-def dominant_angle(points: DataFrame, degrees: list[float], res: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
-    """The rotation whose projections onto both axes are sharpest (largest sum of squared bin counts)."""
-    spread = points.withColumn("degree", F.explode(F.array(*[F.lit(float(d)) for d in degrees])))
-    a = F.radians("degree")
-    turned = spread.withColumn("u", F.cos(a) * F.col("x") - F.sin(a) * F.col("z")).withColumn("v", F.sin(a) * F.col("x") + F.cos(a) * F.col("z"))
-    axes = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("u").alias("c")), F.struct(F.lit(1).alias("axis"), F.col("v").alias("c"))))
-    bins = turned.select(*keys, "degree", axes.alias("e")).groupBy(*keys, "degree", "e.axis", cell(F.col("e.c"), res).alias("bin")).agg(F.count("*").alias("n"))
-    score = bins.groupBy(*keys, "degree").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
-    return score.groupBy(*keys).agg(F.max_by("degree", F.struct("score", -F.col("degree"))).alias("degree"), F.max("score").alias("score"))
-
-
 def strided(rows: DataFrame, stride: int, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Every ``stride``-th row of a key by position, the last one left out."""
     w = Window.partitionBy(*keys)
@@ -102,7 +91,7 @@ def strided(rows: DataFrame, stride: int, order: Sequence[str], keys: Sequence[s
 
 def capped(rows: DataFrame, k: int, keys: Sequence[str], ids: Sequence[str], seed: int = 0) -> DataFrame:
     """At most ``k`` rows of a key, picked by a seeded hash of their ids."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *ids), *ids)
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids])), *ids)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
@@ -113,9 +102,8 @@ def fragments(frames: DataFrame, size: int, keys: Sequence[str] = (), index: str
 
 
 def percentile_filter(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """Rows at or above a global percentile; the scalar is a one-row broadcast."""
-    bound = rows.agg(F.percentile(value, F.lit(share)).alias("_p"))
-    return rows.join(F.broadcast(bound), F.col(value) >= F.col("_p")).drop("_p")
+    """Rows at or above a global percentile."""
+    return rows.where(F.col(value) >= rows.agg(F.percentile(value, F.lit(share))).scalar())
 
 
 def valid_pixel(conf: Column, depth: Column, least_conf: int, far: float, near: float = 0.1) -> Column:

@@ -50,7 +50,7 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
 
 def keyframe_shares(pieces: DataFrame, total: int, least: int = 3) -> DataFrame:
     """Keyframes of each piece (length) in proportion, at least ``least``."""
-    return pieces.withColumn("keyframes", F.greatest(F.lit(least), F.bround(total * F.col("length") / F.sum("length").over(Window.partitionBy(F.lit(1)))).cast("int")))
+    return pieces.withColumn("keyframes", F.greatest(F.lit(least), F.bround(total * F.col("length") / pieces.agg(F.sum("length")).scalar()).cast("int")))
 
 
 def prune_contained(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -58,17 +58,6 @@ def a7(spark, d):
     return P.fullest_bin(P.histogram(base(spark, d, "points"), "y", 0.1, ["capture_id"]), ["capture_id"])
 
 
-_DEGREES = [float(x) for x in range(0, 90, 15)]
-
-
-@register("a8_dominant_angle", PTS + """, t AS (SELECT capture_id, degree, x, z FROM points, (SELECT unnest([0e0, 15e0, 30e0, 45e0, 60e0, 75e0]) AS degree)),
-e AS (SELECT capture_id, degree, 0 AS axis, cos(radians(degree)) * x - sin(radians(degree)) * z AS c FROM t UNION ALL SELECT capture_id, degree, 1, sin(radians(degree)) * x + cos(radians(degree)) * z FROM t),
-b AS (SELECT capture_id, degree, axis, floor((c + 1e-4) / 5e-2) AS bin, count(*) AS n FROM e GROUP BY 1, 2, 3, 4), s AS (SELECT capture_id, degree, CAST(sum(n * n) AS BIGINT) AS score FROM b GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, degree) AS i FROM s) SELECT capture_id, degree FROM k WHERE i = 1""")
-def a8(spark, d):
-    return P.dominant_angle(base(spark, d, "points"), _DEGREES, 0.05, ["capture_id"]).select("capture_id", "degree")
-
-
 @register("a9_refined_level", PTS + """, a AS (SELECT capture_id, median(y) AS level FROM points WHERE abs(y - 1e0) < 4e-2 GROUP BY 1)
 SELECT p.capture_id, round(median(p.y), 6) AS level, round(stddev_pop(p.y), 6) AS spread, count(*) AS n, round(12533e-4 * stddev_pop(p.y) / sqrt(count(*)), 6) AS sigma FROM points p JOIN a USING (capture_id) WHERE abs(p.y - a.level) < 2e-2 GROUP BY 1""")
 def a9(spark, d):

@@ -71,25 +71,43 @@ def c3(spark, d):
     return rows.select("c_custkey", profile(F.col("c_custkey") % 30, F.col("c_nationkey") % 2 == 0, F.col("c_acctbal") / 100).alias("profile"))
 
 
-@register("r2_components")
+_STEPS = ", e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l)"
+
+
+@register("r2_components", FRM.replace("WITH", "WITH RECURSIVE", 1) + """, l AS (SELECT DISTINCT frame_id AS a, CAST(floor(frame_id / 16) * 16 + (frame_id * 7 + 3) % 16 AS BIGINT) AS b FROM frames)""" + _STEPS + """,
+r AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def r2(spark, d):
-    links = base(spark, d, "frames").where("frame_id % 10 < 6").selectExpr("frame_id as a", "frame_id + 1 + frame_id % 3 as b").distinct()
+    links = base(spark, d, "frames").selectExpr("frame_id as a", "cast(floor(frame_id / 16) * 16 + (frame_id * 7 + 3) % 16 as bigint) as b").distinct()
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     return graph.components(nodes, links)
 
 
-@register("r15_tree")
+@register("r15_tree", FRM.replace("WITH", "WITH RECURSIVE", 1) + """, l AS (SELECT a, b FROM (SELECT DISTINCT frame_id AS a, CAST(floor(frame_id / 60) * 60 + (frame_id * 7 + 1) % 60 AS BIGINT) AS b FROM frames) WHERE a <> b)""" + _STEPS + """,
+r AS (SELECT DISTINCT u AS node, 0 AS depth FROM e WHERE u % 60 = 0 UNION SELECT e.v, r.depth + 1 FROM r JOIN e ON e.u = r.node WHERE r.depth < 60), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1)
+SELECT d.node, CAST(d.depth AS INTEGER) AS depth, min(p.node) AS parent FROM d LEFT JOIN e ON e.v = d.node LEFT JOIN d p ON p.node = e.u AND p.depth = d.depth - 1 GROUP BY 1, 2""")
 def r15(spark, d):
-    links = base(spark, d, "frames").where("frame_id <= 400").selectExpr("frame_id % 60 as a", "(frame_id * 7 + 1) % 60 as b").where("a <> b").distinct()
-    return graph.tree(links, spark.createDataFrame([(0,)], "node long"))
+    links = base(spark, d, "frames").selectExpr("frame_id as a", "cast(floor(frame_id / 60) * 60 + (frame_id * 7 + 1) % 60 as bigint) as b").where("a <> b").distinct()
+    roots = links.select(F.col("a").alias("node")).union(links.select("b")).where("node % 60 = 0").distinct()
+    return graph.tree(links, roots)
+
+
+def _greedy(keys: str, on: str, limit: str) -> str:
+    """Boxes in rank order against the list of those that stand."""
+    inter = "greatest(0e0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0e0, least(k.y1, o.y1) - greatest(k.y0, o.y0))"
+    area = "(k.x1 - k.x0) * (k.y1 - k.y0) + (o.x1 - o.x0) * (o.y1 - o.y0)"
+    met = f"list_filter(r.kept, lambda k: {inter} >= {limit} * ({area} - {inter}) AND {area} - {inter} > 0)"
+    pack = "struct_pack(i := o.i, x0 := o.x0, y0 := o.y0, x1 := o.x1, y1 := o.y1)"
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, box_id, x0, y0, x1, y1) AS i FROM boxes),
+r AS (SELECT {keys}, i, i AS owner, [{pack.replace("o.", "")}] AS kept FROM o WHERE i = 1 UNION ALL SELECT {", ".join("o." + k.strip() for k in keys.split(","))}, o.i, CASE WHEN len({met}) > 0 THEN {met}[1].i ELSE o.i END, CASE WHEN len({met}) > 0 THEN r.kept ELSE list_append(r.kept, {pack}) END FROM r JOIN o ON {on} AND o.i = r.i + 1)"""
 
 
-@register("r19_non_maximum")
+@register("r19_non_maximum", BOX.replace("WITH", "WITH RECURSIVE", 1) + _greedy("image", "o.image = r.image", "4e-1") + " SELECT o.image, o.box_id, o.x0, o.y0, o.x1, o.y1, o.score FROM o JOIN r ON o.image = r.image AND o.i = r.i WHERE r.owner = r.i")
 def r19(spark, d):
     return graph.non_maximum(base(spark, d, "boxes").select("image", "box_id", "x0", "y0", "x1", "y1", "score"), ["image"])
 
 
-@register("r20_merged_views")
+@register("r20_merged_views", BOX.replace("WITH", "WITH RECURSIVE", 1) + _greedy("image, class", "o.image = r.image AND o.class = r.class", "2e-1") + """, m AS (SELECT o.*, r.owner FROM o JOIN r ON o.image = r.image AND o.class = r.class AND o.i = r.i), g AS (SELECT image, class, owner, list_sort(list_distinct(list(CAST(box_id AS VARCHAR)))) AS evidence FROM m GROUP BY 1, 2, 3)
+SELECT m.image, m.class, m.box_id, m.x0, m.score, array_to_string(g.evidence, ',') AS evidence FROM m JOIN g ON g.image = m.image AND g.class = m.class AND g.owner = m.i WHERE m.owner = m.i""")
 def r20(spark, d):
     rows = base(spark, d, "boxes").withColumn("evidence", F.array(F.col("box_id").cast("string"))).select("image", "class", "box_id", "x0", "y0", "x1", "y1", "score", "evidence")
-    return graph.merge_views(rows, ["image", "class"])
+    return graph.merge_views(rows, ["image", "class"]).select("image", "class", "box_id", "x0", "score", F.array_join("evidence", ",").alias("evidence"))

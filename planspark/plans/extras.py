@@ -110,14 +110,12 @@ def j5(spark, d):
     return slots.join(F.broadcast(cameras), (distance < 6.0) & (dx * F.col("fx") + dy * F.col("fy") > 0.72 * distance), "left_semi")
 
 
-@register("j8_cross_room_pairs", FRM + """, n AS (SELECT capture_id, frame_id, frame_id % 3 AS room, row_number() OVER (PARTITION BY capture_id ORDER BY frame_id) - 1 AS i FROM frames), k AS MATERIALIZED (SELECT * FROM n WHERE i < 12) SELECT a.capture_id, a.frame_id AS a, b.frame_id AS b FROM k a JOIN k b ON a.capture_id = b.capture_id WHERE a.frame_id < b.frame_id AND a.room <> b.room""")
+@register("j8_cross_room_pairs", FRM + """, n AS (SELECT CAST(floor(frame_id / 12) AS BIGINT) AS visit, frame_id, frame_id % 3 AS room FROM frames) SELECT a.visit, a.frame_id AS a, b.frame_id AS b FROM n a JOIN n b ON a.visit = b.visit WHERE a.frame_id < b.frame_id AND a.room <> b.room""")
 def j8(spark, d):
-    """Pairs of a capture's photos in different rooms; a capture has at most a dozen photos."""
-    w = Window.partitionBy("capture_id").orderBy("frame_id")
-    rows = base(spark, d, "frames").withColumn("room", F.col("frame_id") % 3).withColumn("i", F.row_number().over(w) - 1).where("i < 12")
-    a = rows.select("capture_id", F.col("frame_id").alias("a"), F.col("room").alias("ra"), F.col("i").alias("ia"))
-    b = rows.select("capture_id", F.col("frame_id").alias("b"), F.col("room").alias("rb"), F.col("i").alias("ib"))
-    return a.join(b, "capture_id").where("ia < ib and ra <> rb").select("capture_id", "a", "b")
+    """Pairs of photos in different rooms; a visit is a dozen photos in a row."""
+    rows = base(spark, d, "frames").select(F.floor(F.col("frame_id") / 12).alias("visit"), "frame_id", (F.col("frame_id") % 3).alias("room"))
+    a, b = rows.select("visit", F.col("frame_id").alias("a"), F.col("room").alias("ra")), rows.select("visit", F.col("frame_id").alias("b"), F.col("room").alias("rb"))
+    return a.join(b, "visit").where("a < b and ra <> rb").select("visit", "a", "b")
 
 
 @register("j12_shared_views", FRM + """, n AS (SELECT capture_id, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT capture_id, n, unnest(CASE WHEN n <= 16 THEN [0] ELSE list_distinct(list_concat(range(0, n - 16 + 1, 12), [n - 16])) END) AS first FROM n), w AS (SELECT *, least(first + 16, n) - 1 AS last, lead(first) OVER (PARTITION BY capture_id ORDER BY first) AS next FROM s) SELECT capture_id, first, CAST(last - next + 1 AS BIGINT) AS shared FROM w WHERE next IS NOT NULL""")
@@ -128,13 +126,13 @@ def j12(spark, d):
     return views.join(later, ["capture_id", "k", "view"]).groupBy("capture_id", "first").agg(F.count("*").alias("shared"))
 
 
-@register("j15_door_match", REG + """, o AS (SELECT d_ord, room_id, length * 3e0 AS x, area * 5e0 AS z FROM regions WHERE d_ord % 2 = 0), p AS (SELECT a.room_id AS a, b.room_id AS b, a.d_ord AS da, b.d_ord AS db, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM o a JOIN o b ON a.room_id < b.room_id AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 601e-3),
+@register("j15_door_match", REG + """, o AS (SELECT d_ord, room_id, length * 3e0 AS x, area * 5e0 AS z FROM regions), p AS (SELECT a.room_id AS a, b.room_id AS b, a.d_ord AS da, b.d_ord AS db, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM o a JOIN o b ON a.room_id < b.room_id AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 601e-3),
 k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY distance, da, db) AS i FROM p) SELECT a, b, da, db, distance FROM k WHERE i = 1""")
 def j15(spark, d):
     """Closest pair of doors of every two rooms; doors are compared within and next to their grid cell only."""
     from planspark.operators.joins import near_pairs
 
-    doors = base(spark, d, "regions").where("d_ord % 2 = 0").selectExpr("d_ord as id", "room_id", "length * 3e0 as x", "area * 5e0 as z", "0 as k")
+    doors = base(spark, d, "regions").selectExpr("d_ord as id", "room_id", "length * 3e0 as x", "area * 5e0 as z", "0 as k")
     pairs = near_pairs(doors, 0.601, "id", ["k"])
     rooms = doors.select("id", "room_id")
     named = pairs.join(rooms.withColumnsRenamed({"id": "a", "room_id": "ra"}), "a").join(rooms.withColumnsRenamed({"id": "b", "room_id": "rb"}), "b").where("ra <> rb")
@@ -163,16 +161,6 @@ def j22(spark, d):
     return truth.groupBy("space").agg(F.count("*").alias("n")).join(found, "space", "left").select("space", "n", F.coalesce("found", F.lit(0)).alias("found"))
 
 
-@register("a10_room_ceiling", PTS + """, t AS (SELECT capture_id, count(*) AS n FROM points WHERE y > 19e-1 AND y < 4e0 GROUP BY 1), h AS (SELECT capture_id, CAST(floor(y / 5e-2) AS BIGINT) AS bin, count(*) AS n FROM points WHERE y > 19e-1 AND y < 4e0 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, bin) AS i FROM h),
-m AS (SELECT p.capture_id, median(p.y) AS level, count(*) AS n FROM points p JOIN k ON k.capture_id = p.capture_id AND k.i = 1 WHERE p.y > 19e-1 AND p.y < 4e0 AND abs(p.y - (k.bin + 5e-1) * 5e-2) < 4e-2 GROUP BY 1) SELECT capture_id, round(CASE WHEN t.n >= 200 THEN level END, 6) AS level, m.n FROM m JOIN t USING (capture_id)""")
-def a10(spark, d):
-    high = base(spark, d, "points").where("y > 19e-1 and y < 4e0")
-    top = P.fullest_bin(P.histogram(high, "y", 0.05, ["capture_id"]), ["capture_id"]).select("capture_id", ((F.col("bin") + 0.5) * 0.05).alias("guess"))
-    totals = high.groupBy("capture_id").agg(F.count("*").alias("t"))
-    near = high.join(top, "capture_id").where(F.abs(F.col("y") - F.col("guess")) < 0.04).groupBy("capture_id").agg(F.median("y").alias("m"), F.count("*").alias("n"))
-    return near.join(totals, "capture_id").select("capture_id", F.round(F.when(F.col("t") >= 200, F.col("m")), 6).alias("level"), "n")
-
-
 @register("a16_moments", FRM + " SELECT capture_id, count(*) AS n, round(sum(x * z) - sum(x) * sum(z) / count(*), 3) AS sxz, round(sum(x * x) - sum(x) * sum(x) / count(*), 3) AS sxx FROM frames GROUP BY 1")
 def a16(spark, d):
     n = F.count("*")

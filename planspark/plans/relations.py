@@ -42,10 +42,10 @@ def f6(spark, d):
     return P.strided(base(spark, d, "frames").select("capture_id", "frame_id"), 5, ["frame_id"], ["capture_id"])
 
 
-@register("f7_frame_cap")
+@register("f7_frame_cap", PTS + """ SELECT frame_id, pos, u, v FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY md5(concat('7|', CAST(pos AS VARCHAR), '|', CAST(u AS VARCHAR), '|', CAST(v AS VARCHAR))), pos, u, v) AS i FROM points) WHERE i <= 4""")
 def f7(spark, d):
     """At most four points of a frame, picked by a seeded hash; a sampling operator."""
-    return P.capped(base(spark, d, "points").select("frame_id", "pos", "x", "y", "z"), 4, ["frame_id"], ["pos", "x", "y", "z"], seed=7)
+    return P.capped(base(spark, d, "points").select("frame_id", "pos", "u", "v"), 4, ["frame_id"], ["pos", "u", "v"], seed=7)
 
 
 @register("f9_plausible_height", FRM + " SELECT capture_id, frame_id, CASE WHEN x >= 1e0 AND x <= 195e-2 THEN x END AS height, NOT (x >= 1e0 AND x <= 195e-2) AS suppressed FROM frames")
@@ -208,18 +208,18 @@ def j11(spark, d):
     return own(0).join(own(1), ["capture_id", "frame_id"]).join(own(2), ["capture_id", "frame_id"]).groupBy("capture_id").agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
-@register("j13_revisits", FRM + """, f AS (SELECT frame_id AS id, capture_id, x, z FROM frames WHERE frame_id % 3 = 0) SELECT a.capture_id, a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM f a JOIN f b ON a.capture_id = b.capture_id AND a.id < b.id WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 201e-3 AND b.id - a.id >= 3""")
+@register("j13_revisits", FRM + """, f AS (SELECT frame_id AS id, capture_id, x, z FROM frames) SELECT a.capture_id, a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM f a JOIN f b ON a.capture_id = b.capture_id AND a.id < b.id WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 201e-3 AND b.id - a.id >= 3""")
 def j13(spark, d):
-    rows = base(spark, d, "frames").where("frame_id % 3 = 0").withColumnRenamed("frame_id", "id")
+    rows = base(spark, d, "frames").withColumnRenamed("frame_id", "id")
     return J.near_pairs(rows, 0.201, "id", ["capture_id"]).where("b - a >= 3").withColumn("distance", F.round("distance", 6))
 
 
 @register("j14_nearest_wall", PTS + """, w AS (SELECT * FROM (VALUES (0, 1e0, -6e0, 1e0, 6e0), (1, -6e0, 2e0, 6e0, 2e0), (2, -3e0, -6e0, -3e0, 0e0)) t(wall, cx, cy, dx, dy)), q AS (SELECT frame_id, pos, x, z, wall, cx, cy, dx, dy, greatest(0e0, least(1e0, ((x - cx) * (dx - cx) + (z - cy) * (dy - cy)) / ((dx - cx) * (dx - cx) + (dy - cy) * (dy - cy)))) AS t FROM points, w),
 m AS (SELECT frame_id, pos, x, z, wall, round(sqrt((x - (cx + t * (dx - cx))) ** 2 + (z - (cy + t * (dy - cy))) ** 2), 6) AS distance FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pos, x, z ORDER BY distance, wall) AS i FROM m) SELECT DISTINCT frame_id, pos, CAST(wall AS INTEGER) AS wall, distance FROM k WHERE i = 1 AND distance <= 5e-1""")
 def j14(spark, d):
-    walls = spark.createDataFrame(_WALLS, "wall int, cx double, cy double, dx double, dy double")
     distance = F.round(G.point_segment(*[F.col(n) for n in ("x", "z", "cx", "cy", "dx", "dy")]), 6)
-    met = base(spark, d, "points").join(F.broadcast(walls)).withColumn("distance", distance).where("distance <= 5e-1")
+    every = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(w, ("wall", "cx", "cy", "dx", "dy"), strict=True)]) for w in _WALLS]))
+    met = base(spark, d, "points").withColumn("w", every).select("*", "w.*").withColumn("distance", distance).where("distance <= 5e-1")
     return J.closest(met, ["frame_id", "pos", "x", "z"], "wall", ["distance", "wall"]).select("frame_id", "pos", "wall", "distance").distinct()
 
 
@@ -238,16 +238,16 @@ def j20(spark, d):
 @register("j21_truth_fallback", REG + """, t AS (SELECT * FROM (VALUES ('w1', 1), ('w2', 2), ('*', 9)) t(key, truth)), k AS (SELECT g.d_ord, t.truth, row_number() OVER (PARTITION BY g.d_ord ORDER BY CASE WHEN t.key = g.surface_id THEN 0 ELSE 1 END) AS i FROM regions g JOIN t ON t.key = g.surface_id OR t.key = '*') SELECT d_ord, CAST(truth AS INTEGER) AS truth FROM k WHERE i = 1""")
 def j21(spark, d):
     truth = spark.createDataFrame([("w1", 1), ("w2", 2), ("*", 9)], "key string, truth int")
-    exact, other = truth.where("key <> '*'"), truth.where("key = '*'").select(F.col("truth").alias("any"))
-    rows = base(spark, d, "regions").join(F.broadcast(exact), F.col("surface_id") == F.col("key"), "left").join(F.broadcast(other))
-    return rows.select("d_ord", F.coalesce("truth", "any").alias("truth"))
+    exact, other = truth.where("key <> '*'"), truth.where("key = '*'").select("truth").scalar()
+    rows = base(spark, d, "regions").join(F.broadcast(exact), F.col("surface_id") == F.col("key"), "left")
+    return rows.select("d_ord", F.coalesce("truth", other).alias("truth"))
 
 
 @register("r1_closed_cells", PTS + """, c AS (SELECT DISTINCT capture_id, CAST(floor(x / 25e-2) AS BIGINT) AS col, CAST(floor(z / 25e-2) AS BIGINT) AS "row" FROM points WHERE y > 1e0), o AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)), d AS (SELECT DISTINCT capture_id, col + a AS col, "row" + b AS "row" FROM c, o)
 SELECT capture_id, col + a AS col, "row" + b AS "row" FROM d, o GROUP BY 1, 2, 3 HAVING count(*) = 9""")
 def r1(spark, d):
     cells = P.raster(base(spark, d, "points").where("y > 1e0"), 0.25, ["capture_id"])
-    return G.close(cells, 1, ["capture_id"])
+    return G.close(cells, G.square(1), ["capture_id"])
 
 
 @register("r22_pruned_pieces", FRM + """, p AS (SELECT capture_id, frame_id AS piece, frame_id AS first, frame_id + 5 + frame_id * 7 % 60 AS last FROM frames), k AS (SELECT *, max(last) OVER (PARTITION BY capture_id ORDER BY first, last DESC, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p) SELECT capture_id, piece, first, last FROM k WHERE reach IS NULL OR last > reach""")

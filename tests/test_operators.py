@@ -71,11 +71,21 @@ def test_scalars(spark):
 
 
 def test_config():
-    base = {"a": {"b": 1, "c": 2}, "d": 3}
-    assert config.layered(base, {"a": {"b": 5}}, overrides=("a.c=7",)) == {"a": {"b": 5, "c": 7}, "d": 3}
-    with pytest.raises(KeyError):
-        config.merge(base, {"a": {"x": 1}})
+    base = {"a": {"b": 1, "c": 2}, "d": 3, "drift": {"method": "posegraph"}}
+    assert config.layered(base, {"a": {"b": 5}}, settings=("a.c=7", "drift.method=off"))["a"] == {"b": 5, "c": 7}
+    assert config.layered(base, settings=("drift.method=off",))["drift"]["method"] == "off"
+    for wrong in ({"a": {"x": 1}}, {"a": 1}, {"d": {"x": 1}}, {"drift": {"method": "on"}}):
+        with pytest.raises(config.SettingError):
+            config.layered(base, wrong)
+    with pytest.raises(config.SettingError):
+        config.setting("a.b")
     assert config.digest(base) != config.digest({**base, "d": 4})
+    own = config.load("lite", "recon: {video_fps: 4.0}\ndamage: {backend: off}", ("recon.image_long_side=518",))
+    assert (own["recon"]["max_views"], own["recon"]["video_fps"], own["damage"]["backend"]) == (3, 4.0, "off")
+    assert config.yaml.safe_load(config.dump(own, "lite", {"ram_gb": 8}))["_meta"]["digest"] == config.digest(own)
+    for wrong in (("lite", "", ("recon.image_long_side=500",)), ("none", "", ()), ("lite", "recon: {fps: 1}", ())):
+        with pytest.raises(config.SettingError):
+            config.load(*wrong)
 
 
 def _png(width, height, samples):
