@@ -68,6 +68,12 @@ def letterboxed(views: DataFrame, keys: Sequence[str], focal: Column) -> DataFra
     return rows.withColumn("fx", focal * F.col("scale")).withColumn("cx", F.col("w") / 2.0 * F.col("scale") + F.col("x0")).withColumn("cy", F.col("h") / 2.0 * F.col("scale") + F.col("y0"))
 
 
+def original_pixel(u: Column, v: Column, width: int, height: int, crop_w: int, crop_h: int, side: int) -> tuple[Column, Column]:
+    """Pixel of the original photo under a pixel of its centre crop, after scaling to a long side; undoes both."""
+    scale = float(side) / float(max(width, height))
+    return tuple((c + (F.bround(F.lit(float(n)) * scale) - crop) / 2) / scale for c, n, crop in ((u, width, crop_w), (v, height, crop_h)))
+
+
 def plus_minus(m: Column, unit: str = "m") -> Column:
     """``1.23 ±0.04 m`` of a measurement."""
     return F.when(m.isNull(), "n/a").otherwise(F.format_string(f"%.2f ±%.2f {unit}", m["value"], (m["hi"] - m["lo"]) / 2))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,3 +226,69 @@ def nearest_resized(pixels: DataFrame, keys: Sequence[str], source: tuple[int, i
     at = lambda c, k: F.floor(F.col(c) * float(source[k]) / float(size[k])).cast("long")
     rows = _targets(pixels, keys, size).withColumn("u", at("x", 0)).withColumn("v", at("y", 1))
     return rows.join(pixels, [*keys, "u", "v"]).select(*keys, "x", "y", "z")
+
+
+def on_walls(openings: DataFrame, walls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Openings (offset, width) with their ends (u0, v0, u1, v1) along their wall's edge; nulls where there is no wall."""
+    rows = openings.join(walls.select(*keys, "u", "v", "u2", "v2"), list(keys), "left")
+    length = F.greatest(F.hypot(F.col("u2") - F.col("u"), F.col("v2") - F.col("v")), F.lit(1e-9))
+    at = lambda c, c2, far: F.col(c) + (F.col(c2) - F.col(c)) / length * far
+    far = F.col("offset") + F.col("width")
+    return rows.withColumns({"u0": at("u", "u2", F.col("offset")), "v0": at("v", "v2", F.col("offset")), "u1": at("u", "u2", far), "v1": at("v", "v2", far)}).drop("u", "v", "u2", "v2")
+
+
+def corrected(rows: DataFrame, moves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Places (x, z) turned by ``a`` about (cx, cz) and shifted by (tx, tz) of their fragment."""
+    at = rows.join(moves, list(keys))
+    dx, dz, c, s = F.col("x") - F.col("cx"), F.col("z") - F.col("cz"), F.cos("a"), F.sin("a")
+    new = {"x": c * dx - s * dz + F.col("cx") + F.col("tx"), "z": s * dx + c * dz + F.col("cz") + F.col("tz")}
+    return at.select(*[new[n].alias(n) if n in new else F.col(n) for n in rows.columns])
+
+
+def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Common area of two simple polygons (n, 2), exact but for rounding.
+
+    Between neighbouring abscissae of corners and crossings no two edges cross, so the common length at the middle of a
+    slab, times its width, is the slab's common area.
+    """
+
+    def edges_of(p: np.ndarray) -> np.ndarray:
+        e = np.concatenate([p, np.roll(p, -1, 0)], 1)
+        return e[e[:, 0] != e[:, 2]]
+
+    ea, eb = edges_of(a), edges_of(b)
+    d, e = ea[:, None, 2:] - ea[:, None, :2], eb[None, :, 2:] - eb[None, :, :2]
+    gap = eb[None, :, :2] - ea[:, None, :2]
+    den = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / den
+    crossing_ = (ea[:, None, 0] + t * d[..., 0])[np.isfinite(t) & (t > 0) & (t < 1)]
+    xs = np.unique(np.concatenate([a[:, 0], b[:, 0], crossing_]))
+    total = 0.0
+    for x0, x1 in zip(xs[:-1].tolist(), xs[1:].tolist(), strict=True):
+        m, heights = (x0 + x1) / 2, []
+        for own in (ea, eb):
+            there = own[(np.minimum(own[:, 0], own[:, 2]) < m) & (m < np.maximum(own[:, 0], own[:, 2]))]
+            heights.append(np.sort(there[:, 1] + (m - there[:, 0]) * (there[:, 3] - there[:, 1]) / (there[:, 2] - there[:, 0])).reshape(-1, 2))
+        low, high = np.maximum(heights[0][:, None, 0], heights[1][None, :, 0]), np.minimum(heights[0][:, None, 1], heights[1][None, :, 1])
+        total += float(np.clip(high - low, 0, None).sum()) * (x1 - x0)
+    return total
+
+
+def polygon_overlaps(rooms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(a, b, share) of every two rooms (id, polygon) of a plan: common area over the smaller one's area."""
+    left, right = rooms.select(*keys, F.col("id").alias("a"), F.col("polygon").alias("pa")), rooms.select(*keys, F.col("id").alias("b"), F.col("polygon").alias("pb"))
+    pairs = left.join(right, list(keys)).where("a < b")
+    schema = ", ".join(f"`{c}` {k}" for c, k in pairs.dtypes if c not in ("pa", "pb")) + ", share double"
+    names = [c for c in pairs.columns if c not in ("pa", "pb")]
+
+    def run(batches):
+        for batch in batches:
+            shares = []
+            for p, q in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
+                p, q = np.array(p, float), np.array(q, float)
+                small = min(overlap_area(p, p), overlap_area(q, q))
+                shares.append(overlap_area(p, q) / small if small > 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(shares, pa.float64())], names=[*names, "share"])
+
+    return pairs.mapInArrow(run, schema)

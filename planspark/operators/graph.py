@@ -116,3 +116,39 @@ def merge_views(regions: DataFrame, keys: Sequence[str], limit: float = 0.2) ->
     rest = [c for c in regions.columns if c not in keys and c != "evidence"]
     found = labelled(regions, keys, limit).groupBy(*keys, "owner").agg(*[F.max(F.when(own, F.col(c))).alias(c) for c in rest], F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
     return found.select(*regions.columns)
+
+
+def path_sums(nodes: DataFrame, value: str) -> DataFrame:
+    """(node, value summed up to the root) of a forest (node, parent, value); a parent that is no node is none.
+
+    Each round doubles the distance that a node looks up, so the rounds are the logarithm of the depth.
+    """
+    named = nodes.select("node")
+    at = _cut(nodes.join(named.select(F.col("node").alias("parent"), F.lit(True).alias("_known")), "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col(value).alias("sum")))
+    while at.where("up is not null").head(1):
+        above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
+        at = _cut(at.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")))
+    return at.select("node", F.col("sum").alias(value))
+
+
+def spread_views(views: DataFrame, room: str, id_col: str, k: int) -> DataFrame:
+    """(room, i, id): ``k`` views (yaw, x, z, sharp) of each room, the sharpest first, then always the one whose nearest
+    picked view is farthest in direction and place; earlier in sharpness wins ties. A room has some dozens of views."""
+    kinds = dict(views.dtypes)
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["sharp", id_col], ascending=[False, True])
+        yaw, x, z = (pdf[c].to_numpy(float) for c in ("yaw", "x", "z"))
+        picks, gap = [0], np.full(len(pdf), np.inf)
+        while True:
+            p = picks[-1]
+            turn = np.abs(np.arctan2(np.sin(yaw - yaw[p]), np.cos(yaw - yaw[p])))
+            gap = np.minimum(gap, np.round(turn / np.pi + 0.25 * np.sqrt((x - x[p]) ** 2 + (z - z[p]) ** 2), 9))
+            if len(picks) == min(k, len(pdf)):
+                break
+            picks.append(int(gap.argmax()))
+        return pd.DataFrame({room: pdf[room].iloc[0], "i": range(1, len(picks) + 1), id_col: pdf[id_col].to_numpy()[picks]})
+
+    return views.groupBy(room).applyInPandas(run, f"`{room}` {kinds[room]}, i long, `{id_col}` {kinds[id_col]}")

@@ -29,6 +29,18 @@ def gates(rows: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.abs("error") <= F.col("tolerance"))
 
 
+def opening_gate(predicted: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(hits, n, passed): truths with a prediction within 2 cm, over the larger number of both; 85 % must be found.
+
+    Openings of a room are few, so its lists are compared in place.
+    """
+    both = truth.groupBy(*keys).agg(F.collect_list("truth").alias("t")).join(predicted.groupBy(*keys).agg(F.collect_list("predicted").alias("p")), list(keys), "left")
+    both = both.withColumn("p", F.coalesce("p", F.array().cast("array<double>")))
+    hits = F.size(F.filter("t", lambda t: F.exists("p", lambda p: F.abs(p - t) <= OPENING_TOLERANCE)))
+    out = both.select(*keys, hits.cast("long").alias("hits"), F.greatest(F.size("t"), F.size("p")).cast("long").alias("n"))
+    return out.withColumn("passed", F.col("hits") >= OPENING_SHARE * F.col("n"))
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """Share of intervals [lo, hi] that hold the truth, by quantity and tier, with all subtotals."""
     holds = (F.col("truth") >= F.col("lo")) & (F.col("truth") <= F.col("hi"))

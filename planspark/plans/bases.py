@@ -16,7 +16,7 @@ BASES: dict[str, tuple[str, str, dict[str, str]]] = {
         "room_id": "p_partkey % 20", "d_ord": "p_partkey", "class": "case when p_size % 4 = 0 then 'water_stain' when p_size % 4 = 1 then 'mold' when p_size % 4 = 2 then 'crack' else 'hole' end",
         "surface": "case when p_partkey % 3 = 0 then 'ceiling' else 'wall' end", "surface_id": "concat('w', cast(p_partkey % 7 as string))", "bottom": "case when p_partkey % 11 = 0 then null else (p_partkey * 7 % 200) / 100e0 end",
         "length": "(p_partkey * 13 % 150) / 100e0 + 3e-4", "area": "(p_partkey * 19 % 90) / 100e0 + 3e-4", "wall_length": "case when p_partkey % 3 = 0 then null else 2e0 + (p_partkey % 7) / 2e0 + 3e-4 end", "ceiling": "case when p_partkey % 5 = 0 then null else 24e-1 + (p_partkey % 20) / 50e0 end", "floor_area": "8e0 + p_partkey % 20 + 3e-4"}),
-    "corners": ("customer", "true", {"ring": "c_custkey / 40 - (c_custkey % 40) / 40e0", "i": "c_custkey % 40", "u": "(c_custkey * 37 % 500) / 100e0", "v": "(c_custkey * 61 % 400) / 100e0"}),
+    "corners": ("customer", "true", {"ring": "cast(floor(c_custkey / 40) as bigint)", "i": "c_custkey % 40", "u": "(c_custkey * 37 % 500) / 100e0", "v": "(c_custkey * 61 % 400) / 100e0"}),
     "pixels": ("customer", "true", {"frame_id": "cast(floor(c_custkey / 400) as bigint)", "u": "c_custkey % 20", "v": "cast(floor(c_custkey / 20) as bigint) % 20", "z": "1e0 + c_custkey * 37 % 100 / 100e0"}),
     "slots": ("events", "true", {"wall": "user_id", "slot": "event_id * 7 % 90", "value": "value"}),
     "jobs": ("events", "true", {"job_id": "user_id", "event_id": "event_id", "ts": "ts", "status": "event_type", "value": "value"}),

@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from planspark.plans import aggregates, assembly, extras, relations, scenes  # noqa: F401
+    from planspark.plans import aggregates, assembly, extras, matching, relations, reports, scenes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
