@@ -9,7 +9,7 @@ from planspark.functions.scalars import measurement
 from planspark.operators.geometry import point_segment
 
 
-def projected(points: DataFrame, rooms: DataFrame, key: str, least: int = 30, far: float = 0.5) -> DataFrame:
+def projected(points: DataFrame, rooms: DataFrame, key: str, least: int = 30, far: float = 0.5, digits: int = 3) -> DataFrame:
     """Regions of detections: points (x, y above the floor, z) on the floor, the ceiling or the nearest wall of their room.
 
     ``rooms`` holds (room, ceiling, walls: array of wall, ax, az, bx, bz) for each key. The median height decides: below
@@ -31,10 +31,10 @@ def projected(points: DataFrame, rooms: DataFrame, key: str, least: int = 30, fa
     at = lambda c, p: F.percentile(c, F.lit(p))
     out = rows.groupBy(key, "kind", "surface_id", "n").agg(at("a", 0.05).alias("a0"), at("a", 0.95).alias("a1"), at("b", 0.05).alias("b0"), at("b", 0.95).alias("b1"), F.first("h").alias("h"))
     bottom = F.when(F.col("kind") == "wall", F.col("b0")).when(F.col("kind") == "floor", 0.0).otherwise(F.col("h"))
-    corner = lambda a, b: F.array(F.round(a, 3), F.round(b, 3))
+    corner = lambda a, b: F.array(F.round(a, digits), F.round(b, digits))
     polygon = F.array(corner("a0", "b0"), corner("a1", "b0"), corner("a1", "b1"), corner("a0", "b1"))
     width, height = F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0")
-    return out.select(key, "kind", "surface_id", "n", polygon.alias("polygon_on_surface"), F.round(width, 3).alias("width"), F.round(height, 3).alias("height"), F.round(width * height, 4).alias("area"), (F.round(bottom, 3) + 0.0).alias("bottom"))
+    return out.select(key, "kind", "surface_id", "n", polygon.alias("polygon_on_surface"), F.round(width, digits).alias("width"), F.round(height, digits).alias("height"), F.round(width * height, digits + 1).alias("area"), (F.round(bottom, digits) + 0.0).alias("bottom"))
 
 
 def measured(regions: DataFrame, absolute: float, relative: float, focal: Column, depth: Column) -> DataFrame:

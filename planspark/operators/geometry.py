@@ -96,13 +96,11 @@ def touching(cells: DataFrame, keys: Sequence[str], corners: bool) -> DataFrame:
 
     node = cells.select(*keys, "col", "row").distinct()
     steps = [(1, 0), (0, 1), *([(1, 1), (1, -1)] if corners else [])]
-    other = _spread(node.withColumns({"col": F.col("col"), "row": F.col("row")}), [(0, 0)], keys)
-    links = None
-    for a, b in steps:
-        moved = other.select(*keys, (F.col("col") - a).alias("col"), (F.col("row") - b).alias("row"), F.struct(*keys, "col", "row").alias("b"))
-        found = node.join(moved, [*keys, "col", "row"]).select(F.struct(*keys, "col", "row").alias("a"), "b")
-        links = found if links is None else links.unionByName(found)
-    return components(node.select(F.struct(*keys, "col", "row").alias("node")), links)
+    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
+    place = F.struct(*keys, "col", "row")
+    beside = node.select(*keys, "col", "row", spread.alias("_s"), place.alias("_b")).select(*keys, (F.col("col") - F.col("_s.a")).alias("col"), (F.col("row") - F.col("_s.b")).alias("row"), "_b")
+    links = node.join(beside, [*keys, "col", "row"]).select(place.alias("_a"), "_b").toDF("a", "b")
+    return components(node.select(place.alias("node")), links)
 
 
 def flooded(free: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,28 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder; only sessions of one machine may have none."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", "") or context._jsc.sc().getCheckpointDir().isDefined()):
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        import tempfile
-
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="planspark-"))
-    return df.checkpoint()
+from planspark.operators.storage import written
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component. Labels spread to neighbours and then jump to their own label's label."""
-    both = _cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = nodes.select("node", F.col("node").alias("root"))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("heard"))
         spread = labels.join(heard.withColumnRenamed("u", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("heard", "root")).alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = _cut(spread.join(jump, "low", "left").select("node", "root", F.least("low", F.coalesce("far", "low")).alias("next")))
+        new = written(spread.join(jump, "low", "left").select("node", "root", F.least("low", F.coalesce("far", "low")).alias("next")))
         if not new.where("next <> root").head(1):
             return new.select("node", "root")
         labels = new.select("node", F.col("next").alias("root"))
@@ -45,7 +35,7 @@ def tree(links: DataFrame, roots: DataFrame) -> DataFrame:
     while front.head(1):
         depth += 1
         step = both.join(front.select(F.col("node").alias("u")), "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        front = _cut(step.join(seen, "node", "left_anti").select("node", "parent", F.lit(depth).alias("depth")))
+        front = written(step.join(seen, "node", "left_anti").select("node", "parent", F.lit(depth).alias("depth")))
         seen = seen.unionByName(front)
     return seen
 
@@ -124,10 +114,10 @@ def path_sums(nodes: DataFrame, value: str) -> DataFrame:
     Each round doubles the distance that a node looks up, so the rounds are the logarithm of the depth.
     """
     named = nodes.select("node")
-    at = _cut(nodes.join(named.select(F.col("node").alias("parent"), F.lit(True).alias("_known")), "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col(value).alias("sum")))
+    at = written(nodes.join(named.select(F.col("node").alias("parent"), F.lit(True).alias("_known")), "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col(value).alias("sum")))
     while at.where("up is not null").head(1):
         above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
-        at = _cut(at.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")))
+        at = written(at.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")))
     return at.select("node", F.col("sum").alias(value))
 
 

@@ -32,9 +32,9 @@ def vertical_coverage(points: DataFrame, res: float, low: float, high: float, ba
 def carve(rays: DataFrame, res: float, stop: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
     """Rays that cross each cell: one sample every ``res`` from (x0, z0) to (x1, z1), ending ``stop`` before the end."""
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0"))
-    steps = F.floor((F.col("length") - stop) / res).cast("int")
-    walked = rays.withColumn("length", length).where(F.col("length") > stop + res).withColumn("k", F.explode(F.sequence(F.lit(0), steps)))
-    share = F.col("k") * res / F.col("length")
+    steps = F.floor((F.col("_length") - stop) / res).cast("int")
+    walked = rays.withColumn("_length", length).where(F.col("_length") > stop + res).withColumn("_step", F.explode(F.sequence(F.lit(0), steps)))
+    share = F.col("_step") * res / F.col("_length")
     at = walked.select(*keys, cell(F.col("x0") + (F.col("x1") - F.col("x0")) * share, res).alias("col"), cell(F.col("z0") + (F.col("z1") - F.col("z0")) * share, res).alias("row"))
     return at.groupBy(*keys, "col", "row").agg(F.count("*").alias("n"))
 

@@ -176,12 +176,12 @@ s AS (SELECT region, n, h, CASE WHEN h < 15e-2 THEN 'floor' WHEN abs(h - 25e-1)
 
 
 @register("r25_projected_damage", PTS + _BANDS + """, f AS (SELECT s.region, kind, surface_id, n, CASE WHEN kind = 'wall' THEN (x - ax) * ux + (z - az) * uz ELSE x END AS a, CASE WHEN kind = 'wall' THEN y ELSE z END AS b, h FROM s JOIN b USING (region) WHERE kind IS NOT NULL)
-SELECT region, kind, surface_id, n, round(quantile_cont(a, 95e-2) - quantile_cont(a, 5e-2), 3) AS width, round(quantile_cont(b, 95e-2) - quantile_cont(b, 5e-2), 3) AS height, round(CASE WHEN kind = 'wall' THEN quantile_cont(b, 5e-2) WHEN kind = 'floor' THEN 0e0 ELSE any_value(h) END, 3) + 0e0 AS bottom FROM f GROUP BY region, kind, surface_id, n""")
+SELECT region, kind, surface_id, n, round(quantile_cont(a, 95e-2) - quantile_cont(a, 5e-2), 6) AS width, round(quantile_cont(b, 95e-2) - quantile_cont(b, 5e-2), 6) AS height, round(CASE WHEN kind = 'wall' THEN quantile_cont(b, 5e-2) WHEN kind = 'floor' THEN 0e0 ELSE any_value(h) END, 6) + 0e0 AS bottom FROM f GROUP BY region, kind, surface_id, n""")
 def r25(spark, d):
     rows = base(spark, d, "points").where("floor(y / 28e-2) = frame_id % 300 % 10").selectExpr("frame_id % 300 as region", "x", "y", "z")
     walls = [("r.w1", 1.0, -6.0, 1.0, 6.0), ("r.w2", -6.0, 2.0, 6.0, 2.0), ("r.w3", -3.0, -6.0, -3.0, 0.0)]
     rooms = rows.select("region").distinct().withColumns({"room": F.lit("r"), "ceiling": F.lit(2.5), "walls": F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(w, ("wall", "ax", "az", "bx", "bz"), strict=True)]) for w in walls])})
-    return damage.projected(rows, rooms, "region", least=5, far=1.5).select("region", "kind", "surface_id", "n", "width", "height", "bottom")
+    return damage.projected(rows, rooms, "region", least=5, far=1.5, digits=6).select("region", "kind", "surface_id", "n", "width", "height", "bottom")
 
 
 _NAMES = "SELECT capture_id, frame_id % 6 AS piece, frame_id, price AS inliers FROM frames"
