@@ -101,7 +101,7 @@ def test_capture_sources(spark, tmp_path):
     (tmp_path / "depth" / "000004.png").write_bytes(b"broken")
     files = capture.listing(spark, str(tmp_path))
     assert capture.tier(files).first().tier == "lidar"
-    assert sorted(r.member for r in capture.missing_members(files).collect()) == ["camera_matrix.csv", "confidence"]
+    assert sorted(r.member for r in capture.missing_members(files).collect()) == ["camera_matrix.csv"]
     assert capture.odometry(spark, str(tmp_path / "odometry.csv")).first().z == 2.0
     frames = capture.rasters(spark, str(tmp_path / "depth"))
     assert {r.frame_id: r.samples for r in frames.collect()} == {3: [1, 2, 3, 1000, 5000, 65535], 4: None}
