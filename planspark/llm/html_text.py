@@ -2,9 +2,9 @@
 
 Different pages of a host are put in the order of their URL paths, where the longest common path prefixes are neighbours,
 and numbered through across the cluster; a page meets the two before and the two after it in its host. Copies (pages of
-the very same lines) count once, at their first path, so a page never meets its own copy. The text lines of a page are
-aligned with each neighbour's by a longest common subsequence, and lines shared with over half of the neighbours are
-deleted: a template's lines recur on most neighbours, a copied article's on its copies only.
+the very same lines) count once, at their first path, so a page never meets its own copy. The text lines of a page
+outside its main element are aligned with each neighbour's by a longest common subsequence, and lines shared with over
+half of the neighbours are deleted: a template's lines recur on most neighbours, a copied article's on its copies only.
 
 Two things are known beforehand. Lines inside an ``article`` or ``main`` element are never deleted, because copied
 articles share lines too. Lines of known regions (navigation, header, footer, form, advert, notice, comments) that differ
@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, release
 from .url_filter import host_of, path_of
 
 #: Neighbours on each side of a page.
@@ -173,38 +173,52 @@ def shared(a: list, b: list) -> set[int]:
 
 
 def decide(lines: list, regions: list[int], neighbours: list[list]) -> tuple[list[bool], int]:
-    """Which lines are main text, and how many of the others most neighbours share."""
-    outside = [i for i, r in enumerate(regions) if r != 1]
+    """Which lines outside the main element (region 0 or 2) are main text all the same, and how many most neighbours share."""
     votes = [0] * len(lines)
-    if outside:
+    if lines:
         for other in neighbours:
             for i in shared(lines, other):
                 votes[i] += 1
     most = [2 * v > len(neighbours) for v in votes]
-    return [r == 1 or (r == 0 and not m) for r, m in zip(regions, most, strict=True)], sum(most[i] for i in outside)
+    return [r == 0 and not m for r, m in zip(regions, most, strict=True)], sum(most)
+
+
+def written(lines: list[bytes], regions: bytes, keep: bytes) -> bytes:
+    """Lines of the main element, and those outside of it that were kept, in page order."""
+    outside = iter(keep)
+    return b"\n".join([x for x, r in zip(lines, regions, strict=False) if r == 1 or next(outside)])
 
 
 def parsed(pages: DataFrame, id_col: str, url: str, page: str) -> DataFrame:
-    """(page_id, url, host, path, lines, regions, copy): the lines of every page, and a digest of them."""
+    """(page_id, url, host, path, packed, regions, digests, copy): the lines of every page, digests of those outside its
+    main element, and a digest of all.
+
+    Lines are packed, as they travel through a shuffle later; none holds a line break.
+    """
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        found = [lines_of(p) for p in cols["html"]]
-        return {c: cols[c] for c in ("page_id", "url", "host", "path")} | {"lines": [f.text for f in found], "regions": [f.region for f in found]}
+        from xxhash import xxh3_64_intdigest
+        from zstandard import ZstdCompressor
+
+        pack, found = ZstdCompressor(level=3).compress, [lines_of(p) for p in cols["html"]]
+        raw = [[x.encode("utf-8", "surrogatepass") for x in f.text] for f in found]
+        out = {c: cols[c] for c in ("page_id", "url", "host", "path")}
+        out |= {"packed": [pack(b"\n".join(r)) for r in raw], "regions": [bytes(f.region) for f in found]}
+        return out | {"digests": [[xxh3_64_intdigest(x) >> 1 for x, g in zip(r, f.region, strict=True) if g != 1] for f, r in zip(found, raw, strict=True)], "copy": [xxh3_64_intdigest(b"\n".join([bytes(f.region), *r])) >> 1 for f, r in zip(found, raw, strict=True)]}
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
-    out = map_rows(rows, ["page_id", "url", "host", "path", "html"], run, f"page_id {kind}, url string, host string, path string, lines array<string>, regions array<tinyint>")
-    return out.withColumn("copy", F.xxhash64("lines", "regions"))
+    return map_rows(rows, ["page_id", "url", "host", "path", "html"], run, f"page_id {kind}, url string, host string, path string, packed binary, regions binary, digests array<long>, copy long")
 
 
-def numbered(pages: DataFrame) -> DataFrame:
-    """Pages (host, path, copy, ...) with their ``place`` in that order over the whole table."""
+def numbered(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages (host, path, copy, ...) with their ``place`` in that order over the whole table, and the table behind them."""
     order = ["host", "path", "copy"]
     rows = materialize(pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, local = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = rows.groupBy(part).agg((F.max(local) + 1).alias("n"))  # a row a partition
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + local).drop("_at", "_part", "_before")
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + local).drop("_at", "_part", "_before"), rows
 
 
 def neighboured(pages: DataFrame) -> DataFrame:
@@ -223,14 +237,23 @@ def neighboured(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every page."""
     rows = materialize(parsed(pages, id_col, url, page))
-    digests = F.transform("lines", lambda s: F.xxhash64(s))
-    kinds = rows.select("host", "path", "copy", digests.alias("digests"), "regions").groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"))
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        found = [decide(*x) for x in zip(cols["digests"], cols["regions"], cols["others"], strict=True)]
-        return {"host": cols["host"], "copy": cols["copy"], "keep": [k for k, _ in found], "n_shared": [n for _, n in found]}
-
-    decided = materialize(map_rows(neighboured(numbered(kinds)), ["host", "copy", "digests", "regions", "others"], run, "host string, copy long, keep array<boolean>, n_shared int"))
-    # both sides are tables, so a page of very many copies is a skewed partition that Spark can split
-    text = F.array_join(F.filter("lines", lambda _, i: F.get("keep", i)), "\n")
-    return rows.join(decided, ["host", "copy"]).select("page_id", "url", text.alias("text"), "n_shared").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    kinds = rows.groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"))
+
+    def choose(cols: dict[str, list]) -> dict[str, list]:
+        found = [decide(d, [x for x in r if x != 1], o) for d, r, o in zip(cols["digests"], cols["regions"], cols["others"], strict=True)]
+        return {"host": cols["host"], "copy": cols["copy"], "keep": [bytes(k) for k, _ in found], "n_shared": [n for _, n in found]}
+
+    def write(cols: dict[str, list]) -> dict[str, list]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
+        texts = [written(unpack(p).split(b"\n"), r, keep).decode("utf-8", "surrogatepass") for p, r, keep in zip(cols["packed"], cols["regions"], cols["keep"], strict=True)]
+        return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_shared": cols["n_shared"]}
+
+    placed, held = numbered(kinds)
+    decided = materialize(map_rows(neighboured(placed), ["host", "copy", "digests", "regions", "others"], choose, "host string, copy long, keep binary, n_shared int"))
+    release(held)
+    # a merge join at every size, as decisions grow with the pages; both sides are tables, so a page of very many copies
+    # is a skewed partition that Spark can split
+    both = rows.select("page_id", "url", "host", "copy", "packed", "regions").join(decided.hint("merge"), ["host", "copy"])
+    return map_rows(both, ["page_id", "url", "packed", "regions", "keep", "n_shared"], write, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long, n_shared int")

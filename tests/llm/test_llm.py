@@ -774,10 +774,15 @@ PAGE = """<html><head><title>t</title></head><body><header>Site</header><nav><ul
 <form>mail</form><div id="cookie-notice">ok?</div><section class="comments"><p>first!</p></section><script>var x="<p>no</p>";</script><footer>&copy; me</footer></body></html>"""
 
 
-def _text(page, *others):
+def _outside(page):
     own = html_text.lines_of(page)
-    keep, _ = html_text.decide(own.text, own.region, [html_text.lines_of(o).text for o in others])
-    return "\n".join(x for x, k in zip(own.text, keep, strict=True) if k)
+    return [(t, r) for t, r in zip(own.text, own.region, strict=True) if r != 1]
+
+
+def _text(page, *others):
+    own, out = html_text.lines_of(page), _outside(page)
+    keep, _ = html_text.decide([t for t, _ in out], [r for _, r in out], [[t for t, _ in _outside(o)] for o in others])
+    return html_text.written([t.encode() for t in own.text], bytes(own.region), bytes(keep)).decode()
 
 
 def test_html_regions():
@@ -826,8 +831,10 @@ def _brute_force(pages):
         order = sorted((p, k) for k, p in place.items() if k[0] == host)
         at = [k for _, k in order].index((host, tuple(own.text), tuple(own.region)))
         near = [k for _, k in order[max(0, at - 2) : at] + order[at + 1 : at + 3]]
-        votes = [sum(j in _lcs(own.text, k[1]) for k in near) for j in range(len(own.text))]
-        out[i] = "\n".join(t for t, r, v in zip(own.text, own.region, votes, strict=True) if r == 1 or (r == 0 and 2 * v <= len(near)))
+        free = [j for j, r in enumerate(own.region) if r != 1]
+        other = [[t for t, r in zip(*k[1:], strict=True) if r != 1] for k in near]
+        shared = [{free[j] for j in _lcs([own.text[j] for j in free], o)} for o in other]
+        out[i] = "\n".join(t for j, (t, r) in enumerate(zip(own.text, own.region, strict=True)) if r == 1 or (r == 0 and 2 * sum(j in s for s in shared) <= len(near)))
     return out
 
 
