@@ -117,9 +117,10 @@ class LanguageModels:
         grams, word = grams_of([w for w, _ in words])
         owner = np.array([i for _, i in words], np.int64)[word] if words else word
         for at in range(0, len(grams), _CHUNK):
-            g, o = grams[at : at + _CHUNK], owner[at : at + _CHUNK]
+            kinds, g = np.unique(grams[at : at + _CHUNK], return_inverse=True)  # far fewer than there are
+            o = owner[at : at + _CHUNK]
             for j, model in enumerate(self.models):
-                out[:, j] += np.bincount(o, np.log(model.probabilities(g)), minlength=len(tokens))
+                out[:, j] += np.bincount(o, np.log(model.probabilities(kinds))[g], minlength=len(tokens))
             out[:, -1] += np.bincount(o, minlength=len(tokens))
         return out
 
