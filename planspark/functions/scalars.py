@@ -58,6 +58,12 @@ def upright(up: Column, fx: Column, fy: Column, cx: Column, cy: Column, width: i
     return turn(F.lit(0), F.lit(1), F.lit(-1)), turn(fx, fy, fy), turn(fy, fx, fx), turn(cx, cy, height - 1 - cy), turn(cy, width - 1 - cx, cx)
 
 
+def rolled(r: Sequence[Column], turns: Column) -> list[Column]:
+    """A camera's rotation after its image was turned by quarters: the camera rolls about its optical axis."""
+    pick = lambda still, left, right: F.when(turns == 1, left).when(turns == -1, right).otherwise(still)
+    return [e for i in range(3) for e in (pick(r[3 * i], r[3 * i + 1], -r[3 * i + 1]), pick(r[3 * i + 1], -r[3 * i], r[3 * i]), r[3 * i + 2])]
+
+
 def letterboxed(views: DataFrame, keys: Sequence[str], focal: Column) -> DataFrame:
     """Views (w, h) scaled and centred to the commonest shape of their set, the larger of equals, with their intrinsics."""
     shapes = views.groupBy(*keys, "w", "h").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max(F.struct("n", "h", "w")).alias("t"))

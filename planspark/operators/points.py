@@ -89,6 +89,12 @@ def strided(rows: DataFrame, stride: int, order: Sequence[str], keys: Sequence[s
     return numbered.where((F.col("index") % stride == 0) & (F.col("index") < F.col("size") - 1)).drop("size")
 
 
+def sampled(frames: DataFrame, fps: float, keys: Sequence[str], at: str = "ts", order: str = "frame_id") -> DataFrame:
+    """The first frame of each of a film's intervals of a length of 1/fps; intervals without a frame give none."""
+    pick = F.min_by(F.struct(*frames.columns), F.struct(at, order))
+    return frames.groupBy(*keys, F.floor(F.col(at) * fps).alias("sample")).agg(pick.alias("f")).select("sample", "f.*")
+
+
 def capped(rows: DataFrame, k: int, keys: Sequence[str], ids: Sequence[str], seed: int = 0) -> DataFrame:
     """At most ``k`` rows of a key, picked by a seeded hash of their ids."""
     w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids])), *ids)

@@ -253,3 +253,40 @@ def h19(spark, d):
 
     inside = base(spark, d, "frames").where("x >= 0 and x < 8e0 and z < 4e0").select("capture_id", F.floor(F.col("x") / 2).cast("int").alias("room"), "frame_id")
     return even_picks(inside, 8, ["capture_id", "room"], ["frame_id"]).drop("index")
+
+
+@register("s9_sampled_frames", FRM + """, t AS (SELECT capture_id, frame_id, frame_id / 3e1 AS ts FROM frames) SELECT capture_id, CAST(floor(ts * 8e0) AS BIGINT) AS sample, min(frame_id) AS frame_id FROM t GROUP BY 1, 2""")
+def s9(spark, d):
+    """Frames of a film at eight a second."""
+    rows = base(spark, d, "frames").select("capture_id", "frame_id", (F.col("frame_id") / 30.0).alias("ts"))
+    return P.sampled(rows, 8.0, ["capture_id"]).select("capture_id", "sample", "frame_id")
+
+
+@register("s10_selected_frames", cte("frames", "points") + """ SELECT capture_id, frame_id, status FROM frames WHERE frame_id IN (SELECT frame_id FROM points WHERE conf = 2 AND depth > 5e0)""")
+def s10(spark, d):
+    """Frames that damage was looked for in, read in one pass."""
+    wanted = base(spark, d, "points").where("conf = 2 and depth > 5e0").select("frame_id")
+    return base(spark, d, "frames").join(wanted, "frame_id", "left_semi").select("capture_id", "frame_id", "status")
+
+
+@register("h17_rolled_poses", FRM + """, n AS (SELECT frame_id, qx / q AS x, qy / q AS y, qz / q AS z, qw / q AS w FROM (SELECT *, sqrt(qx * qx + qy * qy + qz * qz + qw * qw) AS q FROM frames)), r AS (SELECT frame_id, frame_id % 3 - 1 AS turns, 1 - 2 * (y * y + z * z) AS r0, 2 * (x * y - z * w) AS r1, 2 * (x * z + y * w) AS r2 FROM n)
+SELECT frame_id, round(CASE turns WHEN 1 THEN r1 WHEN -1 THEN -r1 ELSE r0 END, 6) + 0e0 AS m0, round(CASE turns WHEN 1 THEN -r0 WHEN -1 THEN r0 ELSE r1 END, 6) + 0e0 AS m1, round(r2, 6) + 0e0 AS m2 FROM r""")
+def h17(spark, d):
+    """First row of each frame's rotation after its image was turned upright."""
+    r = X.rolled(X.rotation(*[F.col(c) for c in ("qx", "qy", "qz", "qw")]), F.col("frame_id") % 3 - 1)
+    return base(spark, d, "frames").select("frame_id", *[(F.round(r[i], 6) + 0.0).alias(f"m{i}") for i in range(3)])
+
+
+@register("h23_job_summary", _STEPS + """ SELECT job_id, count(*) AS steps, CAST(CASE WHEN arg_max(status, struct_pack(t := ts, e := event_id)) = 'done' THEN 0 ELSE 1 END AS INTEGER) AS code, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) AS seconds FROM s GROUP BY 1""")
+def h23(spark, d):
+    """Steps, exit code and whole seconds of each job."""
+    rows = _states(spark, d)
+    last = F.max_by("status", F.struct("ts", "event_id"))
+    seconds = F.timestamp_diff("SECOND", F.min("ts"), F.max("ts"))
+    return rows.groupBy("job_id").agg(F.count("*").alias("steps"), F.when(last == "done", 0).otherwise(1).alias("code"), seconds.alias("seconds"))
+
+
+@register("h24_missing_weights", """ SELECT p_brand AS asset, count(*) AS parts, count(*) FILTER (WHERE p_size < 5) AS missing FROM part GROUP BY 1 HAVING count(*) FILTER (WHERE p_size < 5) > 0""")
+def h24(spark, d):
+    """Assets with parts that are not there yet, which a setup would fetch."""
+    return spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("asset")).agg(F.count("*").alias("parts"), F.count_if(F.col("p_size") < 5).alias("missing")).where("missing > 0")

@@ -36,7 +36,7 @@ def scan_frames(spark: SparkSession, folder: str, scale: float = 256 / 1920) ->
     else:
         pixels = pixels.withColumn("conf", F.lit(2.0))
     k = capture.intrinsics(spark, f"{folder}/camera_matrix.csv", scale).first()
-    return frames, pixels.select("frame_id", "conf", *[e.alias(c) for c, e in zip("abc", X.camera_point(F.col("u"), F.col("v"), F.col("z"), k.fx, k.fy, k.cx, k.cy), strict=True)])
+    return frames, pixels.select("frame_id", "u", "v", "conf", *[e.alias(c) for c, e in zip("abc", X.camera_point(F.col("u"), F.col("v"), F.col("z"), k.fx, k.fy, k.cx, k.cy), strict=True)])
 
 
 def scan_cloud(spark: SparkSession, folder: str, settings: dict[str, Any], scale: float = 256 / 1920) -> dict[str, DataFrame]:
@@ -176,6 +176,49 @@ def _adjacent(found: list[dict[str, Any]], through: DataFrame | None, near: floa
     return out
 
 
+def box_points(boxes: DataFrame, frames: DataFrame, pixels: DataFrame, size: tuple[int, int], floor: float, degree: float, focal: float) -> DataFrame:
+    """Rows for ``damaged`` of boxes (det, room, class, confidence, frame_id, x0, y0, x1, y1 on a grid of 1000) in a scan's
+    frames: the pixels of each box, as points in plan coordinates."""
+    w, h = size
+    at = lambda c, n: F.round(F.col(c) / 1000.0 * n)
+    met = pixels.join(F.broadcast(boxes) if boxes.count() < 10_000 else boxes, "frame_id").where((F.col("u") >= at("x0", w)) & (F.col("u") < at("x1", w)) & (F.col("v") >= at("y0", h)) & (F.col("v") < at("y1", h)) & (F.col("c") > 0.2) & (F.col("c") < 8.0))
+    x, y, z = X.transform([F.col(f"r{i}") for i in range(9)], [F.col(f"t{c}") for c in "xyz"], [F.col(c) for c in "abc"])
+    cos, sin = math.cos(math.radians(degree)), math.sin(math.radians(degree))
+    return met.join(frames, "frame_id").select("det", "room", "class", "confidence", F.format_string("frame %06d", "frame_id").alias("frame"), (cos * x + sin * z).alias("x"), (y - floor).alias("y"), (cos * z - sin * x).alias("z"), (F.col("c") / focal).alias("px"))
+
+
+def detected(spark: SparkSession, plan: dict[str, Any], views: DataFrame, cache: str, policy: str, backend: str, model=None, most: int = 8) -> DataFrame | None:
+    """Boxes of the views (room, frame_id, w, h, depth_w, depth_h) of each room, from recorded or live detections.
+
+    Up to ``most`` evenly spaced views of a room are looked at. Views whose depth has another shape are left out, and a
+    detector without records or model is switched off; both with a warning in the plan.
+    """
+    from planspark.operators.runs import even_picks
+    from planspark.sources import models
+
+    if backend == "off":
+        return None
+    picked = even_picks(views, most, ["room"], ["frame_id"])
+    fits = damage.same_shape(F.col("w"), F.col("h"), F.col("depth_w"), F.col("depth_h"))
+    for r in picked.where(~fits).select("room").distinct().orderBy("room").collect():
+        plan["warnings"].append(f"{r.room}: depth and image differ in shape; damage skipped")
+    found = None
+    good = picked.where(fits).select("room", "frame_id", (F.row_number().over(Window.partitionBy("room").orderBy("frame_id")) - 1).alias("image"))
+    for r in good.groupBy("room").agg(F.sort_array(F.collect_list("frame_id")).alias("frames")).orderBy("room").collect():
+        key = models.key_of("detections", {"backend": backend}, [r.room, *map(str, r.frames)])
+        try:
+            own = models.result(spark, cache, "detections", key, policy, None if model is None else (lambda r=r: model(r.room, list(r.frames))))
+        except (FileNotFoundError, ValueError, ImportError) as e:
+            plan["warnings"].append(f"damage: {backend} is not available for {r.room} ({e}); nothing is reported")
+            continue
+        own = own.withColumn("room", F.lit(r.room))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return None
+    named = found.join(good, ["room", "image"])
+    return named.select(F.row_number().over(Window.orderBy("room", "frame_id", F.desc("confidence"), "x0", "y0")).alias("det"), "room", "class", "confidence", "frame_id", "x0", "y0", "x1", "y1")
+
+
 def damaged(spark: SparkSession, plan: dict[str, Any], detections: DataFrame, absolute: float = 0.01, relative: float = 0.0) -> dict[str, Any]:
     """The plan with damage regions, flags and scope out of detections.
 

@@ -116,6 +116,27 @@ def arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return files.mapInArrow(run, "path string, name string, shape array<long>, data array<double>")
 
 
+def write_bundle(folder: Path, capture: str, sets: dict[str, dict[str, np.ndarray]]) -> None:
+    """An evaluation bundle: an index, and a file of truth arrays a set; the index comes last, so a bundle is whole."""
+    import json
+
+    from planspark.sources.files import write_atomic
+
+    for name, truth_arrays in sets.items():
+        (folder / name).mkdir(parents=True, exist_ok=True)
+        packed = io.BytesIO()
+        np.savez_compressed(packed, **truth_arrays)
+        write_atomic(folder / name / "gt.npz", packed.getvalue())
+    write_atomic(folder / "index.json", json.dumps({"source_capture": capture, "sets": sorted(sets)}))
+
+
+def bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """(set, name, shape, data) of the truth arrays of a bundle's sets."""
+    index = spark.read.json(f"{folder}/index.json", schema="source_capture string, sets array<string>", multiLine=True).select(F.explode("sets").alias("set"))
+    rows = arrays(spark, folder, ["depth", "conf", "K", "T_world_cam", "source_frame"]).withColumn("set", F.element_at(F.split("path", "/"), -2))
+    return rows.join(index, "set", "left_semi").where("name is not null").select("set", "name", "shape", "data")
+
+
 def write_matches(path: Path, images: dict[int, np.ndarray], pairs: dict[tuple[int, int], np.ndarray]) -> None:
     """Keypoints and matches in the tables of the tracking library's database, in place of what it held."""
     with sqlite3.connect(path) as db:

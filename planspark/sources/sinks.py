@@ -75,6 +75,13 @@ def summary(plan: dict[str, Any]) -> list[str]:
     return lines + [f"! {w}" for w in plan["warnings"]]
 
 
+def write_results(rows: list[dict[str, Any]], path: Path, **about: Any) -> Path:
+    """Result rows of an experiment, with what they are about, as one JSON file."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    write_atomic(path, json.dumps({**about, "rows": rows}, indent=1, sort_keys=True))
+    return path
+
+
 def with_half(m: dict[str, Any] | None, unit: str) -> str:
     return f"{m['value']:.2f} ±{(m['hi'] - m['lo']) / 2:.2f} {unit}" if m else "n/a"
 

@@ -165,6 +165,14 @@ def test_records(spark, tmp_path):
     assert [tuple(r) for r in records.read_matches(spark, tmp_path / "db").collect()] == [(1, 2, 2, 0), (1, 2, 1, 1)]
 
 
+def test_bundles_and_results(spark, tmp_path):
+    records.write_bundle(tmp_path / "b", "c1", {"s1": {"depth": np.ones((1, 2, 3)), "K": np.eye(3)}, "s2": {"depth": np.zeros((1, 1, 1))}})
+    got = {(r.set, r.name): r.shape for r in records.bundle(spark, str(tmp_path / "b")).collect()}
+    assert got == {("s1", "depth"): [1, 2, 3], ("s1", "K"): [3, 3], ("s2", "depth"): [1, 1, 1]}
+    path = sinks.write_results([{"a": 1}], tmp_path / "r" / "out.json", capture="c1")
+    assert json.loads(path.read_text()) == {"capture": "c1", "rows": [{"a": 1}]}
+
+
 def test_model_results_are_replayed(spark, tmp_path):
     rows = spark.createDataFrame([(0, 2, 1, [1.0, 2.0])], models.CONTRACTS["depth"])
     made = []

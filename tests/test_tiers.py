@@ -100,6 +100,26 @@ def test_door_and_window_are_seen_through(spark):
     assert got["window"].width == pytest.approx(0.7, abs=0.1) and got["window"].sill > 0.9 and got["window"].confidence == 1.0
 
 
+def test_detections_become_points(spark, scan, tmp_path):
+    plan = sinks.empty_plan("lidar", "x")
+    views = spark.createDataFrame([("r1", f, 96, 96, 96, 96) for f in range(12)] + [("r2", 1, 96, 48, 96, 96)], "room string, frame_id int, w int, h int, depth_w int, depth_h int")
+    asked = []
+
+    def model(room, frames):
+        asked.append((room, frames))
+        return spark.createDataFrame([(0, "mold", 250, 250, 750, 750, 0.8, "")], models.CONTRACTS["detections"])
+
+    get = lambda policy, m=model: tiers.detected(spark, plan, views, str(tmp_path), policy, "owlv2", m)
+    assert get("replay") is None and len(plan["warnings"]) == 2
+    boxes = get("replay_or_live")
+    assert get("replay").count() == boxes.count() == 1 and [(r, len(f)) for r, f in asked] == [("r1", 8)]
+    assert tiers.detected(spark, plan, views, str(tmp_path), "replay", "off") is None
+    frames, pixels = tiers.scan_frames(spark, str(scan), 1.0)
+    points = tiers.box_points(boxes, frames, pixels, (96, 96), 0.0, 0.0, 40.0).collect()
+    assert len(points) == 48 * 48 and {p.frame for p in points} == {"frame 000000"}
+    assert all(-0.05 < p.x < 4.05 and -0.05 < p.y < 2.55 and -0.05 < p.z < 3.05 for p in points)
+
+
 def test_views_to_plan(spark, scan):
     rows = []
     for k, (spot, yaw) in enumerate(((p, y) for p in ((1.2, 1.4, 1.2), (2.8, 1.4, 1.8)) for y in np.arange(8) * math.pi / 4)):
