@@ -189,26 +189,43 @@ def written(lines: list[bytes], regions: bytes, keep: bytes) -> bytes:
     return b"\n".join([x for x, r in zip(lines, regions, strict=False) if r == 1 or next(outside)])
 
 
-def parsed(pages: DataFrame, id_col: str, url: str, page: str) -> DataFrame:
-    """(page_id, url, host, path, packed, regions, digests, copy): the lines of every page, digests of those outside its
-    main element, and a digest of all.
+def _copy(found: Lines, raw: list[bytes]) -> int:
+    """A digest of all lines and their regions."""
+    from xxhash import xxh3_64_intdigest
 
-    Lines are packed, as they travel through a shuffle later; none holds a line break.
-    """
+    return xxh3_64_intdigest(b"\n".join([bytes(found.region), *raw])) >> 1
+
+
+def _raw(found: Lines) -> list[bytes]:
+    return [x.encode("utf-8", "surrogatepass") for x in found.text]
+
+
+def outlined(rows: DataFrame) -> DataFrame:
+    """(host, path, copy, regions, digests) of pages (host, path, html): digests of the lines outside the main element."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         from xxhash import xxh3_64_intdigest
+
+        found = [lines_of(p) for p in cols["html"]]
+        raw = [_raw(f) for f in found]
+        digests = [[xxh3_64_intdigest(x) >> 1 for x, g in zip(r, f.region, strict=True) if g != 1] for f, r in zip(found, raw, strict=True)]
+        outside = [bytes(g for g in f.region if g != 1) for f in found]
+        return {"host": cols["host"], "path": cols["path"], "copy": [_copy(f, r) for f, r in zip(found, raw, strict=True)], "regions": outside, "digests": digests}
+
+    return map_rows(rows, ["host", "path", "html"], run, "host string, path string, copy long, regions binary, digests array<long>")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(page_id, url, host, copy, regions, packed) of pages: their lines, packed for the shuffle; none holds a line break."""
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
         from zstandard import ZstdCompressor
 
-        pack, found = ZstdCompressor(level=3).compress, [lines_of(p) for p in cols["html"]]
-        raw = [[x.encode("utf-8", "surrogatepass") for x in f.text] for f in found]
-        out = {c: cols[c] for c in ("page_id", "url", "host", "path")}
-        out |= {"packed": [pack(b"\n".join(r)) for r in raw], "regions": [bytes(f.region) for f in found]}
-        return out | {"digests": [[xxh3_64_intdigest(x) >> 1 for x, g in zip(r, f.region, strict=True) if g != 1] for f, r in zip(found, raw, strict=True)], "copy": [xxh3_64_intdigest(b"\n".join([bytes(f.region), *r])) >> 1 for f, r in zip(found, raw, strict=True)]}
+        pack, found = ZstdCompressor(level=6).compress, [lines_of(p) for p in cols["html"]]
+        raw = [_raw(f) for f in found]
+        return {c: cols[c] for c in ("page_id", "url", "host")} | {"copy": [_copy(f, r) for f, r in zip(found, raw, strict=True)], "regions": [bytes(f.region) for f in found], "packed": [pack(b"\n".join(r)) for r in raw]}
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).alias("html"))
-    kind = dict(rows.dtypes)["page_id"]
-    return map_rows(rows, ["page_id", "url", "host", "path", "html"], run, f"page_id {kind}, url string, host string, path string, packed binary, regions binary, digests array<long>, copy long")
+    return map_rows(rows, ["page_id", "url", "host", "html"], run, f"page_id {dict(rows.dtypes)['page_id']}, url string, host string, copy long, regions binary, packed binary")
 
 
 def numbered(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,11 +253,11 @@ def neighboured(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every page."""
-    rows = materialize(parsed(pages, id_col, url, page))
-    kinds = rows.groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).alias("html"))
+    kinds = outlined(rows).groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"))
 
     def choose(cols: dict[str, list]) -> dict[str, list]:
-        found = [decide(d, [x for x in r if x != 1], o) for d, r, o in zip(cols["digests"], cols["regions"], cols["others"], strict=True)]
+        found = [decide(d, list(r), o) for d, r, o in zip(cols["digests"], cols["regions"], cols["others"], strict=True)]
         return {"host": cols["host"], "copy": cols["copy"], "keep": [bytes(k) for k, _ in found], "n_shared": [n for _, n in found]}
 
     def write(cols: dict[str, list]) -> dict[str, list]:
@@ -253,7 +270,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     placed, held = numbered(kinds)
     decided = materialize(map_rows(neighboured(placed), ["host", "copy", "digests", "regions", "others"], choose, "host string, copy long, keep binary, n_shared int"))
     release(held)
-    # a merge join at every size, as decisions grow with the pages; both sides are tables, so a page of very many copies
-    # is a skewed partition that Spark can split
-    both = rows.select("page_id", "url", "host", "copy", "packed", "regions").join(decided.hint("merge"), ["host", "copy"])
+    # pages are read again in place of a table of their lines; a merge join at every size, as decisions grow with the
+    # pages, whose skewed partitions (a page of very many copies) Spark can split
+    both = packed(rows).join(decided.hint("merge"), ["host", "copy"])
     return map_rows(both, ["page_id", "url", "packed", "regions", "keep", "n_shared"], write, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long, n_shared int")
