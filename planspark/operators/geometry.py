@@ -273,20 +273,36 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
     return total
 
 
+def _box(polygon: str) -> list[Column]:
+    """Least and greatest abscissa and ordinate of a nested polygon."""
+    at = lambda i: F.transform(polygon, lambda p: F.get(p, F.lit(i)))
+    return [pick(at(i)) for pick in (F.array_min, F.array_max) for i in (0, 1)]
+
+
 def polygon_overlaps(rooms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(a, b, share) of every two rooms (id, polygon) of a plan: common area over the smaller one's area."""
-    left, right = rooms.select(*keys, F.col("id").alias("a"), F.col("polygon").alias("pa")), rooms.select(*keys, F.col("id").alias("b"), F.col("polygon").alias("pb"))
-    pairs = left.join(right, list(keys)).where("a < b")
-    schema = ", ".join(f"`{c}` {k}" for c, k in pairs.dtypes if c not in ("pa", "pb")) + ", share double"
-    names = [c for c in pairs.columns if c not in ("pa", "pb")]
+    """(a, b, share) of every two rooms (id, polygon) of a plan: common area over the smaller one's area.
+
+    Only rooms whose boxes meet are laid over each other.
+    """
+    named = rooms.select(*keys, "id", "polygon", *[c.alias(n) for c, n in zip(_box("polygon"), ("x0", "y0", "x1", "y1"), strict=True)])
+    side = lambda s: named.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("id", "polygon", "x0", "y0", "x1", "y1")])
+    meet = (F.col("p_x0") < F.col("q_x1")) & (F.col("q_x0") < F.col("p_x1")) & (F.col("p_y0") < F.col("q_y1")) & (F.col("q_y0") < F.col("p_y1"))
+    pairs = side("p").join(side("q"), list(keys)).where("p_id < q_id").withColumn("meet", meet)
+    out = [*keys, F.col("p_id").alias("a"), F.col("q_id").alias("b")]
+    near = pairs.where("meet").select(*out, "p_polygon", "q_polygon")
+    names = [*keys, "a", "b"]
+    schema = ", ".join(f"`{c}` {k}" for c, k in near.select(*names).dtypes) + ", share double"
+
+    def area(p: np.ndarray) -> float:
+        return abs(float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)))) / 2
 
     def run(batches):
         for batch in batches:
             shares = []
-            for p, q in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
+            for p, q in zip(batch.column("p_polygon").to_pylist(), batch.column("q_polygon").to_pylist(), strict=True):
                 p, q = np.array(p, float), np.array(q, float)
-                small = min(overlap_area(p, p), overlap_area(q, q))
+                small = min(area(p), area(q))
                 shares.append(overlap_area(p, q) / small if small > 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(shares, pa.float64())], names=[*names, "share"])
 
-    return pairs.mapInArrow(run, schema)
+    return near.mapInArrow(run, schema).unionByName(pairs.where("not meet").select(*out, F.lit(0.0).alias("share")))

@@ -141,7 +141,7 @@ def outermost(points: DataFrame, centres: DataFrame, keys: Sequence[str], size:
     spread = rows.withColumn("bin", F.explode(F.array(own - 1, own, own + 1)))
     there = rows.select(*group, "axis", own.alias("bin")).distinct()
     band = F.least(F.greatest(F.floor((F.col("h") - 0.2) / 0.1), F.lit(0)), F.lit(15))
-    slices = spread.join(there, [*group, "axis", "bin"], "left_semi").groupBy(*group, "axis", "bin").agg(F.count("*").alias("n"), F.countDistinct(band).alias("bands"), F.countDistinct(F.floor(F.col("q") / 0.1)).alias("tenths"), F.first("length").alias("length"), F.median("p").alias("at"))
+    slices = spread.join(there, [*group, "axis", "bin"], "left_semi").groupBy(*group, "axis", "bin").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), band.cast("int")))).alias("bands"), F.countDistinct(F.floor(F.col("q") / 0.1)).alias("tenths"), F.first("length").alias("length"), F.median("p").alias("at"))
     walls = slices.where((F.col("n") >= least) & (F.col("bands") / 16 >= cover) & (F.col("tenths") * 0.1 >= span * F.col("length")))
     centre = F.when(F.col("axis") == 0, F.col("cu")).otherwise(F.col("cv"))
     picked = walls.join(centres, group).groupBy(*group, "axis").agg(F.min(F.when(F.col("at") < centre, F.col("at"))).alias("lo"), F.max(F.when(F.col("at") > centre, F.col("at"))).alias("hi"))
