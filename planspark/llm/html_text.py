@@ -3,8 +3,9 @@
 Different pages of a host are put in the order of their URL paths, where the longest common path prefixes are neighbours,
 and numbered through across the cluster; a page meets the two before and the two after it in its host. Copies (pages of
 the very same lines) count once, at their first path, so a page never meets its own copy. The text lines of a page
-outside its main element are aligned with each neighbour's by a longest common subsequence, and lines shared with over
-half of the neighbours are deleted: a template's lines recur on most neighbours, a copied article's on its copies only.
+outside its main element are aligned with each neighbour's by a longest common subsequence, and shared lines are deleted:
+beside a main element those that any neighbour shares, without one those that over half of them share, as a template's
+lines recur on most neighbours, a copied article's on its copies only.
 
 Two things are known beforehand. Lines inside an ``article`` or ``main`` element are never deleted, because copied
 articles share lines too. Lines of known regions (navigation, header, footer, form, advert, notice, comments) that differ
@@ -172,14 +173,17 @@ def shared(a: list, b: list) -> set[int]:
     return ends
 
 
-def decide(lines: list, regions: list[int], neighbours: list[list]) -> tuple[list[bool], int]:
-    """Which lines outside the main element (region 0 or 2) are main text all the same, and how many most neighbours share."""
+def decide(lines: list, regions: list[int], neighbours: list[list], main: bool = False) -> tuple[list[bool], int]:
+    """Which lines outside the main element (region 0 or 2) are main text all the same, and how many are shared.
+
+    Beside a main element one neighbour is enough; without one most of them must share a line, as an article may be copied.
+    """
     votes = [0] * len(lines)
     if lines:
         for other in neighbours:
             for i in shared(lines, other):
                 votes[i] += 1
-    most = [2 * v > len(neighbours) for v in votes]
+    most = [v > 0 if main else 2 * v > len(neighbours) for v in votes]
     return [r == 0 and not m for r, m in zip(regions, most, strict=True)], sum(most)
 
 
@@ -201,7 +205,7 @@ def _raw(found: Lines) -> list[bytes]:
 
 
 def outlined(rows: DataFrame) -> DataFrame:
-    """(host, path, copy, regions, digests) of pages (host, path, html): digests of the lines outside the main element."""
+    """(host, path, copy, regions, main, digests) of pages (host, path, html): digests of the lines outside the main element."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         from xxhash import xxh3_64_intdigest
@@ -210,9 +214,9 @@ def outlined(rows: DataFrame) -> DataFrame:
         raw = [_raw(f) for f in found]
         digests = [[xxh3_64_intdigest(x) >> 1 for x, g in zip(r, f.region, strict=True) if g != 1] for f, r in zip(found, raw, strict=True)]
         outside = [bytes(g for g in f.region if g != 1) for f in found]
-        return {"host": cols["host"], "path": cols["path"], "copy": [_copy(f, r) for f, r in zip(found, raw, strict=True)], "regions": outside, "digests": digests}
+        return {"host": cols["host"], "path": cols["path"], "copy": [_copy(f, r) for f, r in zip(found, raw, strict=True)], "regions": outside, "main": [1 in f.region for f in found], "digests": digests}
 
-    return map_rows(rows, ["host", "path", "html"], run, "host string, path string, copy long, regions binary, digests array<long>")
+    return map_rows(rows, ["host", "path", "html"], run, "host string, path string, copy long, regions binary, main boolean, digests array<long>")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -239,7 +243,7 @@ def numbered(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def neighboured(pages: DataFrame) -> DataFrame:
-    """(host, copy, digests, regions, others): every page with the lines of its neighbours in the host."""
+    """(host, copy, digests, regions, main, others): every page with the lines of its neighbours in the host."""
     rows = pages.withColumn("stretch", F.floor(F.col("place") / STRETCH))
     low, high = F.floor((F.col("place") - SIDE) / STRETCH), F.floor((F.col("place") + SIDE) / STRETCH)
     spread = rows.withColumn("at", F.explode(F.array_distinct(F.array("stretch", low, high)))).repartition("at")
@@ -248,16 +252,16 @@ def neighboured(pages: DataFrame) -> DataFrame:
     others = F.array(*[F.lag(line, k).over(beside) for k in range(1, SIDE + 1)], *[F.lead(line, k).over(beside) for k in range(1, SIDE + 1)])
     near = spread.withColumn("_o", others).where(F.col("at") == F.col("stretch"))
     same = F.filter("_o", lambda o: o["host"] == F.col("host"))
-    return near.select("host", "copy", "digests", "regions", F.transform(same, lambda o: o["digests"]).alias("others"))
+    return near.select("host", "copy", "digests", "regions", "main", F.transform(same, lambda o: o["digests"]).alias("others"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).alias("html"))
-    kinds = outlined(rows).groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"))
+    kinds = outlined(rows).groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("digests").alias("digests"), F.first("regions").alias("regions"), F.first("main").alias("main"))
 
     def choose(cols: dict[str, list]) -> dict[str, list]:
-        found = [decide(d, list(r), o) for d, r, o in zip(cols["digests"], cols["regions"], cols["others"], strict=True)]
+        found = [decide(d, list(r), o, m) for d, r, o, m in zip(cols["digests"], cols["regions"], cols["others"], cols["main"], strict=True)]
         return {"host": cols["host"], "copy": cols["copy"], "keep": [bytes(k) for k, _ in found], "n_shared": [n for _, n in found]}
 
     def write(cols: dict[str, list]) -> dict[str, list]:
@@ -268,7 +272,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
         return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_shared": cols["n_shared"]}
 
     placed, held = numbered(kinds)
-    decided = materialize(map_rows(neighboured(placed), ["host", "copy", "digests", "regions", "others"], choose, "host string, copy long, keep binary, n_shared int"))
+    decided = materialize(map_rows(neighboured(placed), ["host", "copy", "digests", "regions", "others", "main"], choose, "host string, copy long, keep binary, n_shared int"))
     release(held)
     # pages are read again in place of a table of their lines; a merge join at every size, as decisions grow with the
     # pages, whose skewed partitions (a page of very many copies) Spark can split
