@@ -73,12 +73,38 @@ def floor_level(points: DataFrame, camera_y: float, keys: Sequence[str], support
     return ranked.groupBy(*keys).agg(F.coalesce(F.min(F.when(strong, F.col("bin"))), F.max_by("bin", F.struct("n", -F.col("bin")))).alias("bin"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str], bins: int = 4096) -> DataFrame:
+    """Exact quantiles of each key, interpolated between neighbours, without holding a key's values in one task.
+
+    A histogram says which bins the wanted ranks fall in; only the different values of those bins are put in order. Null
+    values do not count, and keys without others have no row.
+    """
+    group = list(keys)
+    own = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    ends = own.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    binned = own.join(ends, group).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = binned.groupBy(*group, "_bin").agg(F.count("*").alias("_c")).withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    rank = lambda p: F.lit(p) * (F.col("_n") - 1)
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("end"), (F.floor(rank(p)) if k == 0 else F.ceil(rank(p))).alias("rank"), (rank(p) - F.floor(rank(p))).alias("part")) for n, p in shares.items() for k in (0, 1)])
+    ranks = ends.select(*group, F.explode(asked).alias("a")).select(*group, "a.*")
+    at = ranks.join(histogram, group).where((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_first") + F.col("_c"))).drop("_c")
+    values = binned.join(at.select(*group, "_bin").distinct(), [*group, "_bin"], "left_semi").groupBy(*group, "_bin", "_v").agg(F.count("*").alias("_c"))
+    within = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_before", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    hit = at.join(values, [*group, "_bin"]).where((F.col("rank") - F.col("_first") >= F.col("_before")) & (F.col("rank") - F.col("_first") < F.col("_before") + F.col("_c")))
+    pick = lambda n, k: F.max(F.when((F.col("name") == n) & (F.col("end") == k), F.col("_v")))
+    part = lambda n: F.max(F.when(F.col("name") == n, F.col("part")))
+    return hit.groupBy(*group).agg(*[(pick(n, 0) + (pick(n, 1) - pick(n, 0)) * part(n)).alias(n) for n in shares])
+
+
 def refined_level(points: DataFrame, guesses: DataFrame, keys: Sequence[str], wide: float = 0.04, narrow: float = 0.02) -> DataFrame:
     """Median within ``wide`` of a guess (column guess), then median, spread and count within ``narrow`` of that."""
     near = points.join(guesses, list(keys))
-    first = near.where(F.abs(F.col("y") - F.col("guess")) < wide).groupBy(*keys).agg(F.median("y").alias("level"))
-    close = points.join(first, list(keys)).where(F.abs(F.col("y") - F.col("level")) < narrow)
-    out = close.groupBy(*keys).agg(F.median("y").alias("level"), F.stddev_pop("y").alias("spread"), F.count("*").alias("n"))
+    first = quantiles(near.where(F.abs(F.col("y") - F.col("guess")) < wide), "y", {"level": 0.5}, keys)
+    close = points.join(first, list(keys)).where(F.abs(F.col("y") - F.col("level")) < narrow).drop("level")
+    out = quantiles(close, "y", {"level": 0.5}, keys).join(close.groupBy(*keys).agg(F.stddev_pop("y").alias("spread"), F.count("*").alias("n")), list(keys))
     return out.withColumn("sigma", median_sigma(F.col("spread"), F.col("n")))
 
 

@@ -68,8 +68,8 @@ def a9(spark, d):
 
 @register("a13_percentiles", PTS + """ SELECT capture_id, round(quantile_cont(y, 2e-2), 6) AS p02, round(quantile_cont(y, 3e-1), 6) AS p30, round(median(y), 6) AS p50, round(quantile_cont(y, 98e-2), 6) AS p98 FROM points GROUP BY 1""")
 def a13(spark, d):
-    pick = lambda p, n: F.round(F.percentile("y", F.lit(p)), 6).alias(n)
-    return base(spark, d, "points").groupBy("capture_id").agg(pick(0.02, "p02"), pick(0.3, "p30"), pick(0.5, "p50"), pick(0.98, "p98"))
+    found = P.quantiles(base(spark, d, "points"), "y", {"p02": 0.02, "p30": 0.3, "p50": 0.5, "p98": 0.98}, ["capture_id"])
+    return rounded(found, "p02", "p30", "p50", "p98")
 
 
 @register("a14_scale_ratio", MEA + """, m AS (SELECT space, run, median(predicted / truth) AS m FROM measures GROUP BY 1, 2)

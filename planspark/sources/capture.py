@@ -148,13 +148,14 @@ def pixels(frames: DataFrame, scale: float = 0.001) -> DataFrame:
 
 
 def probe(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Duration, size and rate out of a decoder's text; sides swap where the film is turned a quarter."""
+    """Duration, size, rate, phone model and high dynamic range out of a decoder's text; sides swap where the film is
+    turned a quarter."""
     c = F.col(text)
     num = lambda pattern, i=1: F.regexp_extract(c, pattern, i).try_cast("double")
     clock = r"Duration: (\d+):(\d+):([\d.]+)"
     turn = F.abs(F.abs(F.coalesce(num(r"rotation of (-?[\d.]+)"), F.lit(0.0))) - 90) < 1
     w, h = num(r"(\d{2,5})x(\d{2,5})", 1), num(r"(\d{2,5})x(\d{2,5})", 2)
-    return texts.withColumn("duration", num(clock, 1) * 3600 + num(clock, 2) * 60 + num(clock, 3)).withColumn("w", F.when(turn, h).otherwise(w).cast("int")).withColumn("h", F.when(turn, w).otherwise(h).cast("int")).withColumn("fps", num(r"([\d.]+) fps"))
+    return texts.withColumn("duration", num(clock, 1) * 3600 + num(clock, 2) * 60 + num(clock, 3)).withColumn("w", F.when(turn, h).otherwise(w).cast("int")).withColumn("h", F.when(turn, w).otherwise(h).cast("int")).withColumn("fps", num(r"([\d.]+) fps")).withColumn("model", F.nullif(F.trim(F.regexp_extract(c, r"com\.apple\.quicktime\.model\s*:\s*([^\n]+)", 1)), F.lit(""))).withColumn("hdr", c.rlike("arib-std-b67|smpte2084"))
 
 
 def structure(spark: SparkSession, path: str) -> DataFrame:

@@ -28,6 +28,19 @@ def test_floor_below_denser_desk(spark):
     assert points.floor_level(rows, 1.5, ["c"]).first().bin in (0, 1)
 
 
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    groups = {1: rng.normal(size=501), 2: np.repeat([3.0, 7.0], [400, 5]), 3: np.array([4.0]), 4: rng.integers(0, 5, 200).astype(float), 5: np.array([])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(5, None), (1, None)], "k int, v double")
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.985, "e": 1.0}
+    got = {r.k: r for r in points.quantiles(rows, "v", shares, ["k"], bins=16).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for k in got:
+        assert [got[k][n] for n in shares] == pytest.approx([float(np.quantile(groups[k], p)) for p in shares.values()])
+
+
 def test_door(spark):
     slots = [(1, s, 30 <= s < 48, 0.0 if 30 <= s < 48 else None) for s in range(80)]
     door = runs.open_runs(spark.createDataFrame(slots, "wall int, slot int, open boolean, sill double"), ["wall"], 0.05).collect()
@@ -118,9 +131,9 @@ def test_photo_rooms(spark, tmp_path):
 
 
 def test_probe_swaps_turned_sides(spark):
-    text = "Duration: 00:01:02.50, start\n Stream: Video: hevc, 1920x1080, 29.97 fps, displaymatrix: rotation of -90.00 degrees"
+    text = "Duration: 00:01:02.50, start\n Stream: Video: hevc, 1920x1080, 29.97 fps, displaymatrix: rotation of -90.00 degrees\n com.apple.quicktime.model : Phone 9 \n arib-std-b67"
     row = capture.probe(spark.createDataFrame([(text,)], "text string")).first()
-    assert (row.duration, row.w, row.h, row.fps) == (62.5, 1080, 1920, 29.97)
+    assert (row.duration, row.w, row.h, row.fps, row.model, row.hdr) == (62.5, 1080, 1920, 29.97, "Phone 9", True)
 
 
 def test_broken_checkpoint_is_a_miss(spark, tmp_path):
