@@ -152,11 +152,11 @@ def j17(spark, d):
     return named.select("a", "b", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("share"))
 
 
-@register("j22_openings_found", MEA + " SELECT space, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM measures p WHERE p.space = t.space AND p.run = 0 AND abs(p.predicted - t.truth) <= 201e-4)) AS found FROM (SELECT DISTINCT space, truth FROM measures WHERE run = 1) t GROUP BY 1")
+@register("j22_openings_found", MEA + " SELECT space, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM measures p WHERE p.space = t.space AND p.run % 2 = 0 AND abs(p.predicted - t.truth) <= 201e-4)) AS found FROM (SELECT DISTINCT space, truth FROM measures WHERE run % 2 = 1) t GROUP BY 1")
 def j22(spark, d):
     rows = base(spark, d, "measures")
-    truth = rows.where("run = 1").select("space", "truth").distinct()
-    near = rows.where("run = 0").select("space", "predicted").distinct()
+    truth = rows.where("run % 2 = 1").select("space", "truth").distinct()
+    near = rows.where("run % 2 = 0").select("space", "predicted").distinct()
     found = truth.join(near, (truth["space"] == near["space"]) & (F.abs(near["predicted"] - truth["truth"]) <= 0.0201), "left_semi").groupBy("space").agg(F.count("*").alias("found"))
     return truth.groupBy("space").agg(F.count("*").alias("n")).join(found, "space", "left").select("space", "n", F.coalesce("found", F.lit(0)).alias("found"))
 

@@ -170,7 +170,7 @@ def r21(spark, d):
     return graph.spread_views(rows, "room", "frame_id", 5)
 
 
-_BANDS = """, b AS (SELECT frame_id % 300 AS region, x, y, z FROM points WHERE floor(y / 28e-2) = frame_id % 300 % 10), m AS (SELECT region, median(y) AS h, median(x) AS mx, median(z) AS mz, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 5), w AS (SELECT * FROM (VALUES ('r.w1', 1e0, -6e0, 1e0, 6e0), ('r.w2', -6e0, 2e0, 6e0, 2e0), ('r.w3', -3e0, -6e0, -3e0, 0e0)) t(wall, ax, az, bx, bz)),
+_BANDS = """, b AS (SELECT frame_id % 30 * 10 + CAST(least(floor(y / 28e-2), 9) AS BIGINT) AS region, x, y, z FROM points), m AS (SELECT region, median(y) AS h, median(x) AS mx, median(z) AS mz, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 5), w AS (SELECT * FROM (VALUES ('r.w1', 1e0, -6e0, 1e0, 6e0), ('r.w2', -6e0, 2e0, 6e0, 2e0), ('r.w3', -3e0, -6e0, -3e0, 0e0)) t(wall, ax, az, bx, bz)),
 q AS (SELECT m.*, w.*, sqrt((bx - ax) ** 2 + (bz - az) ** 2) AS l, greatest(0e0, least(1e0, ((mx - ax) * (bx - ax) + (mz - az) * (bz - az)) / ((bx - ax) ** 2 + (bz - az) ** 2))) AS t FROM m, w), k AS (SELECT *, sqrt((mx - ax - t * (bx - ax)) ** 2 + (mz - az - t * (bz - az)) ** 2) AS far FROM q), o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(far, 9), wall) AS i FROM k),
 s AS (SELECT region, n, h, CASE WHEN h < 15e-2 THEN 'floor' WHEN abs(h - 25e-1) < 15e-2 THEN 'ceiling' WHEN far <= 15e-1 THEN 'wall' END AS kind, CASE WHEN h < 15e-2 THEN 'r.floor' WHEN abs(h - 25e-1) < 15e-2 THEN 'r.ceiling' WHEN far <= 15e-1 THEN wall END AS surface_id, ax, az, (bx - ax) / l AS ux, (bz - az) / l AS uz FROM o WHERE i = 1)"""
 
@@ -178,7 +178,7 @@ s AS (SELECT region, n, h, CASE WHEN h < 15e-2 THEN 'floor' WHEN abs(h - 25e-1)
 @register("r25_projected_damage", PTS + _BANDS + """, f AS (SELECT s.region, kind, surface_id, n, CASE WHEN kind = 'wall' THEN (x - ax) * ux + (z - az) * uz ELSE x END AS a, CASE WHEN kind = 'wall' THEN y ELSE z END AS b, h FROM s JOIN b USING (region) WHERE kind IS NOT NULL)
 SELECT region, kind, surface_id, n, round(quantile_cont(a, 95e-2) - quantile_cont(a, 5e-2), 6) AS width, round(quantile_cont(b, 95e-2) - quantile_cont(b, 5e-2), 6) AS height, round(CASE WHEN kind = 'wall' THEN quantile_cont(b, 5e-2) WHEN kind = 'floor' THEN 0e0 ELSE any_value(h) END, 6) + 0e0 AS bottom FROM f GROUP BY region, kind, surface_id, n""")
 def r25(spark, d):
-    rows = base(spark, d, "points").where("floor(y / 28e-2) = frame_id % 300 % 10").selectExpr("frame_id % 300 as region", "x", "y", "z")
+    rows = base(spark, d, "points").selectExpr("frame_id % 30 * 10 + cast(least(floor(y / 28e-2), 9) as bigint) as region", "x", "y", "z")
     walls = [("r.w1", 1.0, -6.0, 1.0, 6.0), ("r.w2", -6.0, 2.0, 6.0, 2.0), ("r.w3", -3.0, -6.0, -3.0, 0.0)]
     rooms = rows.select("region").distinct().withColumns({"room": F.lit("r"), "ceiling": F.lit(2.5), "walls": F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(w, ("wall", "ax", "az", "bx", "bz"), strict=True)]) for w in walls])})
     return damage.projected(rows, rooms, "region", least=5, far=1.5, digits=6).select("region", "kind", "surface_id", "n", "width", "height", "bottom")

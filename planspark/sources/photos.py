@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from planspark.operators.runs import even_picks
 from planspark.sources.capture import PHOTO_TYPES, listing
+from planspark.sources.files import write_atomic
 
 # Tags of the photo metadata format.
 ORIENTATION, MODEL, EXIF, GPS, FOCAL_MM, FOCAL_35 = 0x0112, 0x0110, 0x8769, 0x8825, 0x920A, 0xA405
@@ -79,6 +82,31 @@ def header(data: bytes) -> dict[str, object]:
     return {"w": w, "h": h, "orientation": int(tags.get(ORIENTATION) or 1), "model": tags.get(MODEL), "f_mm": number(FOCAL_MM), "f35": number(FOCAL_35), "gps": GPS in tags, "error": None}
 
 
+def tagged(jpeg: bytes, f35: int, orientation: int = 1, model: str = "") -> bytes:
+    """A JPEG file with metadata of its lens put in front, in place of what it had."""
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
+    name = model.encode("ascii", "replace") + b"\0"
+    place = 8 + 2 + 3 * 12 + 4
+    exif = place + len(name) + len(name) % 2
+    entries = struct.pack("<HHII", MODEL, 2, len(name), place) + struct.pack("<HHIHH", ORIENTATION, 3, 1, orientation, 0) + struct.pack("<HHII", EXIF, 4, 1, exif)
+    if len(name) <= 4:
+        entries = struct.pack("<HHI4s", MODEL, 2, len(name), name) + entries[12:]
+    tiff = b"II*\0" + struct.pack("<IH", 8, 3) + entries + bytes(4) + name + bytes(len(name) % 2) + struct.pack("<HHHIHHI", 1, FOCAL_35, 3, 1, f35, 0, 0)
+    body, at = b"Exif\0\0" + tiff, 2
+    while jpeg[at : at + 2] == b"\xff\xe1":
+        at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + jpeg[at:]
+
+
+def write_proxies(folder: Path, stills: dict[str, bytes], f35: int, truth: dict[str, object]) -> None:
+    """Stills of a room as photos with their lens, and beside them what is true of them."""
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, jpeg in stills.items():
+        write_atomic(folder / name, tagged(jpeg, f35))
+    write_atomic(folder / "truth.json", json.dumps(truth, indent=1, sort_keys=True))
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, room, name, header columns) of every photo below a folder."""
     files = listing(spark, path).where(F.col("extension").isin(*PHOTO_TYPES))

@@ -37,6 +37,17 @@ def test_photo_headers():
         assert photos.header(broken)["error"]
 
 
+def test_proxies_carry_their_lens(tmp_path):
+    for model in ("", "abc", "Phone 9"):
+        for before in (_jpeg(40, 30), _jpeg(40, 30, _tiff(26, 6, True))):
+            got = photos.header(photos.tagged(before, 13, 3, model))
+            assert (got["w"], got["h"], got["f35"], got["orientation"], got["model"] or "", got["gps"], got["error"]) == (40, 30, 13.0, 3, model, False, None)
+    photos.write_proxies(tmp_path / "room", {"a.jpg": _jpeg(40, 30)}, 13, {"area": 12.0})
+    assert photos.header((tmp_path / "room" / "a.jpg").read_bytes())["f35"] == 13 and json.loads((tmp_path / "room" / "truth.json").read_text()) == {"area": 12.0}
+    with pytest.raises(ValueError):
+        photos.tagged(b"png", 13)
+
+
 def test_rooms_of_photos(spark, tmp_path):
     for room, n in (("kitchen", 11), ("hall", 1), ("bed", 3)):
         (tmp_path / room).mkdir()

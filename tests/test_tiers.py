@@ -188,3 +188,20 @@ def test_streamed_chain(spark, tmp_path):
     q.stop()
     got = {x.window: x for x in spark.sql("select * from chain").collect()}
     assert len(got) == 5 and all(got[w].s == pytest.approx(want[w][0]) and np.allclose([got[w].tx, got[w].ty, got[w].tz], want[w][1]) for w in got)
+
+
+def test_commands_are_guarded(tmp_path):
+    import sys
+
+    from planspark import guard
+
+    small = guard.guarded([sys.executable, "-c", "print('ok'); raise SystemExit(3)"], 500, 0.1, tmp_path / "log")
+    assert (small["code"], small["ended"]) == (3, False) and (tmp_path / "log").read_text() == "ok\n"
+    large = guard.guarded([sys.executable, "-c", "import time; x = b'x' * 300_000_000; time.sleep(60)"], 150, 0.1)
+    assert large["code"] == 137 and large["peak_mb"] > 150 and large["seconds"] < 30
+    lines, counts = guard.health({"a": lambda: True, "b": lambda: None, "c": lambda: False, "d": lambda: 1 / 0})
+    assert counts == {"pass": 1, "warn": 1, "fail": 2} and lines[3].startswith("fail d (ZeroDivisionError")
+    states = iter(["queued", "running", "done"])
+    assert guard.wait_for(lambda: next(states), every=0) == "done"
+    with pytest.raises(TimeoutError):
+        guard.wait_for(lambda: "running", every=0, most=0)
