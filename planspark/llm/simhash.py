@@ -496,7 +496,8 @@ def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str =
     rows = prints.select("id", "h", "p").join(roots, prints["p"] == roots["node"], "left").select("id", "h", F.coalesce("root", "p").alias("root")).distinct()
     first = rows.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
     later = materialize(rows.join(first, "root").where("struct(id, h) <> first").select(F.col("id").alias("_id"), F.col("h").alias("_h")))
-    hashed = docs.where(F.col(id_col).isNotNull()).withColumn("_hash", F.xxhash64(text))
-    kept = hashed.join(later, (hashed[id_col] == later["_id"]) & (hashed["_hash"] == later["_h"]), "left_anti").dropDuplicates([id_col, "_hash"])
+    name = "_hash" + "_" * max(map(len, docs.columns))  # no column of the documents
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn(name, F.xxhash64(text))
+    kept = hashed.join(later, (hashed[id_col] == later["_id"]) & (hashed[name] == later["_h"]), "left_anti").dropDuplicates([id_col, name])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))

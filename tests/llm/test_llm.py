@@ -389,6 +389,14 @@ def test_keep_first_edges(spark, edge):
     assert sorted((r.name or "", r.text) for r in kept) == [("", "thirteen"), ("a", "ONE two three four five six"), ("b", "seven eight nine ten eleven twelve"), ("c", "thirteen")]
 
 
+def test_keep_first_keeps_clashing_columns(spark):
+    names = "doc_id long, text string, _hash string, id string, h string, p string, cell string, root string, _id string"
+    rows = [(k, "some words of a text that comes again", "a", "b", "c", "d", "e", "f", "g") for k in (2, 1)] + [(3, "other words altogether in this one", None, None, None, None, None, None, None)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, names), 5)
+    assert kept.columns == [n.split()[0] for n in names.split(", ")]
+    assert sorted((r.doc_id, r._hash, r.id, r._id) for r in kept.collect()) == [(1, "a", "b", "g"), (3, None, None, None)]
+
+
 @pytest.mark.parametrize("block", [2048, 24])
 def test_keep_first_brute_force(spark, monkeypatch, block):
     """Groups of near copies whose members are partly similar: the components of all pairs of shingle sets."""
