@@ -37,6 +37,13 @@ def index_windows(sizes: DataFrame, size: int, overlap: int, keys: Sequence[str]
     return out.select(*keys, "first", (F.least(F.col("first") + size, F.col("n")) - 1).alias("last"))
 
 
+def window_overlaps(sizes: DataFrame, size: int, overlap: int, keys: Sequence[str]) -> DataFrame:
+    """(first, shared): positions that each window of ``index_windows`` shares with the next one, from their bounds alone."""
+    windows = index_windows(sizes.withColumn("_n", F.col("n")), size, overlap, [*keys, "_n"]).where(F.col("first") < F.col("_n") - size)
+    after = F.least(F.col("first") + (size - overlap), F.col("_n") - size)
+    return windows.select(*keys, "first", (F.col("last") - after + 1).alias("shared"))
+
+
 def listed_once(items: DataFrame, keys: Sequence[str], order: Sequence[str], wide: str = "wide") -> DataFrame:
     """Surface-wide items are kept only where they come first of their key; others always stay."""
     w = Window.partitionBy(*keys).orderBy(*order)

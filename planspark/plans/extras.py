@@ -120,10 +120,7 @@ def j8(spark, d):
 
 @register("j12_shared_views", FRM + """, n AS (SELECT capture_id, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT capture_id, n, unnest(CASE WHEN n <= 16 THEN [0] ELSE list_distinct(list_concat(range(0, n - 16 + 1, 12), [n - 16])) END) AS first FROM n), w AS (SELECT *, least(first + 16, n) - 1 AS last, lead(first) OVER (PARTITION BY capture_id ORDER BY first) AS next FROM s) SELECT capture_id, first, CAST(last - next + 1 AS BIGINT) AS shared FROM w WHERE next IS NOT NULL""")
 def j12(spark, d):
-    windows = R.index_windows(base(spark, d, "frames").groupBy("capture_id").agg(F.count("*").alias("n")), 16, 4, ["capture_id"])
-    views = windows.withColumn("k", F.row_number().over(Window.partitionBy("capture_id").orderBy("first"))).select("capture_id", "k", "first", F.explode(F.sequence("first", "last")).alias("view"))
-    later = views.select("capture_id", (F.col("k") - 1).alias("k"), "view")
-    return views.join(later, ["capture_id", "k", "view"]).groupBy("capture_id", "first").agg(F.count("*").alias("shared"))
+    return R.window_overlaps(base(spark, d, "frames").groupBy("capture_id").agg(F.count("*").alias("n")), 16, 4, ["capture_id"])
 
 
 @register("j15_door_match", REG + """, o AS (SELECT d_ord, room_id, length * 3e0 AS x, area * 5e0 AS z FROM regions), p AS (SELECT a.room_id AS a, b.room_id AS b, a.d_ord AS da, b.d_ord AS db, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM o a JOIN o b ON a.room_id < b.room_id AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 601e-3),

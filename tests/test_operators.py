@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planspark.functions import scalars
 from planspark.operators import geometry, graph, points, rules, runs
-from planspark.plans import config
+from planspark.plans import config, registry
 from planspark.sources import capture
 
 
@@ -73,6 +73,39 @@ def test_index_windows(spark):
     assert [(r["first"], r["last"]) for r in rows if r.c == 2] == [(0, 2)]
 
 
+def _matches_sql(spark, name, table, rows, schema, folder):
+    """The query and its SQL over one made-up table; returns the query's frame."""
+    import duckdb
+
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    ours, theirs = registry.queries()[name](spark, str(folder)), con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in theirs.description]
+    want = theirs.fetchall()
+    assert want and sorted(map(repr, map(tuple, ours.select(*names).collect()))) == sorted(map(repr, want))
+    return ours
+
+
+def _orders(n):
+    """Frames of three captures in turn and some without one."""
+    return [(k, None if k % 10 == 9 else k * 7 % 3, "O", 1.0) for k in range(n)]
+
+
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_views_come_from_bounds(spark, tmp_path):
+    """No view of its own row, no join that AQE could broadcast; captures without a name count as one."""
+    assert "Join" not in _plan(_matches_sql(spark, "j12_shared_views", "orders", _orders(400), ORDERS, tmp_path))
+    rows = runs.window_overlaps(spark.createDataFrame([(1, 11), (2, 3), (3, 4), (4, 6)], "c int, n long"), 4, 2, ["c"]).collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 2), (1, 2, 2), (1, 4, 2), (1, 6, 3), (4, 0, 2)]
+
+
 def test_even_picks(spark):
     rows = spark.createDataFrame([(1, i) for i in range(11)], "c int, i int")
     assert runs.even_picks(rows, 8, ["c"], ["i"]).count() == 8
