@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,15 @@ def window_overlaps(sizes: DataFrame, size: int, overlap: int, keys: Sequence[st
     return windows.select(*keys, "first", (F.col("last") - after + 1).alias("shared"))
 
 
+def brackets(rows: DataFrame, keys: Sequence[str], at: str, known: Column, before: str, after: str) -> DataFrame:
+    """Rows with the last value of ``known`` up to them and the first one from them on, nulls skipped.
+
+    One pass in either order: a frame that runs to its partition's end would be evaluated anew for each row.
+    """
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc_nulls_last(at), F.desc_nulls_first(at)))
+    return rows.withColumn(before, F.last(known, True).over(up)).withColumn(after, F.last(known, True).over(down))
+
+
 def listed_once(items: DataFrame, keys: Sequence[str], order: Sequence[str], wide: str = "wide") -> DataFrame:
     """Surface-wide items are kept only where they come first of their key; others always stay."""
     w = Window.partitionBy(*keys).orderBy(*order)

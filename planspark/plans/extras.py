@@ -93,11 +93,8 @@ WINDOW p AS (PARTITION BY capture_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING
 def p26(spark, d):
     """Positions between known poses, interpolated from the brackets on both sides; null outside."""
     rows = base(spark, d, "frames").select("capture_id", F.col("frame_id").alias("t"), F.when(F.col("frame_id") % 3 == 0, F.col("x")).alias("x"))
-    w = Window.partitionBy("capture_id").orderBy("t")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("x").isNotNull(), F.col("t"))
-    out = rows.withColumns({"t0": F.last(known, True).over(back), "x0": F.last("x", True).over(back), "t1": F.first(known, True).over(ahead), "x1": F.first("x", True).over(ahead)})
-    x = F.when(F.col("t1") == F.col("t0"), F.col("x0")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("t") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0)))
+    out = R.brackets(rows, ["capture_id"], "t", F.when(F.col("x").isNotNull(), F.struct("t", "x")), "a", "b")
+    x = F.when(F.col("b.t") == F.col("a.t"), F.col("a.x")).otherwise(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("t") - F.col("a.t")) / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0)))
     return out.select("capture_id", "t", F.round(x, 6).alias("x"))
 
 

@@ -106,6 +106,14 @@ def test_shared_views_come_from_bounds(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(1, 0, 2), (1, 2, 2), (1, 4, 2), (1, 6, 3), (4, 0, 2)]
 
 
+def test_pose_gaps_in_two_passes(spark, tmp_path):
+    """No frame runs to the end of its partition, where Spark evaluates it anew for each row."""
+    assert "unboundedfollowing" not in _plan(_matches_sql(spark, "p26_pose_gaps", "orders", _orders(200), ORDERS, tmp_path)).lower()
+    rows = spark.createDataFrame([(1, 2, None), (1, 4, "d"), (1, 5, None), (1, 7, "g"), (1, 9, None), (2, 1, None)], "c int, t int, v string")
+    found = {(r.c, r.t): (r.p, r.q) for r in runs.brackets(rows, ["c"], "t", F.col("v"), "p", "q").collect()}
+    assert found == {(1, 2): (None, "d"), (1, 4): ("d", "d"), (1, 5): ("d", "g"), (1, 7): ("g", "g"), (1, 9): ("g", None), (2, 1): (None, None)}
+
+
 def test_even_picks(spark):
     rows = spark.createDataFrame([(1, i) for i in range(11)], "c int, i int")
     assert runs.even_picks(rows, 8, ["c"], ["i"]).count() == 8
