@@ -123,10 +123,13 @@ def j12(spark, d):
 @register("j15_door_match", REG + """, o AS (SELECT d_ord, room_id, length * 3e0 AS x, area * 5e0 AS z FROM regions), p AS (SELECT a.room_id AS a, b.room_id AS b, a.d_ord AS da, b.d_ord AS db, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM o a JOIN o b ON a.room_id < b.room_id AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 601e-3),
 k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY distance, da, db) AS i FROM p) SELECT a, b, da, db, distance FROM k WHERE i = 1""")
 def j15(spark, d):
-    """Closest pair of doors of every two rooms; doors are compared within and next to their grid cell only."""
+    """Closest pair of doors of every two rooms; doors are compared within and next to their grid cell only.
+
+    Doors of a room in one place have the same distances, so the first of them stands for all.
+    """
     from planspark.operators.joins import near_pairs
 
-    doors = base(spark, d, "regions").selectExpr("d_ord as id", "room_id", "length * 3e0 as x", "area * 5e0 as z", "0 as k")
+    doors = base(spark, d, "regions").selectExpr("d_ord as id", "room_id", "length * 3e0 as x", "area * 5e0 as z").groupBy("room_id", "x", "z").agg(F.min("id").alias("id")).withColumn("k", F.lit(0))
     pairs = near_pairs(doors, 0.601, "id", ["k"])
     rooms = doors.select("id", "room_id")
     named = pairs.join(rooms.withColumnsRenamed({"id": "a", "room_id": "ra"}), "a").join(rooms.withColumnsRenamed({"id": "b", "room_id": "rb"}), "b").where("ra <> rb")

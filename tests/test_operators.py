@@ -122,6 +122,21 @@ def test_nearest_in_time_in_two_passes(spark, tmp_path):
     assert sorted((r.id, r.match, r.gap) for r in found) == [(0, 5, 5), (10, 5, 5), (20, 21, 1), (33, 40, 7), (50, 40, 10)]
 
 
+def test_doors_in_one_place_meet_once(spark, tmp_path, monkeypatch):
+    """Of doors in one place the first is compared; the pairs grow with the places, not with the doors."""
+    pairs, near = [], joins.near_pairs
+
+    def counted(*args):
+        pairs.append((found := near(*args)).count())
+        return found
+
+    monkeypatch.setattr(joins, "near_pairs", counted)
+    parts = [(k, 1) for start in (0, 900, 1800) for k in range(start, start + 40)] + [(5, 1), (None, 1)]
+    _matches_sql(spark, "j15_door_match", "part", parts, "p_partkey long, p_size int", tmp_path)
+    places = [(3 * (k * 13 % 150 / 100 + 3e-4), 5 * (k * 19 % 90 / 100 + 3e-4)) for k in range(40)]
+    assert pairs == [sum(math.dist(p, q) <= 0.601 for k, p in enumerate(places) for q in places[:k])]
+
+
 def test_even_picks(spark):
     rows = spark.createDataFrame([(1, i) for i in range(11)], "c int, i int")
     assert runs.even_picks(rows, 8, ["c"], ["i"]).count() == 8
