@@ -10,10 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planspark.operators.runs import brackets
+
 
 def _nine(name: str) -> list[Column]:
     return [F.col(f"{name}{i}") for i in range(9)]
@@ -148,10 +150,7 @@ def pose_scores(views: DataFrame, keys: Sequence[str], id_col: str, near: float
 
 def gap_poses(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rotations (qx..qw) of all times t between known ones by slerp, and the nearest known one outside."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("qw").isNotNull(), F.struct("t", "qx", "qy", "qz", "qw"))
-    out = rows.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(ahead))
+    out = brackets(rows, keys, "t", F.when(F.col("qw").isNotNull(), F.struct("t", "qx", "qy", "qz", "qw")), "_a", "_b")
     out = out.withColumn("_a", F.coalesce("_a", "_b")).withColumn("_b", F.coalesce("_b", "_a"))
     size = lambda q: F.sqrt(sum((F.col(f"{q}.{c}") * F.col(f"{q}.{c}") for c in ("qx", "qy", "qz", "qw")), F.lit(0.0)))
     dot = sum((F.col(f"_a.{c}") * F.col(f"_b.{c}") for c in ("qx", "qy", "qz", "qw")), F.lit(0.0)) / (size("_a") * size("_b"))

@@ -137,6 +137,11 @@ def test_doors_in_one_place_meet_once(spark, tmp_path, monkeypatch):
     assert pairs == [sum(math.dist(p, q) <= 0.601 for k, p in enumerate(places) for q in places[:k])]
 
 
+def test_slerp_in_two_passes(spark, tmp_path):
+    """No frame runs to the end of its partition."""
+    assert "unboundedfollowing" not in _plan(_matches_sql(spark, "p26_slerp", "orders", _orders(200), ORDERS, tmp_path)).lower()
+
+
 def test_even_picks(spark):
     rows = spark.createDataFrame([(1, i) for i in range(11)], "c int, i int")
     assert runs.even_picks(rows, 8, ["c"], ["i"]).count() == 8
