@@ -12,7 +12,9 @@ size, which links nearly all that can be linked; only what its points still leav
 again, the largest component's blocks against the rest. Of the links of a run a spanning forest is passed on, never all
 pairs. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 
-``keep_first`` links whole sets of shingles by their similarity instead (see ``similar_links``).
+``keep_first`` takes the same steps for the similarity of whole sets of shingles, over several fingerprints: popcounts of
+two-bit segments, a grid of segments' counts, the Manhattan bound, the Hamming distance, and the exact sets at the end (see
+``similar_links``).
 
 Edge cases: a null, empty or blank text has fingerprint zero (an empty set) and is linked like any other. Fewer words
 than a shingle: the whole sequence is one shingle. Ids may be of any type that has an order. Rows that repeat an id and a
@@ -223,9 +225,10 @@ def _link_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             yield _edges(p[a].view(np.int64), p[b].view(np.int64))
 
 
-def hot_cells(cells: DataFrame) -> DataFrame:
-    """(cell, blocks) of cells with more than ``BLOCK`` points; counted with partial sums, so a hot cell is no hot task."""
-    return materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks")))
+def hot_cells(cells: DataFrame, wide: int = 1) -> DataFrame:
+    """(cell, blocks) of cells with more than ``wide`` times ``BLOCK`` points; counted with partial sums, so a hot cell is no hot task."""
+    most = wide * BLOCK
+    return materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).select("cell", F.ceil(F.col("n") / F.lit(most)).alias("blocks")))
 
 
 def dealt(cells: DataFrame, hot: DataFrame) -> DataFrame:
@@ -305,14 +308,18 @@ CARRIED = 4
 #: Nearest candidates of a point that a crowded run passes on at first.
 NEAREST = 2
 _TABLE = 40
+#: Blocks that a run of the wide grid may hold, and near pairs of a run that are held before they are thinned.
+WIDE, _HELD = 8, 1 << 20
 
 
 def wide_grid(rows: int) -> tuple[int, int, int]:
-    """(bits of a cell, cells a point, fingerprints): cells of some 2^11 points, and as many as the recall needs.
+    """(bits of a cell, cells a point, fingerprints): a cell is the popcounts of half as many segments.
 
-    A longer cell is shared more seldom, so the number of cells grows with it: recall is the same at every size.
+    Half of all segments count one, so the densest of s segments' cells holds a share of 2^-s: at most 2^14 points. A
+    longer cell is shared more seldom, so the number of cells grows with it: recall is the same at every size. Segments
+    whose bits agree have one count, so the recall of bits is a lower bound for that of counts.
     """
-    width = max(16, math.ceil(math.log2(max(2, rows))) - 11)
+    width = 2 * max(8, math.ceil(math.log2(max(2, rows))) - 14)
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**width))
     prints = -(-tables * width // 64)
     return width, prints * 64 // width, prints
@@ -325,12 +332,19 @@ def near_limit(prints: int) -> int:
 
 
 def wide_cells(fps: np.ndarray, width: int, tables: int) -> np.ndarray:
-    """Cells (row, table) of fingerprints (row, k): ``width`` bits each, with the number of the table above them."""
+    """Cells (row, table) of fingerprints (row, k): popcounts of ``width`` / 2 segments each, with the number of the table above them."""
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, : width * tables]
-    value = bits.reshape(len(fps), tables, width) @ (1 << np.arange(width, dtype=np.int64))
+    counts = bits[:, ::2] + bits[:, 1::2]
+    value = counts.reshape(len(fps), tables, width // 2) @ (3 ** np.arange(width // 2, dtype=np.int64))
     return value + (np.arange(tables, dtype=np.int64) << _TABLE)
 
 
+def unary(fps: np.ndarray) -> np.ndarray:
+    """The embedding with a segment's count as that many low bits: differing bits of two are their Manhattan distance."""
+    low, after = np.uint64(_LOW), fps >> np.uint64(1)
+    return ((fps | after) & low) | ((fps & after & low) << np.uint64(1))
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints (..., k)."""
     total = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.uint16)
@@ -379,27 +393,39 @@ def _thinned(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, crowded): near pairs of runs (cell, block); a crowded run passes on the nearest ones and its cell."""
+    """(a, b, crowded): near pairs of runs (cell, block), by the Manhattan bound and then the Hamming distance; a crowded
+    run passes on the nearest ones and its cell."""
     limit = near_limit(CARRIED)
     for table, starts in _whole_runs(batches, 2):
         cell, p = table.column("cell").to_numpy(), table.column("p").to_numpy()
         fps = np.stack([table.column(f"f{k}").to_numpy() for k in range(CARRIED)], 1).view(np.uint64)
+        points = unary(fps)
         run = np.repeat(np.arange(len(starts)), sizes := np.diff(np.concatenate([starts, [len(p)]])))
+        full = np.zeros(len(starts), bool)
         ends: list[tuple[np.ndarray, ...]] = []
-        for a, b in _small_pairs(starts, len(p)):
+
+        def near(a: np.ndarray, b: np.ndarray, fps=fps) -> tuple[np.ndarray, ...]:
             h = differing(fps[a], fps[b])
             ok = h <= limit
-            ends.append((a[ok], b[ok], h[ok]))
+            return a[ok], b[ok], h[ok]
+
+        for a, b in _small_pairs(starts, len(p)):
+            ok = differing(points[a], points[b]) <= limit
+            ends.append(near(a[ok], b[ok]))
         for at, n in _large_runs(starts, len(p)):
-            own = fps[at : at + n]
-            for i in range(0, n, 256):
-                h = differing(own[i : i + 256, None], own[None, :])
-                a, b = np.nonzero((h <= limit) & (np.arange(n) > np.arange(i, min(n, i + 256))[:, None]))
-                ends.append((at + i + a, at + b, h[a, b]))
+            own, held, step = points[at : at + n], [], max(16, min(256, (1 << 19) // n))
+            for i in range(0, n, step):
+                a, b = np.nonzero((differing(own[i : i + step, None], own[None, :]) <= limit) & (np.arange(n) > np.arange(i, min(n, i + step))[:, None]))
+                held.append(near(at + i + a, at + b))
+                if sum(len(x[0]) for x in held) > _HELD:
+                    a, b, h = (np.concatenate(x) for x in zip(*held, strict=True))
+                    keep = _thinned(a, b, h)
+                    held, full[run[at]] = [(a[keep], b[keep], h[keep])], True
+            ends += held
         if not ends:
             continue
         a, b, h = (np.concatenate(x) for x in zip(*ends, strict=True))
-        crowded = (np.bincount(run[a], minlength=len(starts)) > NEAREST * sizes)[run[a]]
+        crowded = (full | (np.bincount(run[a], minlength=len(starts)) > NEAREST * sizes))[run[a]]
         keep = ~crowded
         keep[crowded] = _thinned(a[crowded], b[crowded], h[crowded])
         yield _edges(p[a[keep]], p[b[keep]], crowded=np.where(crowded[keep], cell[a[keep]], -1))
@@ -414,9 +440,10 @@ def _verify_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one_block, number = own.column("block")[0].as_py() == 0, own.column("cell")[0].as_py() >> _TABLE
             fps, cells = (np.asarray(own.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64).reshape(n, -1) for c in ("fps", "cells"))
             fps = fps.view(np.uint64)
+            points = unary(fps[:, :CARRIED])
             ends: list[tuple[np.ndarray, ...]] = []
             for i in range(0, n, 256):
-                near = (differing(fps[i : i + 256, None, :CARRIED], fps[None, :, :CARRIED]) <= near_limit(CARRIED)) & (root[i : i + 256, None] != root[None, :]) & (np.arange(n) > np.arange(i, min(n, i + 256))[:, None])
+                near = (differing(points[i : i + 256, None], points[None, :]) <= near_limit(CARRIED)) & (root[i : i + 256, None] != root[None, :]) & (np.arange(n) > np.arange(i, min(n, i + 256))[:, None])
                 if not one_block:
                     near &= side[i : i + 256, None] != side[None, :]
                 a, b = np.nonzero(near)
@@ -460,14 +487,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, prints: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
     """(a, b) digests of shingle sets that connect all sets of similarity 0.8 or more, up to the grid's recall.
 
-    Equal sets are one point. Points that share a cell of any fingerprint and are near over the carried ones are
-    candidates, and each is verified by its exact sets. A crowded run, or a cell of several blocks, first passes on the
+    Equal sets are one point. Points that share a cell of segments' popcounts and are near over the carried fingerprints,
+    by the Manhattan distance of the popcounts and then by the Hamming distance, are candidates, and each is verified by
+    its exact sets. A crowded run, or a cell of several blocks, first passes on the
     nearest candidates only; what they leave in different components is compared again where the points meet, with all
     fingerprints and the exact sets at hand, so that only links leave the task.
     """
     points = materialize(prints.groupBy("p").agg(F.min(F.struct("id", "h")).alias("row"), F.first("fps").alias("fps"), F.first("cells").alias("cells")))
     cells = points.select(F.explode("cells").alias("cell"), "p", *[F.col("fps")[k].alias(f"f{k}") for k in range(CARRIED)])
-    hot = hot_cells(cells.select("cell", "p"))
+    hot = hot_cells(cells.select("cell", "p"), WIDE)
     run = dealt(cells, hot).select("cell", "block", "p", *[f"f{k}" for k in range(CARRIED)])
     found = materialize(run.mapInArrow(_candidates, "a long, b long, crowded long").distinct(), NARROW)
     pairs = materialize(found.select("a", "b").distinct())

@@ -6,6 +6,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -416,6 +417,38 @@ def test_keep_first_brute_force(spark, monkeypatch, block):
     assert set(want) <= kept and len(kept) <= 1.02 * len(set(want)) + 1
 
 
+def test_wide_grid_is_one_of_popcounts():
+    """Cells name the counts of two-bit segments; unary codes give their Manhattan distance, a bound of the Hamming one."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 64, (60, 16), dtype=np.uint64)
+    counts = np.array([[[(int(f) >> s & 3).bit_count() for s in range(0, 64, 2)] for f in row] for row in fps])
+    far = np.abs(counts[:, None] - counts[None, :]).sum((2, 3))
+    assert (simhash.differing(simhash.unary(fps)[:, None], simhash.unary(fps)[None, :]) == far).all()
+    assert (far <= simhash.differing(fps[:, None], fps[None, :])).all()
+    low = np.uint64(simhash._LOW)
+    turned = ((fps & low) << np.uint64(1)) | ((fps >> np.uint64(1)) & low)  # other bits, the same counts
+    assert (simhash.wide_cells(fps, 16, 64) == simhash.wide_cells(turned, 16, 64)).all()
+    same = simhash.wide_cells(fps, 16, 64)[:, None] == simhash.wide_cells(fps, 16, 64)[None, :]
+    own = counts.reshape(60, 64, 8)
+    assert (same == (own[:, None] == own[None, :]).all(3)).all()
+
+
+@pytest.mark.parametrize("held", [1 << 20, 500])
+def test_large_runs_pass_on_the_nearest(monkeypatch, held):
+    """A run whose near pairs are thinned on the way passes on what it does when it is thinned at the end."""
+    monkeypatch.setattr(simhash, "_HELD", held)
+    rng = np.random.default_rng(6)
+    fps = np.repeat(rng.integers(0, 1 << 64, (1, 4), dtype=np.uint64), 700, 0)
+    for k in range(4):
+        fps[:, k] ^= np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)
+    batch = pa.RecordBatch.from_pydict({"cell": np.zeros(700, np.int64), "block": np.zeros(700, np.int64), "p": np.arange(700)} | {f"f{k}": fps[:, k].view(np.int64) for k in range(4)})
+    found = pa.Table.from_batches(simhash._candidates(iter([batch])))
+    assert set(found["crowded"].to_pylist()) == {0} and found.num_rows <= 2 * 700
+    far = simhash.differing(fps[:, None], fps[None, :]).astype(int) + 1000 * np.eye(700, dtype=int)
+    nearest = {(min(i, int(j)), max(i, int(j))) for i, row in enumerate(far) for j in [row.argmin()] if (row == row.min()).sum() == 1}
+    assert nearest <= set(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+
+
 def test_wide_grid_keeps_its_recall():
     for rows in (1, 10**6, 10**9, 10**11):
         width, tables, prints = simhash.wide_grid(rows)
