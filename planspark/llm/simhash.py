@@ -305,11 +305,13 @@ SIMILARITY, RECALL = 0.8, 0.99
 AGREE = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: Fingerprints that travel with a point; the others only with points that are compared a second time.
 CARRIED = 4
-#: Nearest candidates of a point that a crowded run passes on at first.
+#: Nearest candidates of a point from which a crowded run's forest is taken.
 NEAREST = 2
 _TABLE = 40
 #: Blocks that a run of the wide grid may hold, and near pairs of a run that are held before they are thinned.
 WIDE, _HELD = 8, 1 << 20
+#: Near pairs of a part of a run up to which all parts of a batch are looked at together.
+_FEW = 256
 
 
 def wide_grid(rows: int) -> tuple[int, int, int]:
@@ -392,10 +394,47 @@ def _thinned(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the pairs, nearest first, that connect all ends without a cycle."""
+    group, taken = {x: x for x in np.union1d(a, b).tolist()}, []
+    order = np.argsort(h, kind="stable")
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        while group[y] != y:
+            group[y] = y = group[group[y]]
+        if x != y:
+            group[x] = y
+            taken.append(i)
+    return np.array(taken, np.int64)
+
+
+def table_masks(width: int) -> np.ndarray:
+    """Bits (table, fingerprint) of those cells that the carried fingerprints hold whole."""
+    table = np.arange(64 * CARRIED) // width
+    return np.packbits(table == np.arange(64 * CARRIED // width)[:, None], axis=1, bitorder="little").view("<u8")
+
+
+def new_pairs(a: np.ndarray, b: np.ndarray, number: np.ndarray, points: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Places of the pairs that share no cell of a table before their run's ``number``, as far as carried fingerprints tell.
+
+    Unary codes are equal where segments' counts are, so they tell shared cells.
+    """
+    keep = np.arange(len(a))
+    for t, mask in enumerate(masks[: number.max(initial=0)]):
+        x, y = a[keep], b[keep]
+        shared = number[keep] > t
+        for k in np.flatnonzero(mask):
+            shared &= (points[x, k] ^ points[y, k]) & mask[k] == 0
+        keep = keep[~shared]
+    return keep
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], width: int = 16) -> Iterator[pa.RecordBatch]:
     """(a, b, crowded): near pairs of runs (cell, block), by the Manhattan bound and then the Hamming distance; a crowded
-    run passes on the nearest ones and its cell."""
-    limit = near_limit(CARRIED)
+    run passes on a forest of the nearest ones and its cell. A pair is left to the first cell of the carried fingerprints
+    that it shares: there it is passed on, or else that cell is crowded or hot and compared again."""
+    limit, masks = near_limit(CARRIED), table_masks(width)
     for table, starts in _whole_runs(batches, 2):
         cell, p = table.column("cell").to_numpy(), table.column("p").to_numpy()
         fps = np.stack([table.column(f"f{k}").to_numpy() for k in range(CARRIED)], 1).view(np.uint64)
@@ -404,30 +443,40 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(len(starts), bool)
         ends: list[tuple[np.ndarray, ...]] = []
 
-        def near(a: np.ndarray, b: np.ndarray, fps=fps) -> tuple[np.ndarray, ...]:
+        def near(a: np.ndarray, b: np.ndarray, fps=fps, points=points, number=cell >> _TABLE) -> tuple[np.ndarray, ...]:
+            new = new_pairs(a, b, number[a], points, masks)
+            a, b = a[new], b[new]
             h = differing(fps[a], fps[b])
             ok = h <= limit
             return a[ok], b[ok], h[ok]
 
+        few: list[tuple[np.ndarray, np.ndarray]] = []  # taken together
         for a, b in _small_pairs(starts, len(p)):
             ok = differing(points[a], points[b]) <= limit
-            ends.append(near(a[ok], b[ok]))
+            few.append((a[ok], b[ok]))
         for at, n in _large_runs(starts, len(p)):
             own, held, step = points[at : at + n], [], max(16, min(256, (1 << 19) // n))
             for i in range(0, n, step):
                 a, b = np.nonzero((differing(own[i : i + step, None], own[None, :]) <= limit) & (np.arange(n) > np.arange(i, min(n, i + step))[:, None]))
+                if len(a) < _FEW:
+                    few.append((at + i + a, at + b))
+                    continue
                 held.append(near(at + i + a, at + b))
                 if sum(len(x[0]) for x in held) > _HELD:
                     a, b, h = (np.concatenate(x) for x in zip(*held, strict=True))
                     keep = _thinned(a, b, h)
                     held, full[run[at]] = [(a[keep], b[keep], h[keep])], True
             ends += held
+        if few:
+            ends.append(near(*(np.concatenate(x) for x in zip(*few, strict=True))))
         if not ends:
             continue
         a, b, h = (np.concatenate(x) for x in zip(*ends, strict=True))
         crowded = (full | (np.bincount(run[a], minlength=len(starts)) > NEAREST * sizes))[run[a]]
         keep = ~crowded
-        keep[crowded] = _thinned(a[crowded], b[crowded], h[crowded])
+        thin = np.flatnonzero(crowded)
+        thin = thin[_thinned(a[thin], b[thin], h[thin])]
+        keep[thin[_forest(a[thin], b[thin], h[thin])]] = True
         yield _edges(p[a[keep]], p[b[keep]], crowded=np.where(crowded[keep], cell[a[keep]], -1))
 
 
@@ -484,20 +533,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(check, "a long, b long"))
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, width: int, id_col: str, text: str, bits: int) -> DataFrame:
     """(a, b) digests of shingle sets that connect all sets of similarity 0.8 or more, up to the grid's recall.
 
     Equal sets are one point. Points that share a cell of segments' popcounts and are near over the carried fingerprints,
     by the Manhattan distance of the popcounts and then by the Hamming distance, are candidates, and each is verified by
-    its exact sets. A crowded run, or a cell of several blocks, first passes on the
-    nearest candidates only; what they leave in different components is compared again where the points meet, with all
-    fingerprints and the exact sets at hand, so that only links leave the task.
+    its exact sets. A pair comes from the first cell of ``bits`` bits that it shares. A crowded run, or a cell of several
+    blocks, first passes on a forest of the nearest candidates only; what they leave in different components is compared
+    again where the points meet, with all fingerprints and the exact sets at hand, so that only links leave the task.
     """
     points = materialize(prints.groupBy("p").agg(F.min(F.struct("id", "h")).alias("row"), F.first("fps").alias("fps"), F.first("cells").alias("cells")))
     cells = points.select(F.explode("cells").alias("cell"), "p", *[F.col("fps")[k].alias(f"f{k}") for k in range(CARRIED)])
     hot = hot_cells(cells.select("cell", "p"), WIDE)
     run = dealt(cells, hot).select("cell", "block", "p", *[f"f{k}" for k in range(CARRIED)])
-    found = materialize(run.mapInArrow(_candidates, "a long, b long, crowded long").distinct(), NARROW)
+    found = materialize(run.mapInArrow(lambda batches: _candidates(batches, bits), "a long, b long, crowded long").distinct(), NARROW)
     pairs = materialize(found.select("a", "b").distinct())
     needed = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).union(cells.join(hot, "cell", "left_semi").select("p")).distinct()
     rows = points.join(needed, "p", "left_semi").select("p", "row.id", "row.h")
@@ -520,7 +569,7 @@ def keep_first(docs: DataFrame, width: int, id_col: str = "doc_id", text: str =
     """
     shape = wide_grid(docs.count())
     prints = materialize(set_points(docs, width, id_col, text, shape))
-    roots = components(similar_links(docs, prints, width, id_col, text).distinct())
+    roots = components(similar_links(docs, prints, width, id_col, text, shape[0]).distinct())
     rows = prints.select("id", "h", "p").join(roots, prints["p"] == roots["node"], "left").select("id", "h", F.coalesce("root", "p").alias("root")).distinct()
     first = rows.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
     later = materialize(rows.join(first, "root").where("struct(id, h) <> first").select(F.col("id").alias("_id"), F.col("h").alias("_h")))

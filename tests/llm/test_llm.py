@@ -449,6 +449,32 @@ def test_large_runs_pass_on_the_nearest(monkeypatch, held):
     assert nearest <= set(zip(found["a"].to_pylist(), found["b"].to_pylist()))
 
 
+@pytest.mark.parametrize("width", [16, 18])
+def test_candidates_come_once(width):
+    """A near pair comes from the first cell it shares, or that cell is crowded; a crowded run passes on a forest."""
+    rng = np.random.default_rng(9)
+    fps = np.repeat(rng.integers(0, 1 << 64, (1, 4), dtype=np.uint64), 400, 0)
+    for _ in range(6):
+        for k in range(4):
+            fps[:, k] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    tables = 256 // width
+    cells = simhash.wide_cells(fps, width, tables)
+    cell, p = cells.T.ravel(), np.tile(np.arange(400), tables)
+    order = np.argsort(cell, kind="stable")
+    batch = pa.RecordBatch.from_pydict({"cell": cell[order], "block": np.zeros(len(cell), np.int64), "p": p[order]} | {f"f{k}": fps[p[order], k].view(np.int64) for k in range(4)})
+    found = pa.Table.from_batches(simhash._candidates(iter([batch]), width))
+    pairs = list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    assert len(pairs) == len(set(pairs))
+    crowded = [c for c in found["crowded"].to_pylist() if c >= 0]
+    size = dict(zip(*np.unique(cell, return_counts=True), strict=True))
+    assert crowded and all(n < size[c] for c, n in zip(*np.unique(crowded, return_counts=True), strict=True))
+    far = simhash.differing(fps[:, None], fps[None, :])
+    a, b = np.nonzero(np.triu(far <= simhash.near_limit(4), 1) & (cells[:, None] == cells[None, :]).any(2))
+    first = cells[a, (cells[a] == cells[b]).argmax(1)]
+    passed, again = set(pairs), set(crowded)
+    assert len(a) > 10_000 and all((i, j) in passed or c in again for i, j, c in zip(a.tolist(), b.tolist(), first.tolist(), strict=True))
+
+
 def test_wide_grid_keeps_its_recall():
     for rows in (1, 10**6, 10**9, 10**11):
         width, tables, prints = simhash.wide_grid(rows)
