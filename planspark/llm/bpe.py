@@ -95,19 +95,19 @@ class Vocabulary:
     def merge_many(self, words: list[bytes]) -> list[bytes]:
         """Ids, as little-endian 32-bit numbers, of many pre-tokens: those of similar length merge in step."""
         out: list[bytes] = [b""] * len(words)
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            width = next((g for g in MERGED_TOGETHER if len(w) <= g), 0)
-            if width:
-                groups.setdefault(width, []).append(i)
-            else:
-                out[i] = np.array(self.merge(w), "<u4").tobytes()
-        for width, rows in groups.items():
-            sizes = np.array([len(words[i]) for i in rows])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        group = np.searchsorted(MERGED_TOGETHER, lengths)
+        for i in np.flatnonzero(group == len(MERGED_TOGETHER)).tolist():
+            out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+        for g, width in enumerate(MERGED_TOGETHER):
+            own = np.flatnonzero(group == g)
+            rows, sizes = own.tolist(), lengths[own]
+            if not rows:
+                continue
             letters = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(-1, width)
-            ids, lengths = self._merge_rows(self._of_byte[letters], sizes)
+            ids, counts = self._merge_rows(self._of_byte[letters], sizes)
             flat = ids.astype("<u4").tobytes()
-            for k, (i, n) in enumerate(zip(rows, lengths.tolist(), strict=True)):
+            for k, (i, n) in enumerate(zip(rows, counts.tolist(), strict=True)):
                 out[i] = flat[4 * k * width : 4 * (k * width + n)]
         return out
 
@@ -299,15 +299,17 @@ class Codec:
         self.parts: dict[str, bytes] = {}  # ids of a pre-token
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.by_id = vocabulary.bytes
+        self.by_id, self.decimal = (np.array([*x, None], object)[:-1] for x in (vocabulary.bytes, [b"%d" % i for i in range(len(vocabulary.bytes))]))
 
     def _learn(self, words: set[str], others: set[str]) -> dict[str, bytes]:
         """Ids of new words, and of other chunks: pre-tokens walk the automaton, and what it lacks is merged."""
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
         rule = self.vocabulary.rule.findall
-        cut = {" " + w: (" " + w,) if w.isalpha() else rule(" " + w) for w in words} | {c: rule(c) for c in others}
-        fresh = list({p for ps in cut.values() for p in ps}.difference(self.parts))
+        plain = [w for w in words if w.isalpha()]  # one pre-token each
+        single = [" " + w for w in plain]
+        cut, own = {w: rule(" " + w) for w in words.difference(plain)}, {c: rule(c) for c in others}
+        fresh = list(set(single).union(*cut.values(), *own.values()).difference(self.parts))
         raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
         rank = self.lexicon.walk(raw)
         offsets, flat = (self.lexicon.offsets.astype(np.int64) * 4).tolist(), self.lexicon.ids.tobytes()
@@ -316,37 +318,32 @@ class Codec:
         unseen = np.flatnonzero(rank < 0).tolist()
         for i, ids in zip(unseen, self.vocabulary.merge_many([raw[i] for i in unseen]), strict=True):
             self.parts[fresh[i]] = ids
-        parts = self.parts
-        for w in words:
-            ps = cut[" " + w]
-            self.known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        return {c: b"".join([parts[p] for p in cut[c]]) for c in others}
+        part = self.parts.__getitem__
+        self.known.update(zip(plain, map(part, single), strict=True))
+        for w, ps in cut.items():
+            self.known[w] = b"".join(map(part, ps))
+        return {c: b"".join(map(part, ps)) for c, ps in own.items()}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         gc.disable()  # strings and bytes only: no cycles to look for
         try:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            get = self.known.get
             words, others = set(), set()
-            found = []
-            for t in texts:
-                parts = []
-                for first, rest in self._segments(t or ""):
-                    got = list(map(get, rest))
-                    if None in got:
-                        words.update([w for w, g in zip(rest, got, strict=True) if g is None])
+            found = [self._segments(t or "") for t in texts]
+            for parts in found:
+                for first, rest in parts:
+                    words.update(rest)
                     others.add(first)
-                    parts.append((first, rest, got))
-                found.append(parts)
             special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.special.items()}
-            others = self._learn(words, others - special.keys()) | special
+            others = self._learn(words.difference(self.known), others - special.keys()) | special
+            known = self.known.__getitem__
             out = []
             for parts in found:
                 flat = []
-                for first, rest, got in parts:
+                for first, rest in parts:
                     flat.append(others[first])
-                    flat += [g if g is not None else get(w) for w, g in zip(rest, got, strict=True)] if None in got else got
+                    flat += map(known, rest)
                 out.append(np.frombuffer(b"".join(flat), "<u4"))
             return out
         finally:
@@ -365,8 +362,8 @@ class Codec:
         parts = text.split(" ") if not (_ADJACENT.search(text) or text[0].isspace() or text[-1].isspace()) else _BETWEEN.split(text)
         return [(parts[0], parts[1:])]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return b"".join(self.by_id[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
 
 
 def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -456,12 +453,10 @@ def digests(docs: DataFrame, path: str, lexicon: Lexicon, id_col: str = "doc_id"
     kind = dict(docs.dtypes)[id_col]
 
     def run(codec: Codec, cols: dict[str, list]) -> dict[str, list]:
-        decimal = [b"%d" % i for i in range(len(codec.by_id))]
         out = {id_col: cols[id_col], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for found in codec.encode(cols[text]):
-            ids = found.tolist()
+        for ids in codec.encode(cols[text]):
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
+            out["ids_sha256"].append(sha256(b",".join(codec.decimal[ids].tolist())).hexdigest())
             out["decoded_sha256"].append(sha256(codec.decode(ids).encode()).hexdigest())
         return out
 

@@ -692,6 +692,16 @@ def test_bpe_fixed_cases(coder):
     assert codec.decode(broken) == tokenizer.decode(broken, skip_special_tokens=False)
 
 
+def test_bpe_tables_of_a_codec_serve_whole_texts(coder):
+    """Ids stay arrays: decimals and bytes are taken from tables that a codec makes once."""
+    tokenizer, vocabulary, codec, _ = coder
+    for ids, text in zip(codec.encode([*WEIRD, None, *WEIRD]), [*WEIRD, "", *WEIRD], strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert b",".join(codec.decimal[ids].tolist()) == ",".join(map(str, want)).encode()
+        assert codec.decode(ids) == codec.decode(ids.tolist()) == tokenizer.decode(want, skip_special_tokens=False)
+    assert len(codec.decimal) == len(codec.by_id) == len(vocabulary.bytes)
+
+
 def test_bpe_tables(spark, edge, nothing):
     path = queries.tokenizer_file("byte_bpe_50k.json")
     rows = bpe.digests(edge, path, bpe.build_lexicon(edge, path)).collect()
